@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import events, lookalikes
+from cuelake.llm import events, languages, lookalikes, sentences
 
-QUERIES = {"p2_found": events.p2_found, "p3_found": lookalikes.p3_found}
+QUERIES = {"p2_found": events.p2_found, "p3_found": lookalikes.p3_found, "p5_found": sentences.p5_found, "p6_found": languages.p6_found}
 SQL: dict[str, str] = {}

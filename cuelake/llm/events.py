@@ -7,8 +7,10 @@ a block is handed to the next one, and run numbers continue by a prefix sum over
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -25,6 +27,7 @@ CONFUSED = str.maketrans({"0": "o", "1": "i", "l": "i", "|": "i", "5": "s", "8":
 UNSPACED = 4000
 
 
+@lru_cache(4096)
 def words_of(text: str) -> list[str]:
     shown = glyphs.printed(text).casefold()
     if glyphs._FOREIGN.search(shown):
@@ -41,6 +44,14 @@ def distance(a: str, b: str, most: int) -> int:
     """Edits with transpositions of neighbours, or ``most + 1`` if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    p, q, i = len(a), len(b), 0
+    while p and q and a[p - 1] == b[q - 1]:
+        p, q = p - 1, q - 1
+    while i < p and i < q and a[i] == b[i]:
+        i += 1
+    a, b = a[i:p], b[i:q]
+    if len(a) <= 1 and len(b) <= 1 or not a or not b:
+        return min(max(len(a), len(b)), most + 1)
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row, two = row, [i], before
@@ -144,14 +155,8 @@ def _nearly(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else nearly_same(p, q) for p, q in zip(a, b)], dtype=object)
 
 
-def _plausible(a: Column, b: Column) -> Column:
-    """A wide test in the JVM of what is worth comparing: lengths without spaces and marks can't differ by much."""
-    n, m = F.length(F.regexp_replace(a, r"[^\p{L}\p{N}]+", "")), F.length(F.regexp_replace(b, r"[^\p{L}\p{N}]+", ""))
-    return F.abs(n - m) <= 4 + F.least(n, m) / 10
-
-
-def collapse_runs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(stream, key, first_id, last_id, n, start_seconds, end_seconds, text): every run as one event.
+def collapse_runs(rows: DataFrame, block: int = BLOCK, with_text: bool = True) -> DataFrame:
+    """(stream, key, first_id, last_id, n, start_seconds, end_seconds, text): every run as one event; text is its first.
 
     ``rows``: (stream, key, ord, id, text, start_seconds, end_seconds). Blank texts are skipped and break no run; rows
     without key, order or id belong to no sequence. Rows with a repeated id count once. Equal orders are put by id. Null
@@ -161,29 +166,39 @@ def collapse_runs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     kept = kept.select("stream", "key", "ord", "id", "text", "start_seconds", "end_seconds", F.floor(F.col("ord") / block).alias("blk"))
     blocks = kept.repartition("stream", "key", "blk")
     here = Window.partitionBy("stream", "key", "blk").orderBy("ord", "id")
+    over = Window.partitionBy("stream", "key").orderBy("blk")
     once = blocks.withColumn("same_id", F.lag("id").over(here) == F.col("id")).where("same_id is null or not same_id").drop("same_id")
-    lagged = once.withColumn("before", F.lag("text").over(here))
     # the last text of the block before reaches over the border
-    edges = kept.groupBy("stream", "key", "blk").agg(F.max(F.struct("ord", "id", "text")).alias("last"))
-    over = Window.partitionBy("stream", "key").orderBy("blk")
-    edges = edges.select("stream", "key", "blk", F.lag("last.text").over(over).alias("handed")).where("handed is not null")
-    lagged = lagged.join(edges, ["stream", "key", "blk"], "left").withColumn("before", F.coalesce("before", F.when(F.lag("id").over(here).isNull(), F.col("handed")))).drop("handed")
-    unequal = F.col("before").isNotNull() & (F.col("before") != F.col("text")) & _plausible(F.col("before"), F.col("text"))
-    judged = lagged.withColumn("near", _nearly(F.when(unequal, F.col("before")), F.when(unequal, F.col("text"))))
-    flagged = judged.withColumn("change", F.when((F.col("before") == F.col("text")) | F.coalesce("near", F.lit(False)), 0).otherwise(1)).drop("before", "near")
+    edges = once.withColumn("next", F.lead("id").over(here)).where("next is null").select("stream", "key", "blk", F.lag("text").over(over).alias("handed"))
+    lagged = once.withColumn("before", F.lag("text").over(here)).join(edges.where("handed is not null"), ["stream", "key", "blk"], "left")
+    lagged = lagged.withColumn("before", F.coalesce("before", F.when(F.lag("id").over(here).isNull(), F.col("handed")))).drop("handed")
+    a, b = F.col("before"), F.col("text")
+    # a wide test in the JVM of what is worth comparing
+    near = (a != b) & (F.abs(F.length(a) - F.length(b)) <= 6 + F.least(F.length(a), F.length(b)) / 5)
+    judged = lagged.withColumn("near", _nearly(F.when(near, a), F.when(near, b)))
+    flagged = judged.withColumn("change", F.when((a == b) | F.coalesce("near", F.lit(False)), 0).otherwise(1))
     local = flagged.withColumn("run", F.sum("change").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = F.struct("ord", "id"), F.struct("ord", "id")
     pieces = local.groupBy("stream", "key", "blk", "run").agg(
-        F.min(F.struct("ord", "id", "text")).alias("first"), F.max(F.struct("ord", "id")).alias("last"), F.count(F.lit(1)).alias("n"),
-        F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds"),
+        F.min(first).alias("first"), F.max(last).alias("last"), F.count(F.lit(1)).alias("n"),
+        F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds"), F.min_by("text", first).alias("text"),
     )
-    totals = pieces.groupBy("stream", "key", "blk").agg(F.max("run").alias("changes"))
-    base = totals.select("stream", "key", "blk", F.coalesce(F.sum("changes").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    # pieces of one block are whole unless they touch its border: a run that crosses one gets the same number on both sides
-    numbered = pieces.join(base, ["stream", "key", "blk"]).withColumn("number", F.col("base") + F.col("run"))
-    whole = numbered.groupBy("stream", "key", "number").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds")
-    )
-    return whole.select("stream", "key", F.col("first.id").alias("first_id"), F.col("last.id").alias("last_id"), "n", "start_seconds", "end_seconds", F.col("first.text").alias("text"))
+    ends = Window.partitionBy("stream", "key", "blk")
+    # the first piece of a block may continue the run before (its number is 0), the last may go on in the next block
+    pieces = pieces.withColumn("border", (F.col("run") == 0) | (F.col("run") == F.max("run").over(ends)))
+    if not with_text:
+        pieces = pieces.drop("text")
+    pieces = pieces.persist()  # judged once, read twice
+    inner = pieces.where("not border")
+    at_border = Window.partitionBy("stream", "key").orderBy("blk", "run").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = pieces.where("border").withColumn("number", F.sum((F.col("run") != 0).cast("int")).over(at_border))
+    joined = numbered.groupBy("stream", "key", "number").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds"),
+        *([F.min_by("text", "first").alias("text")] if with_text else []),
+    )
+    columns = ["stream", "key", "first", "last", "n", "start_seconds", "end_seconds", *(["text"] if with_text else [])]
+    whole = inner.select(*columns).unionByName(joined.select(*columns))
+    return whole.select("stream", "key", F.col("first.id").alias("first_id"), F.col("last.id").alias("last_id"), *columns[4:])
 
 
 def event_rows(spark: SparkSession, directory: str) -> DataFrame:
@@ -200,4 +215,4 @@ def event_rows(spark: SparkSession, directory: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """(stream, first_id, last_id): maximal runs of two or more."""
-    return collapse_runs(event_rows(spark, directory)).where("n >= 2").select("stream", "first_id", "last_id")
+    return collapse_runs(event_rows(spark, directory), with_text=False).where("n >= 2").select("stream", "first_id", "last_id")
