@@ -125,5 +125,5 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     )
     forms = consistent_forms(titles.unionByName(cues))
     of = current_transcripts(spark, directory).select(F.col("transcript_id").alias("grp"), F.col("source_key").alias("source"))
-    segments = forms.where("kind = 'segment'").join(of, "grp").where("source is not null").select("kind", F.col("source").alias("grp"), "id", "form", "raw")
-    return alike_pairs(forms.where("kind = 'title'").unionByName(segments))
+    placed = forms.join(of, (forms.grp == of.grp) & (forms.kind == "segment"), "left").where("kind = 'title' or source is not null")
+    return alike_pairs(placed.select("kind", F.when(F.col("kind") == "title", F.lit(0)).otherwise(F.col("source")).alias("grp"), "id", "form", "raw").persist())
