@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from cuelake.llm import events, languages, lookalikes, sentences
+from cuelake.llm import events, languages, leakage, lookalikes, repetition, sentences, tokens
 
-QUERIES = {"p2_found": events.p2_found, "p3_found": lookalikes.p3_found, "p5_found": sentences.p5_found, "p6_found": languages.p6_found}
+QUERIES = {
+    "p1_found": repetition.p1_found,
+    "p2_found": events.p2_found,
+    "p3_found": lookalikes.p3_found,
+    "p5_found": sentences.p5_found,
+    "p6_found": languages.p6_found,
+    "p7_ids": tokens.p7_ids,
+    "p8_found": leakage.p8_found,
+}
 SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ share of the item, in the item's order, and the item's own names and numbers amo
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,17 @@ SEED, TILE = 3, 2
 COVERED, OWN = 0.5, 0.5
 #: Share of an item's tokens in seeds from which a passage is tiled: far below COVERED.
 SEEDED = 0.15
+#: Share of an item's own words that must stand somewhere in the document for a passage to be tiled: far below OWN x COVERED.
+PRESENT = 0.15
 #: Most items, characters in all: the bound under which the index is sent to every task.
 MOST_ITEM_CHARS = 50_000_000
 
 _TIMES = regex.compile(
     r"^\s*\d+\s*$(?=\s*^\s*\d{1,2}:\d\d)|\[?\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*(?:-->|-|–)\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*\]?|<[^<>]{1,60}>", regex.M
 )
-_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|\p{N}+(?:[.,]\p{N}+)*|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{N}])[\p{L}\p{M}])+|[\p{L}\p{M}\p{N}]+")
+_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|\p{N}+|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{N}])[\p{L}\p{M}])+|[\p{L}\p{M}\p{N}]+")
+#: Line ends inside text of scripts without spaces.
+_BROKEN = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}，。、])\s+(?=[\p{Han}\p{Hiragana}\p{Katakana}\p{N}])|(?<=[\p{Han}\p{Hiragana}\p{Katakana}]\p{N}{1,6})\s+(?=[\p{N}\p{Han}])")
 _LOOKALIKE = regex.compile(r"[Ͱ-ϿЀ-ԯ]")
 
 
@@ -45,12 +50,7 @@ def tokens(text: str) -> list[str]:
             lines = lines.translate(glyphs.TO_LATIN)
         else:
             lines = glyphs.WORDS.sub(lambda m: glyphs.proposals(m[0], around) or m[0], lines)
-    return _TOKEN.findall(lines.casefold())
-
-
-def own_words(text: str, items_with: dict[str, int], many: int) -> set[int]:
-    """Positions of the tokens that are an item's own: numbers, and words that few of the items have."""
-    return {i for i, t in enumerate(tokens(text)) if t[0].isdigit() or items_with[t] <= many}
+    return _TOKEN.findall(_BROKEN.sub("", lines.casefold()))
 
 
 class Items:
@@ -69,6 +69,7 @@ class Items:
         many = max(2, len(kept) // 50)
         self.own = [np.array([t[0].isdigit() or (having[int(c)] <= many and len(t) > 1) for t, c in zip(ts, cs)], bool) for ts, cs in zip(self.texts, self.codes)]
         self.size = [np.array([len(t) for t in ts]) for ts in self.texts]
+        self.rare = [set(c[o].tolist()) for c, o in zip(self.codes, self.own)]
         seeds: dict[int, list[tuple[int, int]]] = {}
         for n, c in enumerate(self.codes):
             for p, h in enumerate(self.hashes(c).tolist()):
@@ -109,8 +110,6 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = TILE) -> list[tuple[int, in
     length = np.diff(np.r_[start, len(i)])
     runs = [(-int(l), int(i[s]), int(j[s])) for s, l in zip(start, length) if l >= least]
     used_a, used_b = np.zeros(n, bool), np.zeros(m, bool)
-    import heapq
-
     heapq.heapify(runs)
     out = []
     while runs:
@@ -201,8 +200,11 @@ def leaks(items: Items, text: str | None) -> list[tuple[int, float, float]]:
         for n, p in items.places[at[d]]:
             met.setdefault(n, []).append((d, p))
     out = []
+    present = set(codes.tolist())
     for n, pairs in met.items():
         length = len(items.codes[n])
+        if items.rare[n] and len(items.rare[n] & present) < PRESENT * len(items.rare[n]):
+            continue
         if len({p for _, p in pairs}) < SEEDED * length:
             continue
         # the passage: where a window of the item's length (and room for insertions) has most of its seeds
