@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import events, languages, leakage, lookalikes, repetition, sentences, tokens
+from cuelake.llm import areas, events, languages, leakage, lookalikes, repetition, sentences, tokens
 
 QUERIES = {
     "p1_found": repetition.p1_found,
@@ -12,5 +12,6 @@ QUERIES = {
     "p6_found": languages.p6_found,
     "p7_ids": tokens.p7_ids,
     "p8_found": leakage.p8_found,
+    "p9_found": areas.p9_found,
 }
 SQL: dict[str, str] = {}
