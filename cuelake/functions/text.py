@@ -17,3 +17,72 @@ def is_blank(text: Column) -> Column:
 def collapse_ws(text: Column) -> Column:
     """Runs of white space become one space, ends are trimmed; null stays null."""
     return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+
+
+def fold_caption(text: Column) -> Column:
+    """Letters and numbers only, case folded (``lower`` plus the two folds it lacks in common scripts)."""
+    return F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")), r"[^\p{L}\p{N}]+", "")
+
+
+def unescape_basic(text: Column) -> Column:
+    """The five basic entities; the ampersand last, so that nothing is unescaped twice."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def escape_markup(text: Column) -> Column:
+    """Ampersand and angle brackets as entities; quotes stay."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def clean_cue(text: Column) -> Column:
+    """Cue text without tags, style blocks, entities and direction marks; a line equal to the one before is skipped."""
+
+    def line(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"\{\\[^}]+\}", "")
+        return collapse_ws(F.translate(unescape_basic(bare), "‎‏", ""))
+
+    lines = F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), line), lambda x: x != "")
+    return F.array_join(without_repeats(lines), " ")
+
+
+def without_repeats(values: Column) -> Column:
+    """An array without elements that equal the one right before them."""
+    return F.filter(F.zip_with(values, F.concat(F.array(F.lit(None).cast("string")), values), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"].isNotNull() & ~p["x"].eqNullSafe(p["y"])).getField("x")
+
+
+def bounded(text: Column, most: int = 180) -> Column:
+    """One line of at most ``most`` characters, cut ones ending in three dots."""
+    flat = collapse_ws(text)
+    return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 3)), F.lit("..."))).otherwise(flat)
+
+
+def one_line_error(text: Column, kind: str = "Error") -> Column:
+    """An error's message on one line, or its kind."""
+    return F.coalesce(F.nullif(collapse_ws(text), F.lit("")), F.lit(kind))
+
+
+def normal_url(url: Column) -> Column:
+    """Trimmed where it is a URL of a known scheme, else as it is."""
+    return F.when(url.rlike(r"^\s*(?i:https?|file):"), F.trim(url)).otherwise(url)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """The longest common prefix of two captions, without leaving the JVM."""
+    n = F.least(F.length(a), F.length(b))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    length = F.size(F.filter(F.transform(places, lambda i: F.left(a, i) == F.left(b, i)), lambda same: same))
+    return F.left(a, length)
+
+
+def stable_core(a: Column, b: Column) -> Column:
+    """The shared prefix of two doubtful readings that differ in short suffixes only, else empty."""
+    p = common_prefix(a, b)
+    core = F.rtrim(p)
+    left, right = F.trim(F.substr(a, F.length(p) + 1)), F.trim(F.substr(b, F.length(p) + 1))
+    shorter = F.least(F.length(fold_caption(a)), F.length(fold_caption(b)))
+    ok = (core != "") & (left != "") & (right != "") & (left != right) & (F.length(left) <= 2) & (F.length(right) <= 2) & (shorter >= 4)
+    return F.when(ok & (F.length(fold_caption(core)) >= 0.8 * shorter), core).otherwise("")
