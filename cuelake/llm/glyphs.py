@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import regex
 
@@ -52,12 +53,15 @@ def script(ch: str) -> str:
 
 
 _FOREIGN = regex.compile(r"[Ͱ-ϿЀ-ԯ]")
-_LATIN = regex.compile(r"[A-Za-z]")
+_LATIN = regex.compile(r"[A-Za-z\u00c0-\u024f]")
+_GREEK, _CYRILLIC = regex.compile(r"[\u0370-\u03ff]"), regex.compile(r"[\u0400-\u052f]")
 
 
 def may_mix(text: str) -> bool:
     """False for texts that can't hold a look-alike of another script: a cheap exact test."""
-    return bool(_FOREIGN.search(text)) and bool(_LATIN.search(text) or "Ͱ" <= max(text))
+    if not _FOREIGN.search(text):
+        return False
+    return bool(_LATIN.search(text)) or bool(_GREEK.search(text) and _CYRILLIC.search(text))
 
 
 def own_letters(token: str) -> dict[str, int]:
@@ -105,7 +109,7 @@ def proposals(token: str, around: dict[str, int]) -> str | None:
 def dominant(text: str) -> dict[str, int]:
     """Letters per script over a text that only that script has; ties of look-alikes count for nothing."""
     count: dict[str, int] = {}
-    for c in text:
+    for c, n in Counter(text).items():
         if (s := script(c)) and not any(c in PEERS[(s, o)] for o in "LCG" if o != s):
-            count[s] = count.get(s, 0) + 1
+            count[s] = count.get(s, 0) + n
     return count

@@ -8,6 +8,7 @@ languages at a time, and the lengths are summed over words, clauses and segments
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +33,42 @@ MARGIN_BITS, SWITCH_BITS = 12.0, 30.0
 #: Least size of a clause: words, or characters where no spaces part the words.
 LEAST_WORDS, LEAST_CHARS = 5, 10
 
-_FOLD = str.maketrans({**{c: "." for c in "。．｡।॥…"}, **{c: "," for c in "，、;:；："}, "？": "?", "؟": "?", "！": "!", **{c: '"' for c in "«»“”„「」『』"}, **{str(d): "0" for d in range(10)}})
-_MARKER = regex.compile(r"[(\[（【♪][^)\]）】♪]{0,24}[)\]）】♪]")
+# Marks that are alike for the models, and digits, each as one representative.
+_ALIKE = {".": "．｡।॥…", ",": "，、;:；：", "?": "？؟", "!": "！", '"': "«»“”„「」『』", "0": "123456789"}
+_FOLD = np.arange(0x10000, dtype=np.uint32)
+for _to, _from in _ALIKE.items():
+    _FOLD[[ord(c) for c in _from]] = ord(_to)
+_FOLD[ord("。")] = ord(".")
+_FOLD[ord("\u2028")] = _FOLD[ord("\u2029")] = 32
+_MARKER = regex.compile(r"[(\[（【♪][^)\]）】♪\n]{0,24}[)\]）】♪]")
+_HIDDEN = regex.compile(r"[[\p{Cf}\p{Default_Ignorable_Code_Point}\p{Cc}]--[\t-\r\x1c-\x1f\x85]]+", regex.V1)
+_ROOM = regex.compile(r"[^\S\n ]+|  +")
+
+
+def prepared_batch(texts: list[str | None]) -> list[str]:
+    """Texts as the models see them: printed form in its own script, lower case, digits alike, markers left out.
+
+    All texts go through each step together, one per line.
+    """
+    joined = "\n".join(" ".join(t.splitlines()) if t else "" for t in texts)
+    if not joined.isascii():
+        joined = _HIDDEN.sub("", joined)
+        if not unicodedata.is_normalized("NFKC", joined):
+            joined = unicodedata.normalize("NFKC", joined)
+    lines = _ROOM.sub(" ", _MARKER.sub(lambda m: m[0] if m[0].count(" ") > 2 else " ", joined)).split("\n")
+    for i, line in enumerate(lines):
+        if glyphs._FOREIGN.search(line) and glyphs.may_mix(line):
+            around = glyphs.dominant(line)
+            lines[i] = glyphs.WORDS.sub(lambda m: (len({glyphs.script(c) for c in m[0]} - {""}) > 1 and glyphs.proposals(m[0], around)) or m[0], line)
+    points = np.frombuffer("\n".join(lines).lower().encode("utf-32-le", "replace"), np.uint32)
+    points = np.where(points < 0x10000, _FOLD[np.minimum(points, 0xFFFF)], points)
+    out = [line.strip() for line in points.tobytes().decode("utf-32-le").split("\n")]
+    assert len(out) == len(texts)
+    return out
 
 
 def prepared(text: str | None) -> str:
-    """The text as the models see it: printed form in its own script, lower case, digits alike, markers left out."""
-    if not text:
-        return ""
-    shown = glyphs.printed(text)
-    if glyphs.may_mix(shown):
-        around = glyphs.dominant(shown)
-        shown = glyphs.WORDS.sub(lambda m: (len({glyphs.script(c) for c in m[0]} - {""}) > 1 and glyphs.proposals(m[0], around)) or m[0], shown)
-    if any(c in shown for c in "([（【♪"):
-        shown = _MARKER.sub(lambda m: m[0] if m[0].count(" ") > 2 else " ", shown)
-    return shown.lower().translate(_FOLD).replace("\n", " ").strip()
+    return prepared_batch([text])[0]
 
 
 class ContextTrees:
@@ -157,9 +179,11 @@ def score(trees: ContextTrees, texts: list[str]) -> tuple[np.ndarray, pd.DataFra
     unspaced = (kind == 3) | (kind == 7)
     word |= unspaced
     starts = np.flatnonzero(word)
-    per_byte = cost[code]
-    per_byte[np.frombuffer((GAP + "".join(t + GAP for t in texts)).encode("utf-8", "replace"), np.uint8) == 10] = 0
-    word_cost = np.add.reduceat(per_byte, at[starts], axis=0)
+    cost[(distinct.astype(np.uint64) & np.uint64(255)) == 10] = 0  # line breaks only part the texts
+    byte_starts = at[starts]
+    word_cost = np.empty((len(starts), width), np.float32)
+    for language, column in enumerate(np.ascontiguousarray(cost.T)):
+        word_cost[:, language] = np.add.reduceat(column[code], byte_starts)
     word_owner = owner[starts]
     clause_of = np.cumsum(cut)[starts] - 1
     has_letter = np.add.reduceat(letter.astype(np.int32), starts) > 0
@@ -172,17 +196,17 @@ def score(trees: ContextTrees, texts: list[str]) -> tuple[np.ndarray, pd.DataFra
     begin = np.flatnonzero(np.r_[True, clause_of[1:] != clause_of[:-1]])
     size = np.diff(np.r_[begin, len(clause_of)])
     whole = np.add.reduceat(word_cost, begin, axis=0)
-    running = np.cumsum(word_cost.astype(np.float64), axis=0)
-    base = np.repeat(running[begin] - word_cost[begin], size, axis=0)
-    left = running - base
-    right = np.repeat(whole, size, axis=0) - left
-    split = left.min(axis=1) + right.min(axis=1)
-    best_split = np.minimum.reduceat(split, begin)
-    gain = whole.min(axis=1) - best_split
-    crossed = np.flatnonzero(gain > SWITCH_BITS)
-    if len(crossed):
-        extra = [begin[c] + 1 + int(np.argmin(split[begin[c] : begin[c] + size[c]])) for c in crossed]
-        begin = np.unique(np.r_[begin, [e for e in extra if e < len(clause_of)]])
+    # no division can save more than the best language of each word by itself
+    most = whole.min(axis=1) - np.add.reduceat(word_cost.min(axis=1), begin)
+    extra = []
+    for c in np.flatnonzero((most > SWITCH_BITS) & (size > 5)):
+        left = np.cumsum(word_cost[begin[c] : begin[c] + size[c]], axis=0)
+        split = left.min(axis=1) + (whole[c] - left).min(axis=1)
+        at_word = int(np.argmin(split))
+        if whole[c].min() - split[at_word] > SWITCH_BITS and at_word + 1 < size[c]:
+            extra.append(begin[c] + 1 + at_word)
+    if extra:
+        begin = np.unique(np.r_[begin, extra])
         whole = np.add.reduceat(word_cost, begin, axis=0)
     ranked = np.partition(whole, 1, axis=1)
     clauses = pd.DataFrame(
@@ -257,7 +281,7 @@ def _judge(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = broadcast.value
         for b in batches:
-            texts = [prepared(t) for t in b.column(2).to_pylist()]
+            texts = prepared_batch(b.column(2).to_pylist())
             n = len(texts)
             totals, clauses = score(trees, texts)
             bits = totals - totals.min(axis=1, keepdims=True)
