@@ -312,7 +312,7 @@ def judge_segments(spark: SparkSession, segments: DataFrame, trees: ContextTrees
     shared = spark.sparkContext.broadcast(trees)
     rows = segments.where(~is_blank(F.col("text")) & F.col("segment_id").isNotNull() & F.col("transcript_id").isNotNull())
     judged = rows.select("transcript_id", "segment_id", "text").mapInArrow(_judge(shared), SCHEMA)
-    return judged.dropDuplicates(["segment_id"])
+    return judged.dropDuplicates(["segment_id"]).persist()  # scored once, read for the majorities and for the clauses
 
 
 def language_findings(judged: DataFrame, transcripts: DataFrame) -> DataFrame:
