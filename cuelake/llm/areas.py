@@ -154,20 +154,26 @@ def fit(sample: DataFrame, areas: list[str]) -> Model:
     """Full-batch Adam; every step is one synchronised pass over the partitions of the sample."""
     sc = sample.sparkSession.sparkContext
     model = Model(areas)
+    # how often a sentence's document carries each area: what a sentence of no area looks like to the first fit
+    said = sample.select("labels", F.size("begin").alias("n"))
+    base = said.agg(F.sum("n").alias("all"), *[F.sum(F.when(F.array_contains("labels", a), F.col("n")).otherwise(0)).alias(f"a{i}") for i, a in enumerate(areas)]).first()
+    sure = np.array([(1 + (base[f"a{i}"] or 0) / max(1, base["all"] or 0)) / 2 for i in range(len(areas))], np.float32)
     for phase, (steps, rate) in enumerate((FIRST, AGAIN, AGAIN)):
         teacher = sc.broadcast(model) if phase else None
         m, v = [np.zeros_like(p) for p in model.p], [np.zeros_like(p) for p in model.p]
         for step in range(1, steps + 1):
             sent = sc.broadcast(model)
+            # halfway from the base rate to certainty after labels, then what the model itself calls likelier than not
+            limit = sure if phase == 1 else np.float32(0.5)
 
-            def run(batches: Iterator[pa.RecordBatch], sent=sent, teacher=teacher) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, teacher=teacher, limit=limit) -> Iterator[pa.RecordBatch]:
                 total, n = None, 0
                 for b in batches:
                     flat, begin, y = _joined(b, areas)
                     if not len(begin):
                         continue
                     if teacher is not None:
-                        y = (teacher.value.probabilities(flat, begin)[1] >= 0.5).astype(np.float32)
+                        y = (teacher.value.probabilities(flat, begin)[1] >= limit).astype(np.float32)
                     g = sent.value.gradient(flat, begin, y)
                     total = g if total is None else [a + x for a, x in zip(total, g)]
                     n += len(begin)

@@ -1,0 +1,167 @@
+"""Pure functions of the text operators."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cuelake.llm import glyphs, leakage, repetition
+from cuelake.llm.events import distance, nearly_same
+from cuelake.llm.sentences import sentences
+
+
+def parts(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Dr. Mora tests it at approx. 84.79 metres. Really?! See Fig. 3 and No. 4, e.g. the map.", ["Dr. Mora tests it at approx. 84.79 metres.", "Really?!", "See Fig. 3 and No. 4, e.g. the map."]),
+        ("It all ends at 11 p.m. Then our guest left. At 9 a.m. a viewer came.", ["It all ends at 11 p.m.", "Then our guest left.", "At 9 a.m. a viewer came."]),
+        ("Wait... my neighbour left. Wait... Then we go.", ["Wait... my neighbour left.", "Wait...", "Then we go."]),
+        ('He said, "Not today." The value rose. "Is that it?" my neighbour asked.', ['He said, "Not today."', "The value rose.", '"Is that it?" my neighbour asked.']),
+        ("„Ist das so?“, fragt er. Am 3. Mai kommt er, z. B. spät. So\nein Tag!", ["„Ist das so?“, fragt er.", "Am 3. Mai kommt er, z. B. spät.", "So\nein Tag!"]),
+        ("(That was it.) Then we go. (That was all.)", ["(That was it.)", "Then we go.", "(That was all.)"]),
+        ("See (cf. Fig. 3.) the map. Done", ["See (cf. Fig. 3.) the map.", "Done"]),
+        ("First one.Then another. Open notes.v3.txt now. It is cf. that.", ["First one.", "Then another.", "Open notes.v3.txt now.", "It is cf. that."]),
+        ("「今日は無理だ。」と言ってから、測った。待って……比較した。", ["「今日は無理だ。」と言ってから、測った。", "待って……比較した。"]),
+        ("老技师说：“今天不行。”为什么？“这是印章吗？”老技师问道。", ["老技师说：“今天不行。”", "为什么？", "“这是印章吗？”老技师问道。"]),
+        ("क्या यह सही है? डॉ. सापो बताता है। रुको... वह आता है।", ["क्या यह सही है?", "डॉ. सापो बताता है।", "रुको... वह आता है।"]),
+        ("ดร.โปคูโซบรรยาย ค่าเพิ่มจาก60.13เป็น20.43 นาทีที่262ผู้ชม", ["ดร.โปคูโซบรรยาย", "ค่าเพิ่มจาก60.13เป็น20.43", "นาทีที่262ผู้ชม"]),
+        ("Проф. Рулупа сравнивает и т. д. по памяти. См. рис. 49 и т. д. Наш гость.", ["Проф. Рулупа сравнивает и т. д. по памяти.", "См. рис. 49 и т. д.", "Наш гость."]),
+        ("  ", []),
+        (None, []),
+        ("", []),
+        ('"Never closed. So it goes.', ['"Never closed.', "So it goes."]),
+    ],
+)
+def test_sentences(text, expected):
+    assert parts(text) == expected
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB1 .!?…\"“”「」()。\n«»", max_size=60))
+def test_sentences_are_ordered_and_cover_all_but_white_space(text):
+    at = 0
+    for a, b in sentences(text):
+        assert at <= a < b <= len(text)
+        assert not text[at:a].strip()
+        assert text[a:b] == text[a:b].strip()
+        at = b
+    assert not text[at:].strip()
+
+
+def test_very_long_texts_are_walked_once():
+    text = "One more. " * 50_000
+    assert len(sentences(text)) == 50_000
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ("The knife grip 4 / 9", "The knlfe grip 4 / 9.", True),
+        ("The knife grip 4 / 9", "The knife grip 5 / 9", False),
+        ("Why  does nobody mention it?", "why docs nobody mentlon it", True),
+        ("our guest from Nidesa left", "our guest from Nidesa never left", False),
+        ("the long journey", "the long joumey", True),
+        ("Ｗｈｙ not now", "Why not now", True),
+        ("The whole team tests it", "The whole team checks it", False),
+        ("主持人检查了合唱排练和八度跳进。", "主持人检查了合排练和八度跳进", True),
+        ("整个团队画出了今天的议程。", "整个团队记下了今天的议程。", False),
+        ("第28分钟，志愿者比较了通知", "第29分钟，志愿者比较了通知", False),
+        ("♪ ♪", "♪♪", False),
+        ("in a minute", "in minute", False),
+    ],
+)
+def test_nearly_same(a, b, same):
+    assert nearly_same(a, b) is same
+    assert nearly_same(b, a) is same
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
+def test_distance_matches_the_plain_recurrence(a, b):
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    assert distance(a, b, 20) == d[len(a), len(b)]
+
+
+def test_printed_forms():
+    assert glyphs.printed("Ｗｈｙ  not​　now") == "Why not now"
+    assert glyphs.printed("café") == "café"
+    assert glyphs.printed("é") != glyphs.printed("e")
+
+
+def test_repairs_follow_the_dominant_script():
+    latin = glyphs.dominant("the quick brown")
+    assert glyphs.proposals("cоffее", latin) == "coffee"
+    assert glyphs.proposals("Α", latin) == "A"
+    assert glyphs.proposals("кoфe", glyphs.dominant("перерыв на")) == "кофе"
+    assert glyphs.proposals("плохо", latin) is None
+    assert glyphs.proposals("coffee", latin) is None
+
+
+def test_tiles_are_longest_first_and_never_overlap():
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = (np.array([r.randint(0, 3) for _ in range(r.randint(0, 14))]) for _ in range(2))
+        found = leakage.tiles(a, b)
+        ina, inb = [], []
+        for p, q, n in found:
+            assert n >= leakage.TILE
+            assert a[p : p + n].tolist() == b[q : q + n].tolist()
+            ina += range(p, p + n)
+            inb += range(q, q + n)
+        assert len(set(ina)) == len(ina)
+        assert len(set(inb)) == len(inb)
+        longest = max((n for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i : i + n].tolist() == b[j : j + n].tolist()), default=0)
+        if longest >= leakage.TILE:
+            assert found[0][2] == longest
+
+
+ITEM = "A crate in Runesa weighs 44.71 kilos and holds 230 reels, and a viewer questions the lemon glaze only after reel 8 has been rewound. Which statement about Dameni follows from minute 280?"
+
+
+@pytest.mark.parametrize(
+    ("text", "leaks"),
+    [
+        (ITEM, True),
+        (ITEM.lower().replace(",", "").replace(".", " "), True),
+        ("Some talk before. " + ITEM.replace("kilos", "um kilos uh") + " And after.", True),
+        (ITEM.replace("viewer", "viewr").replace("lemon", "lmeon").replace("Runesa", "Rnuesa"), True),
+        ("\n".join(f"[00:{i:02d} - 00:{i + 1:02d}] " + " ".join(ITEM.split()[i : i + 5]) for i in range(0, 35, 5)), True),
+        (ITEM.replace("Runesa", "Povida").replace("44.71", "26.34").replace("230", "353").replace("8", "2").replace("Dameni", "Zolupa").replace("280", "11"), False),
+        (" ".join(ITEM.split()[:8]), False),
+        ("", False),
+        (None, False),
+        ("nothing of the kind was ever said here by anyone at all", False),
+    ],
+)
+def test_leaks(text, leaks):
+    others = [(i, ITEM.replace("Runesa", f"Name{i}").replace("44.71", f"{i}.{i}").replace("230", str(i * 3)).replace("Dameni", f"Other{i}").replace("280", str(i + 7))) for i in range(10, 20)]
+    found = leakage.leaks(leakage.Items([(1, ITEM), *others]), text)
+    assert ([1] if leaks else []) == [([1, *(i for i, _ in others)])[n] for n, c, o in found if c >= leakage.COVERED and o >= leakage.OWN]
+
+
+def test_loops_and_said_before():
+    total, repeated, _ = repetition.share(["we go home now we go home now we go home now"])
+    assert repeated * 3 == total * 2
+    total, repeated, _ = repetition.share(["The host tests the map. Then we", "all went home. The host tests", "the mpa! Then nobody came."])
+    assert 0.25 < repeated / total < 0.4
+    total, repeated, _ = repetition.share(["The host tests map 3. The host tests map 4. The guest tests map 3."])
+    assert repeated == 0
+    assert repetition.share(["♪ ♪", "..."]) == (0, 0, [])
+
+
+def test_bands():
+    assert repetition.band(10_000, *repetition.ratios(b"all the same words again. " * 400)) == "repetitive"
+    noise = random.Random(1).randbytes(5000)
+    assert repetition.band(5000, *repetition.ratios(noise)) == "incompressible"
