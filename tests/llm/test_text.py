@@ -165,3 +165,18 @@ def test_bands():
     assert repetition.band(10_000, *repetition.ratios(b"all the same words again. " * 400)) == "repetitive"
     noise = random.Random(1).randbytes(5000)
     assert repetition.band(5000, *repetition.ratios(noise)) == "incompressible"
+
+
+def test_small_changes_are_no_new_sentence():
+    said = "The second speaker writes down the chart and a table."
+    for again in ("well, the second speaker writes down the chart and a table", "The second speaker writes down the chart, you, and a table.", "The secnd speaker writes down the chart and a tabel!"):
+        total, repeated, _ = repetition.share([said, "Nobody came.", again])
+        assert 0.4 < repeated / total < 0.55
+    for other in ("The second speaker writes down 3 the chart and a table.", "The second speaker tests the chart and a table."):
+        assert repetition.share([said, other])[1] == 0
+
+
+def test_a_lost_closing_mark_hides_no_repeat():
+    said = ["The host tests the long map.", "Nobody came to the room today."]
+    total, repeated, _ = repetition.share([*said, "The host tests the long map", "nobody came to the room today."])
+    assert repeated * 2 == total
