@@ -27,9 +27,9 @@ LANGUAGES = sorted(SEEDS)
 #: Bytes of context plus the predicted byte.
 LONGEST = 5
 #: Fitting sample, the bound: transcripts per label, segments per transcript, bytes per segment.
-FIT_TRANSCRIPTS, FIT_SEGMENTS, FIT_BYTES = 40, 30, 1000
+FIT_TRANSCRIPTS, FIT_SEGMENTS, FIT_BYTES = 120, 12, 1000
 #: Bits by which a clause's language must beat every other, and those that a change of language inside a clause must save.
-MARGIN_BITS, SWITCH_BITS = 12.0, 30.0
+MARGIN_BITS, SWITCH_BITS = 25.0, 30.0
 #: Least size of a clause: words, or characters where no spaces part the words.
 LEAST_WORDS, LEAST_CHARS = 5, 10
 
@@ -221,42 +221,47 @@ def score(trees: ContextTrees, texts: list[str]) -> tuple[np.ndarray, pd.DataFra
     return totals, clauses
 
 
-def fit(labelled: dict[int, tuple[str | None, list[str]]], rounds: int = 2) -> ContextTrees:
-    """Context trees from transcripts (id -> label, prepared texts); labels may be wrong or missing.
+def fit(sampled: dict[int, list[str]], rounds: int = 3) -> ContextTrees:
+    """Context trees from transcripts (id -> prepared texts).
 
-    The first trees follow the labels; then every transcript is moved to the language that codes it shortest, and the
-    trees are fitted again.
+    Labels are too often wrong to learn from, and trees that learned a wrongly placed transcript would call its place right.
+    So transcripts are judged by trees that were fitted on the other half of the sample: first on the seeds alone, then on
+    what was judged before. A transcript is of the language of most of its texts, and its texts are learned if nothing in
+    them is of another. The last trees learn both halves.
     """
     seeds = {l: [s.strip() for s in regex.split(r"(?<=[.?。？।])", prepared(t)) if s.strip()] for l, t in SEEDS.items()}
+    order = sorted(sampled)
+    half = {i: n % 2 for n, i in enumerate(order)}
+    flat = [(i, t) for i in order for t in sampled[i] if len(t) > 12]
+    learnt: list[str | None] = [None] * len(flat)
 
-    def trees(of: dict[int, str | None]) -> ContextTrees:
+    def trees(of: int | None) -> ContextTrees:
         texts = {l: list(s) for l, s in seeds.items()}
-        for i, (_, t) in labelled.items():
-            if of[i] in texts:
-                texts[of[i]] += t
+        for (i, t), l in zip(flat, learnt):
+            if l in texts and (of is None or half[i] == of):
+                texts[l].append(t)
         return ContextTrees(texts)
 
-    of = {i: label for i, (label, _) in labelled.items()}
-    model = trees(of)
-    for _ in range(rounds):
-        flat = [(i, t) for i, (_, texts) in labelled.items() for t in texts]
-        if not flat:
-            break
-        totals, _ = score(model, [t for _, t in flat])
-        votes = pd.DataFrame({"i": [i for i, _ in flat], "l": totals.argmin(axis=1), "ok": [len(t) > 12 for _, t in flat]})
-        votes = votes[votes.ok].groupby(["i", "l"]).size().reset_index(name="n").sort_values(["n", "l"]).drop_duplicates("i", keep="last")
-        of = {i: None for i in labelled} | {int(i): LANGUAGES[l] for i, l in zip(votes.i, votes.l)}
-        model = trees(of)
-    return model
-
-
-def primary(label: str | None) -> str:
-    """Primary subtag of a label: case, blanks and underscores aside."""
-    return (label or "").strip().lower().replace("_", "-").split("-")[0].strip()
+    for _ in range(rounds if flat else 0):
+        models = [trees(0), trees(1)]
+        for h in (0, 1):
+            mine = [n for n, (i, _) in enumerate(flat) if half[i] != h]
+            if not mine:
+                continue
+            totals, clauses = score(models[h], [flat[n][1] for n in mine])
+            best = totals.argmin(axis=1)
+            votes = pd.DataFrame({"i": [flat[n][0] for n in mine], "l": best}).groupby(["i", "l"]).size().reset_index(name="n").sort_values(["n", "l"]).drop_duplicates("i", keep="last")
+            major = dict(zip(votes.i, votes.l))
+            sure = clauses[clauses.margin >= MARGIN_BITS]
+            mixed = set(sure.text[sure.best.to_numpy() != best[sure.text.to_numpy()]])
+            for k, n in enumerate(mine):
+                learnt[n] = LANGUAGES[best[k]] if best[k] == major[flat[n][0]] and k not in mixed else None
+    return trees(None)
 
 
-def fitting_sample(segments: DataFrame, transcripts: DataFrame) -> dict[int, tuple[str | None, list[str]]]:
-    """At most FIT_TRANSCRIPTS transcripts of each known label, FIT_SEGMENTS segments of each, FIT_BYTES of each text."""
+def fitting_sample(segments: DataFrame, transcripts: DataFrame) -> dict[int, list[str]]:
+    """Prepared texts of at most FIT_TRANSCRIPTS transcripts of each known label, FIT_SEGMENTS segments of each, FIT_BYTES of
+    each text; the labels only spread the sample over the languages."""
     tag = F.regexp_extract(F.lower(F.trim(F.regexp_replace(F.coalesce("language", F.lit("")), "_", "-"))), r"^([a-z]*)", 1)
     known = transcripts.select("transcript_id", tag.alias("tag")).where(F.col("tag").isin(LANGUAGES))
     lists = known.select("transcript_id", "tag", F.xxhash64("transcript_id").alias("h"))
@@ -264,13 +269,13 @@ def fitting_sample(segments: DataFrame, transcripts: DataFrame) -> dict[int, tup
     rows = (
         segments.where(F.col("ordinal").between(0, FIT_SEGMENTS - 1) & ~is_blank(F.col("text")))
         .join(F.broadcast(chosen), "transcript_id")  # at most 12 labels x FIT_TRANSCRIPTS rows
-        .select("transcript_id", "tag", F.substring("text", 1, FIT_BYTES).alias("text"))
+        .select("transcript_id", F.substring("text", 1, FIT_BYTES).alias("text"))
         .collect()
     )
-    out: dict[int, tuple[str | None, list[str]]] = {}
+    out: dict[int, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.transcript_id, r.text)):
         if t := prepared(r.text):
-            out.setdefault(r.transcript_id, (r.tag, []))[1].append(t)
+            out.setdefault(r.transcript_id, []).append(t)
     return out
 
 
@@ -290,8 +295,11 @@ def _judge(broadcast):
             best = totals.argmin(axis=1)
             telling = ((size.words + size.chars / 3).to_numpy() >= 3) & (weight > 0.99)
             sure = clauses[clauses.margin >= MARGIN_BITS]
-            merged = sure.groupby(["text", "best"])[["words", "chars"]].sum().reset_index()
-            merged = merged[(merged.words >= LEAST_WORDS) | (merged.chars >= LEAST_CHARS)]
+            # a sentence is one or several neighbouring clauses of a language, with at most one between that doesn't tell
+            t, l, place = sure.text.to_numpy(), sure.best.to_numpy(), sure.index.to_numpy()
+            run = np.cumsum(np.r_[True, (t[1:] != t[:-1]) | (l[1:] != l[:-1]) | (np.diff(place) > 2)]) if len(sure) else np.empty(0, int)
+            merged = sure.groupby(run).agg(text=("text", "first"), best=("best", "first"), words=("words", "sum"), chars=("chars", "sum"))
+            merged = merged[(merged.words >= LEAST_WORDS) | (merged.chars >= LEAST_CHARS)].drop_duplicates(["text", "best"])
             lists: list[list[int] | None] = [None] * n
             for t, l in zip(merged.text, merged.best):
                 lists[t] = (lists[t] or []) + [int(l)]
