@@ -7,13 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.catalog.relational import CUE, DUR, GAP, QUERIES, SQL, TR, UNI, _bounds, _gaps, c, query
+from cuelake.catalog.relational import CUE, DUR, GAP, MEDIA, QUERIES, SQL, TR, UNI, WIN, _bounds, _gaps, _media, c, query, windows
 from cuelake.catalog.scalars import sql_clock, sql_stamp
 from cuelake.functions import times as tm
 from cuelake.functions.udfs import portable_name
 from cuelake.operators import cues as cu
 from cuelake.operators import folds, quality
-from cuelake.plans import planning
+from cuelake.plans import incremental, planning
 from cuelake.sinks import render
 from cuelake.sources import captions, seams
 from cuelake.sources.tables import current_transcripts, latest_by, table
@@ -315,3 +315,42 @@ def streamed_contents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["ST03"] = folded_stream
 QUERIES["ST04"] = streamed_contents
+
+
+@query("SRC13", f"WITH {MEDIA} SELECT media, ordinal, ordinal * 2000 AS at_ms, ordinal // 32 AS batch FROM media, unnest(range(0, (duration_ms - 1) // 2000 + 1)) AS t(ordinal) WHERE duration_ms > 0")
+def sampling_grid(spark: SparkSession, d: str) -> DataFrame:
+    return stream.frame_grid(_media(spark, d), 2000)
+
+
+QUERIES["ST01"] = lambda spark, d: sampling_grid(spark, d).groupBy("media", "batch").agg(F.count(F.lit(1)).alias("frames"))
+SQL["ST01"] = f"WITH {MEDIA} SELECT media, ordinal // 32 AS batch, count(*) AS frames FROM media, unnest(range(0, (duration_ms - 1) // 2000 + 1)) AS t(ordinal) GROUP BY 1, 2"
+QUERIES["ST02"] = lambda spark, d: table(spark, d, "observations").where("source_key is not null").groupBy("source_key").agg(F.min("frame_ordinal").alias("first"), F.max("frame_ordinal").alias("last"), F.countDistinct("frame_ordinal").alias("frames"))
+SQL["ST02"] = "SELECT source_key, min(frame_ordinal) AS first, max(frame_ordinal) AS last, count(DISTINCT frame_ordinal) AS frames FROM observations WHERE source_key IS NOT NULL GROUP BY 1"
+
+
+@query("RES04", "SELECT source_key AS key, CASE WHEN coalesce(bool_and(source_key % 3 <> 0), false) THEN 'complete' ELSE 'downloading' END AS state FROM sources WHERE source_key IS NOT NULL GROUP BY 1")
+def media_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as downloads that ended; the file of every third isn't what was noted."""
+    s = table(spark, d, "sources").where("source_key is not null")
+    e = s.select(c("source_key").alias("key"), F.lit("complete").alias("state"), c("url").alias("path"), F.lit(5).alias("size"), F.when(c("source_key") % 3 == 0, 4).otherwise(5).alias("actual_size"), c("ingested_at").alias("at"))
+    return incremental.manifest(e).select("key", "state")
+
+
+@query("RES06", f"WITH {WIN} SELECT media, chunk, ws, we, chunk % 4 = 1 OR chunk % 4 = 2 AS reusable FROM win")
+def reusable_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Kept results of two in four windows; a third of four has other bounds, and one of the two is a silent chunk."""
+    w = windows(spark, d)
+    r = w.where("chunk % 4 > 0").select("media", "chunk", "ws", F.when(c("chunk") % 4 == 3, c("we") + 1).otherwise(c("we")).alias("we"), F.when(c("chunk") % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("cues"))
+    return incremental.chunk_checkpoints(r, w)
+
+
+@query("RES08", "SELECT transcript_id AS key, CASE WHEN NOT coalesce(verification_pending, true) THEN 'keep' WHEN source_key % 2 = 0 THEN 'active' ELSE 'remove' END AS action FROM transcripts WHERE source_key IS NOT NULL")
+def incomplete_tasks(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "transcripts").where("source_key is not null")
+    return incremental.clearable(t.select(c("transcript_id").alias("key"), (~F.coalesce("verification_pending", F.lit(True))).alias("completed"), F.lit(False).alias("is_link"), (c("source_key") % 2 == 0).alias("locked")))
+
+
+@query("RES10", f"WITH {TR} SELECT transcript_id FROM tr WHERE method NOT LIKE '%captions%' AND source_key IN (SELECT source_key FROM tr WHERE method LIKE '%captions%')")
+def abandoned_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    t = current_transcripts(spark, d).withColumnRenamed("source_key", "key")
+    return incremental.abandoned(t.where("method not like '%captions%'"), t.where("method like '%captions%'")).select("transcript_id")

@@ -57,3 +57,62 @@ def run_incrementally(store: Store, work: DataFrame, compute) -> DataFrame:  # n
     missing = store.pending_work(work)
     store.put(compute(missing))
     return store.finished(work)
+
+
+class EphemeralStore:
+    """The store's interface for runs that keep nothing: everything is always missing."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._kept = spark, spark.createDataFrame([], StructType.fromDDL("key string, identity string, payload string"))
+
+    def pending_work(self, work: DataFrame) -> DataFrame:
+        return work
+
+    def put(self, results: DataFrame) -> None:
+        self._kept = results.where(~F.coalesce("pending", F.lit(False))).select("key", "identity", "payload").persist()
+
+    def finished(self, work: DataFrame) -> DataFrame:
+        return work.join(self._kept, ["key", "identity"])
+
+
+def open_store(spark: SparkSession, path: str | None, revision: str) -> tuple[Store | EphemeralStore, str | None]:
+    """A store, or, where the folder can't be used, an ephemeral one with a warning: storage trouble stops no work."""
+    if path is None:
+        return EphemeralStore(spark), None
+    try:
+        store = Store(spark, path, revision)
+        store.rows().limit(1).collect()
+    except Exception as x:
+        return EphemeralStore(spark), f"results can't be kept: {' '.join(str(x).split())[:160]}"
+    return store, None
+
+
+def manifest(events: DataFrame) -> DataFrame:
+    """(key, state, path, size): the newest event of each medium; 'complete' only where the file has the size noted.
+
+    ``events``: (key, state, path, size, actual_size, at). A medium whose file is gone or of another size is downloaded
+    again.
+    """
+    newest = events.groupBy("key").agg(F.max(F.struct("at", "state", "path", "size", "actual_size")).alias("n"))
+    whole = (F.col("n.state") == "complete") & F.col("n.size").eqNullSafe(F.col("n.actual_size")) & F.col("n.size").isNotNull()
+    return newest.select("key", F.when(whole, "complete").otherwise("downloading").alias("state"), "n.path", "n.size")
+
+
+def chunk_checkpoints(results: DataFrame, windows: DataFrame) -> DataFrame:
+    """(media, chunk, ws, we, reusable): windows whose kept result has exactly their bounds and recipe; a silent chunk's
+    empty result counts, a missing one doesn't."""
+    r = results.select("media", "chunk", F.col("ws").alias("r_ws"), F.col("we").alias("r_we"), "cues")
+    j = windows.join(r, ["media", "chunk"], "left")
+    ok = (F.col("ws") == F.col("r_ws")) & (F.col("we") == F.col("r_we")) & F.col("cues").isNotNull()
+    return j.select("media", "chunk", "ws", "we", F.coalesce(ok, F.lit(False)).alias("reusable"))
+
+
+def clearable(tasks: DataFrame) -> DataFrame:
+    """(key, action): incomplete tasks are removed, locked ones are left active, completed ones and links are kept."""
+    action = F.when(F.col("completed") | F.col("is_link"), "keep").when(F.col("locked"), "active").otherwise("remove")
+    return tasks.select("key", action.alias("action"))
+
+
+def abandoned(fallbacks: DataFrame, captions: DataFrame) -> DataFrame:
+    """Fallback work (key, ...) of media for which captions have arrived since: nothing needs it any more."""
+    return fallbacks.join(captions.select("key").distinct(), "key", "left_semi")

@@ -74,3 +74,32 @@ def write_batches(stream: DataFrame, key: list[str], target: str, checkpoint: st
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def frame_grid(media: DataFrame, interval_ms: int) -> DataFrame:
+    """(media, ordinal, at_ms, batch): the sampling grid of each medium; ordinals are global, batches hold BATCH_FILES."""
+    g = media.where("duration_ms > 0").select("media", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(duration_ms - 1) div {interval_ms}"))).alias("ordinal"))
+    return g.select("media", "ordinal", (F.col("ordinal") * interval_ms).alias("at_ms"), F.floor(F.col("ordinal") / BATCH_FILES).alias("batch"))
+
+
+def progress_log(spark: SparkSession) -> list[tuple[str, int]]:
+    """Registers a listener and returns the list that it fills with (query name, input rows) of every micro-batch."""
+    from pyspark.sql.streaming.listener import StreamingQueryListener
+
+    seen: list[tuple[str, int]] = []
+
+    class Log(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:  # noqa: ANN001
+            pass
+
+        def onQueryProgress(self, event) -> None:  # noqa: ANN001
+            seen.append((event.progress.name or str(event.progress.id), event.progress.numInputRows))
+
+        def onQueryIdle(self, event) -> None:  # noqa: ANN001
+            pass
+
+        def onQueryTerminated(self, event) -> None:  # noqa: ANN001
+            pass
+
+    spark.streams.addListener(Log())
+    return seen

@@ -1,4 +1,5 @@
 import random
+import time
 import types
 
 import pytest
@@ -10,7 +11,7 @@ from cuelake.functions import times as tm
 from cuelake.functions.udfs import alike, portable
 from cuelake.operators import chunks, cues, folds, joins, sequences
 from cuelake.plans import hybrid, planning
-from cuelake.plans.incremental import Store, run_incrementally
+from cuelake.plans.incremental import EphemeralStore, Store, open_store, run_incrementally
 from cuelake.sinks import render
 from cuelake.sinks.bundles import Bundles, BundleWriter
 from cuelake.sources import captions, seams
@@ -255,3 +256,26 @@ def test_largest_finished_file():
 def test_authentication_is_one_of_two():
     with pytest.raises(ValueError, match="not both"):
         seams.Authentication("firefox", "c.txt")
+
+
+def test_storage_trouble_stops_no_work(spark, tmp_path):
+    bad = tmp_path / "file"
+    bad.write_text("no folder")
+    store, warning = open_store(spark, str(bad), "r1")
+    assert isinstance(store, EphemeralStore)
+    assert "can't be kept" in warning
+    work = spark.range(2).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.lit("i").alias("identity"))
+    assert run_incrementally(store, work, lambda m: m.select("key", "identity", F.lit("p").alias("payload"), F.lit(False).alias("pending"))).count() == 2
+    assert open_store(spark, None, "r1")[1] is None
+
+
+def test_progress_is_reported(spark, tmp_path):
+    seen = stream.progress_log(spark)
+    spark.createDataFrame([(1, i, i * 0.5, "a", 0.9, False) for i in range(3)], stream.FRAME).write.parquet(f"{tmp_path}/in")
+    stream.run_available(stream.read_frames(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(50):
+        if sum(n for _, n in seen) >= 3:
+            break
+        time.sleep(0.1)
+    assert sum(n for _, n in seen) >= 3
