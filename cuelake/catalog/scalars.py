@@ -12,6 +12,7 @@ from cuelake.functions import language as lang
 from cuelake.functions import text as tx
 from cuelake.functions import times as tm
 from cuelake.functions import udfs
+from cuelake.operators.sequences import running
 from cuelake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,13 +202,11 @@ def local_route(url: Column) -> Column:
 def frame_durations(frames: DataFrame) -> DataFrame:
     """(source_key, frame_ms): the smallest positive step between the frames of a source, 1000 where there is none.
 
-    The least step between distinct times is that between neighbours; times are made distinct before they are put in order.
+    The least step between distinct times is that between neighbours; a time's neighbour is the greatest before it.
     """
-    from pyspark.sql import Window
-
     t = frames.where(tm.finite(c("timestamp_seconds")) & c("source_key").isNotNull()).select("source_key", F.round(c("timestamp_seconds") * 1000).cast("bigint").alias("ms")).distinct()
-    step = c("ms") - F.lag("ms").over(Window.partitionBy("source_key").orderBy("ms"))
-    return t.withColumn("step", step).groupBy("source_key").agg(F.coalesce(F.min(F.when(c("step") > 0, c("step"))), F.lit(1000)).alias("frame_ms"))
+    before = running(t.withColumn("b", F.floor(c("ms") / 3_600_000)), ["source_key"], "b", ["ms"], c("ms"), "max", "before")
+    return before.withColumn("step", c("ms") - c("before")).groupBy("source_key").agg(F.coalesce(F.min(F.when(c("step") > 0, c("step"))), F.lit(1000)).alias("frame_ms"))
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.functions.text import collapse_ws, is_blank
+from cuelake.functions.times import finite
+from cuelake.operators.sequences import running
+
 #: More windows than this for one medium are an error.
 MOST_WINDOWS = 1_000_000
 
@@ -33,11 +37,7 @@ def rebase(results: DataFrame) -> DataFrame:
 def normal_speech(raw: DataFrame, key: str) -> DataFrame:
     """Raw recogniser rows (key, index, start, end, text): blank, invalid and non-finite ones go, starts are at least 0,
     ends at least starts; ``place`` numbers a window's rows by start, then index."""
-    from pyspark.sql import Window
-
-    from cuelake.functions.text import collapse_ws, is_blank
-    from cuelake.functions.times import finite
-
     ok = raw.where(~is_blank(F.col("text")) & finite(F.col("start")) & finite(F.col("end")))
     ok = ok.withColumn("text", collapse_ws(F.col("text"))).withColumn("start", F.greatest(F.lit(0.0), "start")).withColumn("end", F.greatest("start", "end"))
-    return ok.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("start", "index")))
+    placed = running(ok.withColumn("_b", F.floor(F.col("start") / 600)), [key], "_b", ["start", "index"], F.lit(1), "sum", "_n")
+    return placed.withColumn("place", F.col("_n") + 1).drop("_b", "_n")
