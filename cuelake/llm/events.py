@@ -23,6 +23,8 @@ BLOCK = 4096
 
 # Characters that recognisers take for each other, as one representative.
 CONFUSED = str.maketrans({"0": "o", "1": "i", "l": "i", "|": "i", "5": "s", "8": "b", "e": "c"})
+#: What texts without words may differ in.
+_SIGNS = glyphs.regex.compile(r"[\p{P}\s\p{Z}]+")
 #: Longest text, in characters, whose characters are aligned one by one; longer ones are compared word by word.
 UNSPACED = 4000
 
@@ -126,7 +128,7 @@ def nearly_same(a: str, b: str) -> bool:
         return True
     x, y = words_of(a), words_of(b)
     if x == y:
-        return bool(x) or glyphs.printed(a) == glyphs.printed(b)
+        return bool(x) or _SIGNS.sub("", glyphs.printed(a)) == _SIGNS.sub("", glyphs.printed(b))
     if not x or not y:
         return False
     if any(map(spaceless, x)) and any(map(spaceless, y)) and len(a) <= UNSPACED:

@@ -71,7 +71,10 @@ def test_very_long_texts_are_walked_once():
         ("主持人检查了合唱排练和八度跳进。", "主持人检查了合排练和八度跳进", True),
         ("整个团队画出了今天的议程。", "整个团队记下了今天的议程。", False),
         ("第28分钟，志愿者比较了通知", "第29分钟，志愿者比较了通知", False),
-        ("♪ ♪", "♪♪", False),
+        ("♪ ♪", "♪♪", True),
+        ("♪ ♪", "♪", False),
+        ("…", "...", True),
+        ("♪", "...", False),
         ("in a minute", "in minute", False),
     ],
 )
