@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.catalog import pipelines, relational, scalars
+from cuelake.catalog import pipelines, scalars
 from cuelake.plans import timeline_gaps
 
 QUERIES = {"p4_found": timeline_gaps.p4_found, **scalars.QUERIES, **pipelines.QUERIES}

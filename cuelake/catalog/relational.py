@@ -306,7 +306,7 @@ def usability(spark: SparkSession, d: str) -> DataFrame:
     b = _bounds(spark, d).select(c("key").alias("transcript_id"), c("limit_ms").alias("duration_ms"))
     v = _covered(spark, d).select(c("key").alias("transcript_id"), "covered_ms")
     s = _stats(spark, d).join(v, "transcript_id", "left").join(b, "transcript_id", "left").fillna(0, ["covered_ms"])
-    return s.select("transcript_id", quality.usable(s).alias("usable"))
+    return s.select("transcript_id", quality.usable().alias("usable"))
 
 
 OBS1 = "ob AS (SELECT DISTINCT ON (observation_id) * FROM observations)"

@@ -49,7 +49,7 @@ def sql_stamp(ms: str, sep: str) -> str:
     return f"{sql_clock(f'({ms}) // 1000')} || '{sep}' || lpad(CAST(({ms}) % 1000 AS VARCHAR), 3, '0')"
 
 
-def scalar(name: str, source: str, key: str, columns: dict[str, tuple[Column | Callable[[], Column], str]], where: str | None = None, twin: bool = True) -> None:
+def scalar(name: str, source: str, key: str, columns: dict[str, tuple[Column | Callable[[], Column], str]], where: str | None = None) -> None:
     """Register a query that evaluates ``columns`` on every row of ``source``; each has its Spark and SQL form."""
 
     def run(spark: SparkSession, directory: str) -> DataFrame:
@@ -58,8 +58,7 @@ def scalar(name: str, source: str, key: str, columns: dict[str, tuple[Column | C
         return rows.select(key, *[c().alias(n) for n, (c, _) in columns.items()])
 
     QUERIES[name] = run
-    if twin:
-        SQL[name] = f"SELECT {key}, " + ", ".join(f"{q} AS {n}" for n, (_, q) in columns.items()) + f" FROM {source}" + (f" WHERE {where.replace('NOT isnan(', 'isfinite(')}" if where else "")
+    SQL[name] = f"SELECT {key}, " + ", ".join(f"{q} AS {n}" for n, (_, q) in columns.items()) + f" FROM {source}" + (f" WHERE {where.replace('NOT isnan(', 'isfinite(')}" if where else "")
 
 
 c = F.col

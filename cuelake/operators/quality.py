@@ -39,9 +39,8 @@ def repeated_label(texts: DataFrame, key: str) -> DataFrame:
     return g.select(key, label.alias("label"))
 
 
-def usable(stats: DataFrame) -> Column:
+def usable() -> Column:
     """Policy over (n, kinds, chars, covered_ms, duration_ms, label): may the text stand for the medium's speech?"""
-    del stats
     c, d = F.col, F.coalesce(F.col("duration_ms"), F.lit(0))
     least = F.greatest(F.lit(60), F.bround(d / 60_000 * 15, 0))
     return (
