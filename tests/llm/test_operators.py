@@ -122,13 +122,6 @@ def test_repeats_across_blocks_are_found(spark):
     spark.catalog.clearCache()
 
 
-def held_out():
-    out = {}
-    for l, text in languages.SEEDS.items():
-        out[l] = [s for s in (languages.prepared(p) for p in text.replace("?", ".").replace("。", ".").replace("。", ".").split(".")) if len(s) > 14]
-    return out
-
-
 def test_languages_are_told_apart_without_any_labelled_row():
     model = languages.fit({})
     strange = {
