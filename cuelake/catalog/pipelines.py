@@ -194,6 +194,10 @@ def _frames_as_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["FOLD03"] = lambda spark, d: folds.decoded_runs(_frames_as_log(spark, d))
+SQL["FOLD03"] = f"""WITH {CUE}, l AS (SELECT transcript_id, list({{'s': s, 'e': e}} ORDER BY s, e, segment_id) AS a FROM cue WHERE e > s GROUP BY 1),
+f AS (SELECT transcript_id, list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN abs(x[1].s - acc[-1].e) <= 2
+  THEN list_concat(acc[1:len(acc) - 1], [{{'s': acc[-1].s, 'e': acc[-1].e + x[1].e - x[1].s}}]) ELSE list_concat(acc, x) END) AS o FROM l)
+SELECT transcript_id AS media, u.s AS run_start, u.e AS run_end FROM (SELECT transcript_id, unnest(o) AS u FROM f)"""
 
 
 def _progress(spark: SparkSession, d: str) -> DataFrame:

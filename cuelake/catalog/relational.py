@@ -479,6 +479,10 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["FOLD01"] = lambda spark, d: cu.merge_rolling(cu.cues(spark, d))
+SQL["FOLD01"] = f"""WITH {CUE}, l AS (SELECT transcript_id, list({{'s': s, 'e': e, 'text': text}} ORDER BY s, e, ordinal, segment_id, text) AS a FROM cue GROUP BY 1),
+f AS (SELECT transcript_id, list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN x[1].s <= acc[-1].e + 500 AND (starts_with(x[1].text, acc[-1].text) OR starts_with(acc[-1].text, x[1].text))
+  THEN list_concat(acc[1:len(acc) - 1], [{{'s': acc[-1].s, 'e': greatest(acc[-1].e, x[1].e), 'text': CASE WHEN length(x[1].text) > length(acc[-1].text) THEN x[1].text ELSE acc[-1].text END}}]) ELSE list_concat(acc, x) END) AS o FROM l)
+SELECT transcript_id, u.s AS s, u.e AS e, u.text AS text FROM (SELECT transcript_id, unnest(o) AS u FROM f)"""
 
 
 @query(
