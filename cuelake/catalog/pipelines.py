@@ -154,6 +154,11 @@ QUERIES["SNK05"] = lambda spark, d: render.bodies(_numbered(spark, d), render.cu
 SQL["SNK05"] = f"WITH {NUM} SELECT transcript_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_cue_sql('.')}, chr(10) || chr(10) ORDER BY place) AS document FROM nb GROUP BY 1"
 QUERIES["SNK06"] = lambda spark, d: render.segments_json(_heads(spark, d), _numbered(spark, d)).select("transcript_id", "payload")
 QUERIES["SNK07"] = lambda spark, d: render.metadata_json(_heads(spark, d), _numbered(spark, d))
+_META = "'url', url, 'platform', platform, 'source_id', source_id, 'title', title, 'author', author, 'duration_seconds', seconds, 'webpage_url', webpage_url, 'media_type', media_type"
+SQL["SNK07"] = f"""WITH {CUE}, {HEAD}, n AS (SELECT transcript_id, count(*) AS n FROM cue GROUP BY 1)
+SELECT transcript_id, CAST(json_object({_META}, 'language', language, 'extraction_method', method, 'segment_count', n, 'warnings', warnings) AS VARCHAR) AS payload FROM hd JOIN n USING (transcript_id)"""
+SQL["SNK06"] = f"""WITH {NUM}, {HEAD}, sg AS (SELECT transcript_id, list(json_object('start_seconds', s / 1000, 'end_seconds', e / 1000, 'text', text, 'confidence', confidence) ORDER BY place) AS segments FROM nb GROUP BY 1)
+SELECT transcript_id, CAST(json_object('schema_version', 1, 'metadata', json_object({_META}), 'language', language, 'extraction_method', method, 'warnings', warnings, 'segments', segments) AS VARCHAR) AS payload FROM hd JOIN sg USING (transcript_id)"""
 QUERIES["SNK09"] = lambda spark, d: _sources(spark, d).select("source_key", F.concat_ws("-", portable_name(F.coalesce("source_id", F.lit("")), F.lit("untitled")), portable_name(F.coalesce("title", F.lit("")), F.lit("untitled"))).alias("folder"))
 QUERIES["SNK10"] = lambda spark, d: table(spark, d, "transcripts").where(~F.coalesce("verification_pending", F.lit(False))).select("transcript_id", F.sha2(F.concat_ws("|", c("transcript_id").cast("string"), c("source_key").cast("string"), "method"), 256).alias("key"))
 SQL["SNK10"] = "SELECT transcript_id, sha256(concat_ws('|', CAST(transcript_id AS VARCHAR), CAST(source_key AS VARCHAR), method)) AS key FROM transcripts WHERE NOT coalesce(verification_pending, false)"
