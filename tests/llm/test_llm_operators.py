@@ -122,6 +122,18 @@ def test_repeats_across_blocks_are_found(spark):
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize("size", [8, 60, 170])
+@pytest.mark.parametrize("letters, gap, end", [("abcdefghijklmnoprstuvwyz", " ", "."), ("".join(map(chr, range(0x4E00, 0x5600))), "", "。")])
+def test_repeats_in_text_that_hardly_compresses_are_found(spark, letters, gap, end, size):
+    r = random.Random(size)
+    talk = [gap.join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(r.randint(5, 9))) + end for _ in range(size)]
+    rows = [(i, 5, i, None, None, t, None, NOW) for i, t in enumerate(talk + talk[: round(0.58 * size)])]
+    found = repetition.repetition(spark.createDataFrame(rows, SEG)).first()
+    assert found.band in repetition.CHECKED
+    assert found.share == pytest.approx(0.367, abs=0.05)
+    spark.catalog.clearCache()
+
+
 def test_languages_are_told_apart_without_any_labelled_row():
     model = languages.fit({})
     strange = {
