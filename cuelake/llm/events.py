@@ -175,8 +175,8 @@ def collapse_runs(rows: DataFrame, block: int = BLOCK, with_text: bool = True) -
     lagged = once.withColumn("before", F.lag("text").over(here)).join(edges.where("handed is not null"), ["stream", "key", "blk"], "left")
     lagged = lagged.withColumn("before", F.coalesce("before", F.when(F.lag("id").over(here).isNull(), F.col("handed")))).drop("handed")
     a, b = F.col("before"), F.col("text")
-    # a wide test in the JVM of what is worth comparing
-    near = (a != b) & (F.abs(F.length(a) - F.length(b)) <= 6 + F.least(F.length(a), F.length(b)) / 5)
+    # lengths tell nothing before the printed forms are known: marks, invisible characters and decomposed letters count too
+    near = a != b
     judged = lagged.withColumn("near", _nearly(F.when(near, a), F.when(near, b)))
     flagged = judged.withColumn("change", F.when((a == b) | F.coalesce("near", F.lit(False)), 0).otherwise(1))
     local = flagged.withColumn("run", F.sum("change").over(here.rowsBetween(Window.unboundedPreceding, 0)))

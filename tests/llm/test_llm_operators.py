@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,17 @@ def test_runs_match_a_plain_loop(spark, block):
     spark.catalog.clearCache()
 
 
+def test_lengths_of_code_points_break_no_run(spark):
+    korean = "오늘은 우리가 함께 회의실에서 만났다"
+    pairs = [(korean, unicodedata.normalize("NFD", korean)), ("We go home now", "\u200b".join("We go home now")), ("We go home now", "We go home now" + "!" * 40), ("We go", "We" + " " * 30 + "go")]
+    pairs += [("We go home now", "We go home now and then we all sit down to eat")]
+    rows = [("s", k, o, 2 * k + o, t, 0.0, 1.0) for k, p in enumerate(pairs) for o, t in enumerate(p)]
+    df = spark.createDataFrame(rows, "stream string, key bigint, ord int, id bigint, text string, start_seconds double, end_seconds double")
+    runs = events.collapse_runs(df)
+    assert sorted((r.key, r.n) for r in runs.collect()) == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 1), (4, 1)]
+    spark.catalog.clearCache()
+
+
 def test_alike_pairs_match_brute_force(spark):
     texts = ["the coffee break", "the cоffee break", "the  coffee break", "the coffee break", "The coffee break", "кофе на столе", "кoфe на столе", "Kuzоka", "Kuzοka", "ｔｈｅ coffee break", "the coffee", "coffеe"]
     rows = [("segment", i % 2, i, t) for i, t in enumerate(texts * 2)]
