@@ -134,6 +134,15 @@ def test_repeats_across_blocks_are_found(spark):
     spark.catalog.clearCache()
 
 
+def test_slips_hide_no_repeat_across_blocks(spark):
+    talk = [f"Speaker {i} explains the long {w} of the day to us." for i, w in enumerate(["map", "sauce", "court", "code", "bond", "choir", "knee", "match"] * 4)]
+    talk = [t.replace("Speaker", random.Random(i).choice(["Host", "Guest", "Child"])) for i, t in enumerate(talk)]
+    rows = [(i, 5, i, None, None, t, None, NOW) for i, t in enumerate(talk + [t.replace("explains", "explians") for t in talk[:16]] + [t.replace("the day", "the whole day") for t in talk[16:]])]
+    cut = repetition.repetition(spark.createDataFrame(rows, SEG), block=32).first()
+    assert cut.share == pytest.approx(0.5, abs=0.03)
+    spark.catalog.clearCache()
+
+
 @pytest.mark.parametrize("size", [8, 60, 170])
 @pytest.mark.parametrize("letters, gap, end", [("abcdefghijklmnoprstuvwyz", " ", "."), ("".join(map(chr, range(0x4E00, 0x5600))), "", "。")])
 def test_repeats_in_text_that_hardly_compresses_are_found(spark, letters, gap, end, size):
