@@ -1,5 +1,6 @@
 """Pure functions of the text operators."""
 
+import itertools
 import random
 
 import pytest
@@ -179,6 +180,16 @@ def test_small_changes_are_no_new_sentence():
         assert repetition.share([said, other])[1] == 0
 
 
+@pytest.mark.parametrize("n", [4, 5, 8, 12, 20])
+def test_two_slipped_words_anywhere_are_no_new_sentence(n):
+    said = [f"{c}word{c}" for c in "abcdefghijklmnopqrst"[:n]]
+    for i, j in itertools.combinations(range(n), 2):
+        again = [w.replace("wo", "ow") if k in (i, j) else w for k, w in enumerate(said)]
+        history = repetition.History()
+        assert not history.said(said)
+        assert history.said(again)
+
+
 def test_a_lost_closing_mark_hides_no_repeat():
     said = ["The host tests the long map.", "Nobody came to the room today."]
     total, repeated, _ = repetition.share([*said, "The host tests the long map", "nobody came to the room today."])
