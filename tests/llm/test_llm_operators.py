@@ -241,3 +241,46 @@ def test_too_many_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MOST_ITEM_CHARS", 3)
     with pytest.raises(ValueError, match="too many items"):
         leakage.leaked_items(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), [(1, "long text")])
+
+
+def test_like_sentences_of_earlier_blocks_match_brute_force(spark):
+    """Every level of keys, bucket sizes and words put in, against all pairs."""
+    rng = random.Random(5)
+    names = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+    said: list[str] = []
+    for _ in range(160):
+        n = rng.randint(0, 9)
+        words = rng.choice([
+            ["in", rng.choice(names), rng.choice(names), "the", "old", "guest", "calls", "the", "map", str(n)],
+            ["nobody", "from", rng.choice(names), "saw", rng.choice(["this", "that"]), "line", "twice"],
+            ["we", "said", rng.choice(names), str(n)],
+            ["a", "viewer", "of", "the", "chat", "asks", rng.choice(names), "about", rng.choice(names)],
+        ])
+        if rng.random() < 0.5 and said:
+            words = rng.choice(said).split(" ")
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(words))
+                w = words[k]
+                words[k] = w if len(w) < 4 else w[:1] + w[2:] if rng.random() < 0.5 else w[:-1] + "q"
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(len(words)), "well")
+        said.append(" ".join(words))
+    said = list(dict.fromkeys(said))
+    rows = [(i, 7, i // 20, w.replace(" ", repetition._SEP)) for i, w in enumerate(said)]
+    split = [tuple(w.split(" ")) for w in said]
+    wanted = {i for i, a in enumerate(split) if any(repetition.alike(a, b, False) for j, b in enumerate(split) if j // 20 < i // 20)}
+    assert 20 < len(wanted) < len(said)
+    frame = spark.createDataFrame(rows, "id bigint, transcript_id bigint, blk bigint, w string")
+    for light in (1, 4, 64):
+        assert {r.id for r in repetition.said_like_before(frame, light).collect()} == wanted, light
+    other = frame.withColumn("transcript_id", frame.blk)
+    assert repetition.said_like_before(other).count() == 0
+
+
+def test_null_ordinals_are_cut_into_blocks(spark):
+    texts = [f"The {a} of the {b} is seen from far away." for a in ("top", "roof", "wall", "door") for b in ("house", "barn", "mill")]
+    rows = [(1, None, i, t, 0.0) for i, t in enumerate(texts + texts)]
+    kept = [(r[0], r[1], r[2], r[3]) for r in rows]
+    frame = spark.createDataFrame(kept, "transcript_id bigint, ordinal int, segment_id bigint, text string")
+    whole, cut = repetition.repetition(frame).first(), repetition.repetition(frame, block=4).first()
+    assert (whole.chars, whole.repeated) == (cut.chars, cut.repeated) and cut.share == 0.5
