@@ -1,36 +1,42 @@
 """Evaluation texts in training documents by greedy string tiling.
 
-The items are few and fixed; they are tokenised once, with an index of all their short token runs. A document meets the
-index by the rolling hashes of its own runs (shared-token seeds), which names the items and the passage worth tiling. In
-that passage the longest common runs are marked first and never overlap; runs shorter than a seed between two marked ones
-are bridged word by word, so that slips of characters, insertions and exchanged words don't end a passage. The marked
-share of the item, in the item's order, and the item's own names and numbers among it decide.
+The items are tokenised once, with an index of their own words and of all their short token runs. A document meets the
+items of which it has own words, and of those it meets the places where it shares token runs (seeds); places of one item
+that lie close together are a passage. A passage is tiled: running Karp-Rabin finds the longest common runs of unmarked
+tokens, they are marked from the longest on, never overlapping, and the search goes on with shorter runs. What the tiles
+cover in any order is the coverage, so reordered passages count. For passages in the item's order the heaviest chain of
+tiles is kept and what stands between two of its tiles is aligned word by word, so that slips of characters, insertions
+and exchanged words don't end a passage.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuelake.llm import glyphs
 from cuelake.llm.events import slips
 from cuelake.sources.tables import table
 
-#: Tokens of a seed, and of the shortest tile that is searched for.
+#: Tokens of a seed, and of the shortest tile.
 SEED, TILE = 3, 2
 #: Share of an item's characters that a document must hold, and of the item's names and numbers in the part it holds.
 COVERED, OWN = 0.5, 0.5
-#: Share of an item's tokens in seeds from which a passage is tiled: far below COVERED.
+#: Share of an item's tokens that must stand in seeds of a passage for it to be tiled: far below COVERED.
 SEEDED = 0.15
-#: Share of an item's own words that must stand somewhere in the document for a passage to be tiled: far below OWN x COVERED.
+#: Share of an item's own words that must stand in the document for its seeds to be looked at: far below OWN x COVERED.
 PRESENT = 0.15
-#: Most items, characters in all: the bound under which the index is sent to every task.
+#: Characters of items that one task holds at once; more items are sought block by block.
 MOST_ITEM_CHARS = 50_000_000
+#: Base and modulus (a Mersenne prime) of the rolling hash.
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
 _TIMES = regex.compile(
     r"^\s*\d+\s*$(?=\s*^\s*\d{1,2}:\d\d)|\[?\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*(?:-->|-|–)\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*\]?|<[^<>]{1,60}>", regex.M
@@ -53,6 +59,139 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(_BROKEN.sub("", lines.casefold()))
 
 
+def karp_rabin(a: list[int], b: list[int], free_a: bytearray, free_b: bytearray, s: int) -> list[tuple[int, int, int]]:
+    """All maximal common runs (place in a, place in b, length) of at least ``s`` free tokens, by running hashes.
+
+    Only the start of a run is reported, not every window of it. Negative tokens of ``b`` match nothing.
+    """
+    top = pow(_BASE, s - 1, _PRIME)
+    windows: dict[int, list[int]] = {}
+    h = run = 0
+    for i, x in enumerate(a):
+        if not free_a[i]:
+            h = run = 0
+            continue
+        if run >= s:
+            h -= a[i - s] * top
+        h = (h * _BASE + x) % _PRIME
+        run += 1
+        if run >= s:
+            windows.setdefault(h, []).append(i - s + 1)
+    found = []
+    h = run = 0
+    for j, x in enumerate(b):
+        if x < 0 or not free_b[j]:
+            h = run = 0
+            continue
+        if run >= s:
+            h -= b[j - s] * top
+        h = (h * _BASE + x) % _PRIME
+        run += 1
+        if run < s or h not in windows:
+            continue
+        q = j - s + 1
+        for p in windows[h]:
+            if p and q and free_a[p - 1] and free_b[q - 1] and a[p - 1] == b[q - 1]:
+                continue  # inside a run that began before
+            if a[p : p + s] != b[q : q + s]:
+                continue
+            n = s
+            while p + n < len(a) and q + n < len(b) and free_a[p + n] and free_b[q + n] and a[p + n] == b[q + n]:
+                n += 1
+            found.append((p, q, n))
+    return found
+
+
+def tiles(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: non-overlapping common runs (place in a, place in b, length), longest first.
+
+    The length searched for halves from round to round and jumps up where a run turns out much longer. Of equal runs the
+    first in ``a``, then in ``b``, is marked. Memory is linear in the texts and the runs of one round.
+    """
+    free_a, free_b = bytearray(b"\x01") * len(a), bytearray(b"\x01") * len(b)
+    out: list[tuple[int, int, int]] = []
+    s = max(least, min(16, len(a), len(b)))
+    while True:
+        found = karp_rabin(a, b, free_a, free_b, s)
+        longest = max((n for _, _, n in found), default=0)
+        if longest > 2 * s:
+            s = longest
+            found = [f for f in found if f[2] >= s]
+        again = False
+        for p, q, n in sorted(found, key=lambda f: (-f[2], f[0], f[1])):
+            if free_a.find(0, p, p + n) < 0 and free_b.find(0, q, q + n) < 0:
+                free_a[p : p + n] = free_b[q : q + n] = bytes(n)
+                out.append((p, q, n))
+            else:
+                again = True  # what is left of this run may still be long enough
+        if again and longest > s:
+            continue
+        if s == least:
+            if not again:
+                return out
+            continue
+        s = max(least, s // 2)
+
+
+def in_order(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The heaviest chain of tiles that keeps the item's order, by a tree of maxima over places in the document."""
+    found = sorted(found)
+    rank = {q: k + 1 for k, q in enumerate(sorted(q for _, q, _ in found))}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(found) + 1)
+    back: list[int] = []
+    best = (0, -1)
+    for k, (_, q, n) in enumerate(found):
+        i, before = rank[q] - 1, (0, -1)
+        while i > 0:
+            before = max(before, tree[i])
+            i &= i - 1
+        back.append(before[1])
+        here = (before[0] + n, k)
+        best = max(best, here)
+        i = rank[q]
+        while i < len(tree):
+            tree[i] = max(tree[i], here)
+            i += i & -i
+    chain, k = [], best[1]
+    while k >= 0:
+        chain.append(found[k])
+        k = back[k]
+    return chain[::-1]
+
+
+@lru_cache(1 << 18)
+def same_word(w: str, d: str) -> bool:
+    """Equal, or a word of four letters or more that differs by slips of characters, not at both ends; numbers must be equal."""
+    return w == d or (len(w) > 3 and (w[0] == d[0] or w[-1] == d[-1]) and not w[0].isdigit() and abs(len(w) - len(d)) < 3 and slips(w, d) < 3)
+
+
+def aligned(words: list[str], others: list[str]) -> list[int]:
+    """Places of ``words`` in the longest common subsequence with ``others``, slips aside."""
+    where: dict[str, list[int]] = {}
+    for j, d in enumerate(others):
+        where.setdefault(d, []).append(j)
+    ends: list[int] = []  # of chains of each length, the least end in others
+    chains: list[tuple[int, tuple | None]] = []
+    for k, w in enumerate(words):
+        if len(w) > 3:
+            met = sorted((j for d, js in where.items() if same_word(w, d) for j in js), reverse=True)
+        else:
+            met = where.get(w, [])[::-1]
+        for j in met:
+            n = bisect_left(ends, j)
+            link = (k, chains[n - 1] if n else None)
+            if n == len(ends):
+                ends.append(j)
+                chains.append(link)
+            elif j < ends[n]:
+                ends[n], chains[n] = j, link
+    out, link = [], chains[-1] if chains else None
+    while link:
+        out.append(link[0])
+        link = link[1]
+    return out[::-1]
+
+
 class Items:
     """The tokenised items, their seeds, and what is their own."""
 
@@ -61,196 +200,202 @@ class Items:
         self.ids = [i for i, _ in kept]
         self.token: dict[str, int] = {}
         self.texts = [t for _, t in kept]
-        self.codes = [np.array([self.token.setdefault(t, len(self.token)) for t in ts], np.int64) for ts in self.texts]
-        having: dict[int, int] = {}
+        self.codes = [[self.token.setdefault(t, len(self.token)) for t in ts] for ts in self.texts]
+        having = np.zeros(len(self.token), np.int64)
         for c in self.codes:
-            for t in set(c.tolist()):
-                having[t] = having.get(t, 0) + 1
+            having[list(set(c))] += 1
         many = max(2, len(kept) // 50)
-        self.own = [np.array([t[0].isdigit() or (having[int(c)] <= many and len(t) > 1) for t, c in zip(ts, cs)], bool) for ts, cs in zip(self.texts, self.codes)]
+        self.own = [np.array([t[0].isdigit() or (having[c] <= many and len(t) > 1) for t, c in zip(ts, cs)], bool) for ts, cs in zip(self.texts, self.codes)]
         self.size = [np.array([len(t) for t in ts]) for ts in self.texts]
-        self.rare = [set(c[o].tolist()) for c, o in zip(self.codes, self.own)]
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for n, c in enumerate(self.codes):
-            for p, h in enumerate(self.hashes(c).tolist()):
-                seeds.setdefault(h, []).append((n, p))
-        self.keys = np.array(sorted(seeds), np.int64)
-        self.places = [seeds[int(k)] for k in self.keys]
-
-    def hashes(self, codes: np.ndarray) -> np.ndarray:
-        """Exact rolling codes of all runs of SEED tokens: token numbers as digits; runs with an unknown token are -1."""
-        if len(codes) < SEED:
-            return np.empty(0, np.int64)
-        width, n = len(self.token) + 1, len(codes) - SEED + 1
-        h, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-        for k in range(SEED):
-            part = codes[k : k + n]
-            h = h * width + part
-            bad |= part < 0
-        h[bad] = -1
-        return h
-
-
-def tiles(a: np.ndarray, b: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: non-overlapping common runs (place in a, place in b, length), longest first.
+        self.seeds = [np.unique(runs(np.array(c, np.int64), min(SEED, len(c)))) for c in self.codes]
+        rare = [np.unique(np.array(c, np.int64)[o]) for c, o in zip(self.codes, self.own)]
+        self.places = [np.flatnonzero(o).tolist() for o in self.own]
+        self.wanted = np.array([max(1, int(np.ceil(PRESENT * len(r)))) if len(r) else 0 for r in rare], np.int64)
+        self.least_own = [_least_own(o, z) for o, z in zip(self.own, self.size)]
+        # postings of own words: items by code
+        codes = np.concatenate([*rare, np.empty(0, np.int64)])
+        of = np.repeat(np.arange(len(kept)), [len(r) for r in rare])
+        order = np.argsort(codes, kind="stable")
+        self.posted = of[order]
+        self.offsets = np.searchsorted(codes[order], np.arange(len(self.token) + 1))
 
-    Lengths of common runs are computed along diagonals, so that a round marks all tiles of the greatest length; of equal
-    runs the first in ``a``, then in ``b``, wins.
-    """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return []
-    same = a[:, None] == b[None, :]
-    i, j = np.nonzero(same)
-    diagonal = j - i
-    order = np.lexsort((i, diagonal))
-    i, j, diagonal = i[order], j[order], diagonal[order]
-    fresh = np.r_[True, (np.diff(i) != 1) | (np.diff(diagonal) != 0)]
-    start = np.flatnonzero(fresh)
-    length = np.diff(np.r_[start, len(i)])
-    runs = [(-int(l), int(i[s]), int(j[s])) for s, l in zip(start, length) if l >= least]
-    used_a, used_b = np.zeros(n, bool), np.zeros(m, bool)
-    heapq.heapify(runs)
-    out = []
-    while runs:
-        neg, p, q = heapq.heappop(runs)
-        l = -neg
-        free = ~(used_a[p : p + l] | used_b[q : q + l])
-        if free.all():
-            used_a[p : p + l] = used_b[q : q + l] = True
-            out.append((p, q, l))
-            continue
-        # the parts that are still free are offered again with their own length
-        edge = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
-        for s, e in zip(edge[::2], edge[1::2]):
-            if e - s >= least:
-                heapq.heappush(runs, (-int(e - s), p + int(s), q + int(s)))
-    return out
+    def met(self, present: np.ndarray) -> list[int]:
+        """Items of whose own words enough are among the codes ``present``; items without own words always are."""
+        first, n = self.offsets[present], self.offsets[present + 1] - self.offsets[present]
+        places = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.flatnonzero(np.bincount(self.posted[places], minlength=len(self.ids)) >= self.wanted).tolist()
 
 
-def in_order(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The heaviest chain of tiles that keeps the item's order."""
-    found = sorted(found)
-    best: list[tuple[int, int]] = []
-    for k, (p, q, l) in enumerate(found):
-        w, back = 0, -1
-        for h in range(k):
-            if found[h][0] + found[h][2] <= p and found[h][1] + found[h][2] <= q and best[h][0] > w:
-                w, back = best[h][0], h
-        best.append((w + l, back))
-    chain = []
-    k = max(range(len(best)), key=lambda x: best[x][0], default=-1)
-    while k >= 0:
-        chain.append(found[k])
-        k = best[k][1]
-    return chain[::-1]
+def _least_own(own: np.ndarray, size: np.ndarray) -> int:
+    """Fewest own words of any stretch of the item that is COVERED of it: fewer than OWN of these can't be a case."""
+    total, counted = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(own)]
+    ends = np.searchsorted(total, total[:-1] + COVERED * total[-1] - 1e-9)
+    ok = ends <= len(size)
+    return int((counted[ends[ok]] - counted[:-1][ok]).min()) if ok.any() else 0
+
+
+def runs(codes: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of all runs of ``n`` tokens; 0 where a token is unknown."""
+    if len(codes) < n or not n:
+        return np.empty(0, np.uint64)
+    h, bad = np.zeros(len(codes) - n + 1, np.uint64), np.zeros(len(codes) - n + 1, bool)
+    for k in range(n):
+        part = codes[k : k + len(h)]
+        h = (h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1)) ^ (h >> np.uint64(29))
+        bad |= part < 0
+    h[bad] = 0
+    return h
 
 
-def judge(items: Items, n: int, words: list[str], codes: np.ndarray, lo: int, hi: int) -> tuple[float, float]:
-    """Share of item ``n`` held by the document's tokens [lo, hi), and the share of its own words within what is held."""
-    item, texts = items.codes[n], items.texts[n]
-    part = codes[lo:hi]
-    chain = in_order(tiles(item, part))
-    held = np.zeros(len(item), bool)
-    bridge = [(0, 0, 0), *chain, (len(item), len(part), 0)]
-    for p, q, l in chain:
+def judge(items: Items, n: int, words: list[str], codes: list[int]) -> tuple[float, float, float, float]:
+    """(covered, covered_own, ordered, own) of item ``n`` in a passage: the share of the item in tiles of any order, the
+    share held in the item's order with words between tiles aligned, and the share of its own words within either."""
+    item, texts, size = items.codes[n], items.texts[n], items.size[n]
+    found = tiles(item, codes, min(TILE, len(item)))
+    tiled, held = np.zeros(len(item), bool), np.zeros(len(item), bool)
+    for p, _, l in found:
+        tiled[p : p + l] = True
+    chain = in_order(found)
+    for p, _, l in chain:
         held[p : p + l] = True
-    for (p, q, l), (p2, q2, _) in zip(bridge, bridge[1:]):
+    stops = [(0, 0, 0), *chain, (len(item), len(codes), 0)]
+    for k, ((p, q, l), (p2, q2, _)) in enumerate(zip(stops, stops[1:])):
         i, j, stop_i, stop_j = p + l, q + l, p2, q2
-        if (p, q, l) == (0, 0, 0):
-            j = max(0, stop_j - (stop_i - i) - 4)
-        if p2 == len(item) and q2 == len(part):
-            stop_j = min(stop_j, j + (stop_i - i) + 4)
-        if stop_i <= i or stop_j <= j or (stop_i - i) * (stop_j - j) > 4000:
-            continue
-        for k in range(i, stop_i):
-            for h in range(j, min(stop_j, j + 6)):
-                w, d = texts[k], words[lo + h]
-                if w == d or (not w[0].isdigit() and len(w) > 3 and abs(len(w) - len(d)) < 3 and slips(w, d) < 3):
-                    held[k] = True
-                    j = h + 1
-                    break
-    size = items.size[n]
-    covered = float(size[held].sum() / size.sum())
-    place = np.flatnonzero(held)
-    if not len(place):
-        return 0.0, 0.0
-    reach = np.zeros(len(item), bool)
-    reach[place[0] : place[-1] + 1] = True
-    own = items.own[n] & reach
-    return covered, float((held & own).sum() / own.sum()) if own.any() else 1.0
-
-
-def leaks(items: Items, text: str | None) -> list[tuple[int, float, float]]:
-    """(item number, covered share, own share) of the items that a document may hold; the caller applies thresholds."""
-    if not text or not len(items.keys):
+        if k == 0:  # before the first tile and behind the last one a passage is as long as the item
+            j = max(0, stop_j - 2 * (stop_i - i) - 4)
+        if k == len(chain):
+            stop_j = min(stop_j, j + 2 * (stop_i - i) + 4)
+        if chain and i < stop_i and j < stop_j:
+            held[[i + x for x in aligned(texts[i:stop_i], words[j:stop_j])]] = True
+    total = size.sum()
+
+    def own_share(part: np.ndarray) -> float:
+        place = np.flatnonzero(part)
+        if not len(place):
+            return 0.0
+        own = items.own[n][place[0] : place[-1] + 1]
+        return float((part[place[0] : place[-1] + 1] & own).sum() / own.sum()) if own.any() else 1.0
+
+    tiled |= held
+    return float(size[tiled].sum() / total), own_share(tiled), float(size[held].sum() / total), own_share(held)
+
+
+def passages(places: np.ndarray, room: int) -> list[tuple[int, int]]:
+    """[lo, hi) of the passages around seeds: seeds less than ``room`` apart belong together; a longer passage is cut into
+    overlapping pieces, so that every stretch of ``room`` tokens lies whole in one."""
+    cut = np.flatnonzero(np.diff(places) > room)
+    out = []
+    for a, b in zip(np.r_[0, cut + 1], np.r_[cut, len(places) - 1]):
+        lo, hi = int(places[a]), int(places[b]) + 1
+        while hi - lo > 2 * room:
+            out.append((lo, lo + 2 * room))
+            lo += room
+        out.append((lo, hi))
+    return out
+
+
+def _slipped(w: str, others: dict[int, list[str]]) -> bool:
+    """A slip of ``w`` is among words by length."""
+    return any(same_word(w, d) for n in range(len(w) - 2, len(w) + 3) for d in others.get(n, ()))
+
+
+def leaks(items: Items, text: str | None, pruned: bool = True) -> list[tuple[int, float, float, float, float]]:
+    """(item number, covered, covered_own, ordered, own) of the items that a document may hold: of each item its best passage.
+
+    The caller applies thresholds. Without ``pruned`` every passage with a seed of any item is tiled.
+    """
+    if not text or not items.ids:
         return []
     words = tokens(text)
-    if len(words) < SEED:
-        return []
     get = items.token.get
     codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    h = items.hashes(codes)
-    at = np.minimum(np.searchsorted(items.keys, h), len(items.keys) - 1)
-    hit = np.flatnonzero((items.keys[at] == h) & (h >= 0))
-    if not len(hit):
+    present = np.unique(codes[codes >= 0])
+    if not len(present):
         return []
-    met: dict[int, list[tuple[int, int]]] = {}
-    for d in hit.tolist():
-        for n, p in items.places[at[d]]:
-            met.setdefault(n, []).append((d, p))
+    hashed = {n: runs(codes, n) for n in {min(SEED, len(c)) for c in items.codes}}
     out = []
-    present = set(codes.tolist())
-    for n, pairs in met.items():
+    for n in items.met(present) if pruned else range(len(items.ids)):
         length = len(items.codes[n])
-        if items.rare[n] and len(items.rare[n] & present) < PRESENT * len(items.rare[n]):
+        h = hashed[min(SEED, length)]
+        seeds = items.seeds[n]
+        at = np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)
+        places = np.flatnonzero((seeds[at] == h) & (h > 0))
+        if not len(places) or (pruned and len(places) < SEEDED * length):
             continue
-        if len({p for _, p in pairs}) < SEEDED * length:
-            continue
-        # the passage: where a window of the item's length (and room for insertions) has most of its seeds
         room = int(length * 1.6) + 12
-        places = np.array([d for d, _ in pairs])
-        count = np.searchsorted(places, places + room, "right") - np.arange(len(places))
-        best: tuple[float, float] | None = None
-        for s in {int(np.argmax(count)), int(np.argmax(_own_hits(items, n, pairs, room)))}:
-            lo = max(0, int(places[s]) - length // 2 - 4)
-            r = judge(items, n, words, codes, lo, min(len(words), int(places[s]) + room + 4))
-            best = max(best or r, r, key=lambda x: (x[1] >= OWN, x[0]))
-        out.append((n, *best))
+        best: tuple[float, ...] | None = None
+        for lo, hi in passages(places, room):
+            inside = places[(places >= lo) & (places < hi)]
+            if pruned and len(np.unique(h[inside])) < SEEDED * length:
+                continue
+            lo, hi = max(0, lo - length // 2 - 4), min(len(words), hi + length // 2 + 4)
+            part = codes[lo:hi].tolist()
+            if pruned and not _owns_enough(items, n, words[lo:hi], part):
+                continue
+            r = judge(items, n, words[lo:hi], part)
+            best = max(best or r, r, key=lambda x: (x[3] >= OWN, x[2], x[0]))
+        if best:
+            out.append((n, *best))
     return out
 
 
-def _own_hits(items: Items, n: int, pairs: list[tuple[int, int]], room: int) -> np.ndarray:
-    own = items.own[n]
-    weight = np.array([own[p : p + SEED].sum() for _, p in pairs])
-    total = np.r_[0, np.cumsum(weight)]
-    places = np.array([d for d, _ in pairs])
-    return total[np.searchsorted(places, places + room, "right")] - total[np.arange(len(places))]
+def _owns_enough(items: Items, n: int, words: list[str], codes: list[int]) -> bool:
+    """As many of the item's own words stand in the passage, slips aside, as any case has."""
+    need = OWN * items.least_own[n]
+    there, texts, item = set(codes), items.texts[n], items.codes[n]
+    own = items.places[n]
+    count = sum(item[k] in there for k in own)
+    if count >= need:
+        return True
+    left = [texts[k] for k in own if item[k] not in there and len(texts[k]) > 3 and not texts[k][0].isdigit()]
+    if count + len(left) < need:
+        return False
+    others: dict[int, list[str]] = {}
+    for d in set(words):
+        others.setdefault(len(d), []).append(d)
+    return count + sum(_slipped(w, others) for w in left) >= need
+
+
+def blocks_of_items(items: DataFrame, most: int = MOST_ITEM_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text), distinct and in order, in lists of at most ``most`` characters (or one item)."""
+    block, chars = [], 0
+    for r in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
+        if block and chars + len(r.text) > most:
+            yield block
+            block, chars = [], 0
+        block.append((r.item_id, r.text))
+        chars += len(r.text)
+    if block:
+        yield block
 
 
-def leaked_items(documents: DataFrame, items: list[tuple[int, str]], covered: float = COVERED, own: float = OWN) -> DataFrame:
-    """(doc_id, item_id, covered, own): the documents that hold at least the given shares of an item.
+def leaked_items(documents: DataFrame, items: list[tuple[int, str]], covered: float = COVERED, own: float = OWN, ordered: bool = True) -> DataFrame:
+    """(doc_id, item_id, covered, covered_own, ordered, own): documents that hold at least the given shares of an item.
 
-    Narrow: each document is read once, whole, and no row is moved; every copy is judged. Null, empty and blank texts hold
-    nothing. The items travel with the task; more than MOST_ITEM_CHARS characters of them are an error.
+    ``ordered``: the share must be held in the item's order, else tiles of any order count. Narrow: each document is read
+    once, whole, and no row is moved; every copy is judged. Null, empty and blank texts hold nothing. ``items`` travel with
+    the task, so a caller with very many passes them in blocks (``blocks_of_items``); more than MOST_ITEM_CHARS characters
+    in several items at once are an error.
     """
-    if sum(len(t or "") for _, t in items) > MOST_ITEM_CHARS:
+    if len(items) > 1 and sum(len(t or "") for _, t in items) > MOST_ITEM_CHARS:
         raise ValueError("too many items to send to every task; pass them in several calls")
-    index = Items(sorted(items))
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    shared = documents.sparkSession.sparkContext.broadcast(Items(sorted(items)))
+    place = 3 if ordered else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            rows = [(d, known.ids[n], c, o) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, c, o in leaks(known, t) if c >= covered and o >= own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "covered", "own"]
-            )
+            rows = [(d, known.ids[r[0]], *r[1:]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in leaks(known, t) if r[place] >= covered and r[place + 1] >= own]
+            kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "covered", "covered_own", "ordered", "own"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, covered double, own double")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, covered double, covered_own double, ordered double, own double")
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents that hold evaluation items, over all documents and all items."""
-    items = [(r.item_id, r.text) for r in table(spark, directory, "eval_items").select("item_id", "text").distinct().collect()]
-    return leaked_items(table(spark, directory, "documents"), items).select("doc_id", "item_id").distinct()
+    """Documents that hold evaluation items in their order, over all documents and all items."""
+    documents = table(spark, directory, "documents")
+    found = documents.where(F.lit(False)).select("doc_id", F.lit(0).cast("bigint").alias("item_id"))
+    for block in blocks_of_items(table(spark, directory, "eval_items")):
+        found = found.unionByName(leaked_items(documents, block).select("doc_id", "item_id"))
+    return found.distinct()

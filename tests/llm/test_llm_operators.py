@@ -240,7 +240,7 @@ def test_areas_on_held_out_documents(spark):
 def test_too_many_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MOST_ITEM_CHARS", 3)
     with pytest.raises(ValueError, match="too many items"):
-        leakage.leaked_items(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), [(1, "long text")])
+        leakage.leaked_items(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), [(1, "long text"), (2, "other")])
 
 
 def test_like_sentences_of_earlier_blocks_match_brute_force(spark):
@@ -284,3 +284,9 @@ def test_null_ordinals_are_cut_into_blocks(spark):
     frame = spark.createDataFrame(kept, "transcript_id bigint, ordinal int, segment_id bigint, text string")
     whole, cut = repetition.repetition(frame).first(), repetition.repetition(frame, block=4).first()
     assert (whole.chars, whole.repeated) == (cut.chars, cut.repeated) and cut.share == 0.5
+
+
+def test_items_come_in_blocks_of_bounded_size(spark):
+    items = spark.createDataFrame([(2, "bb" * 5), (1, "a" * 9), (1, "a" * 9), (3, None), (4, "c" * 50)], "item_id bigint, text string")
+    assert [[i for i, _ in b] for b in leakage.blocks_of_items(items, 20)] == [[1, 2], [4]]
+    assert list(leakage.blocks_of_items(items.limit(0), 20)) == []

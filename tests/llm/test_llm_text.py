@@ -112,23 +112,61 @@ def test_repairs_follow_the_dominant_script():
 
 
 def test_tiles_are_longest_first_and_never_overlap():
-    import numpy as np
-
     r = random.Random(4)
     for _ in range(200):
-        a, b = (np.array([r.randint(0, 3) for _ in range(r.randint(0, 14))]) for _ in range(2))
+        a, b = ([r.randint(0, 3) for _ in range(r.randint(0, 14))] for _ in range(2))
         found = leakage.tiles(a, b)
         ina, inb = [], []
         for p, q, n in found:
             assert n >= leakage.TILE
-            assert a[p : p + n].tolist() == b[q : q + n].tolist()
+            assert a[p : p + n] == b[q : q + n]
             ina += range(p, p + n)
             inb += range(q, q + n)
         assert len(set(ina)) == len(ina)
         assert len(set(inb)) == len(inb)
-        longest = max((n for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i : i + n].tolist() == b[j : j + n].tolist()), default=0)
+        longest = max((n for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n]), default=0)
         if longest >= leakage.TILE:
             assert found[0][2] == longest
+        # nothing of two tokens or more is left unmarked
+        free_a, free_b = [-1 if i in ina else x for i, x in enumerate(a)], [-2 if j in inb else x for j, x in enumerate(b)]
+        assert not any(free_a[i : i + 2] == free_b[j : j + 2] for i in range(len(a) - 1) for j in range(len(b) - 1))
+
+
+def test_running_hashes_report_all_maximal_runs():
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = ([r.randint(0, 2) for _ in range(r.randint(0, 30))] for _ in range(2))
+        free_a, free_b = (bytearray(r.random() < 0.9 for _ in x) for x in (a, b))
+        s = r.randint(2, 4)
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                same = lambda k, i=i, j=j: 0 <= i + k < len(a) and 0 <= j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]
+                if same(0) and not same(-1):
+                    n = 1
+                    while same(n):
+                        n += 1
+                    if n >= s:
+                        want.add((i, j, n))
+        assert set(leakage.karp_rabin(a, b, free_a, free_b, s)) == want
+        free = [bytearray(b"\x01") * len(x) for x in (a, b)]
+        assert set(leakage.karp_rabin(a, b, *free, s)) >= set()
+
+
+def test_chains_match_brute_force():
+    r = random.Random(2)
+    for _ in range(100):
+        n = r.randint(0, 7)
+        at, to = r.sample(range(0, 60, 4), n), r.sample(range(0, 60, 4), n)
+        found = [(p, q, r.randint(1, 4)) for p, q in zip(at, to)]
+        best = 0
+        for mask in range(1 << n):
+            part = sorted(f for k, f in enumerate(found) if mask >> k & 1)
+            if all(x[1] < y[1] for x, y in zip(part, part[1:])):
+                best = max(best, sum(f[2] for f in part))
+        chain = leakage.in_order(found)
+        assert sum(f[2] for f in chain) == best
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(chain, chain[1:]))
 
 
 ITEM = "A crate in Runesa weighs 44.71 kilos and holds 230 reels, and a viewer questions the lemon glaze only after reel 8 has been rewound. Which statement about Dameni follows from minute 280?"
@@ -152,7 +190,64 @@ ITEM = "A crate in Runesa weighs 44.71 kilos and holds 230 reels, and a viewer q
 def test_leaks(text, leaks):
     others = [(i, ITEM.replace("Runesa", f"Name{i}").replace("44.71", f"{i}.{i}").replace("230", str(i * 3)).replace("Dameni", f"Other{i}").replace("280", str(i + 7))) for i in range(10, 20)]
     found = leakage.leaks(leakage.Items([(1, ITEM), *others]), text)
-    assert ([1] if leaks else []) == [([1, *(i for i, _ in others)])[n] for n, c, o in found if c >= leakage.COVERED and o >= leakage.OWN]
+    assert ([1] if leaks else []) == [([1, *(i for i, _ in others)])[n] for n, _, _, c, o in found if c >= leakage.COVERED and o >= leakage.OWN]
+
+
+SENTENCES = ["A crate in Runesa weighs 44.71 kilos and holds 230 reels.", "The narrator claims that 289 of 682 listeners in Nepapa remembered the league table.", "Between Kulaba and Kumeku the tram stops 9 times before noon."]
+
+
+def test_reordered_passages_are_covered_but_not_ordered():
+    index = leakage.Items([(1, " ".join(SENTENCES)), (2, "What would Mekuda have to change so that a null pointer no longer matters?")])
+    (n, covered, own, ordered, _) = leakage.leaks(index, "Hello. " + " ".join(SENTENCES[::-1]) + " Bye.")[0]
+    assert (index.ids[n], own) == (1, 1.0)
+    assert covered > 0.95
+    assert ordered < 0.6
+    (_, covered, _, ordered, _) = leakage.leaks(index, " ".join(SENTENCES))[0]
+    assert covered == ordered == 1.0
+
+
+def test_a_true_passage_is_found_behind_others_of_the_same_phrasing():
+    index = leakage.Items([(1, " ".join(SENTENCES))])
+    decoy = "A crate in Povida weighs 26.34 kilos and holds 353 reels. The narrator claims that 321 of 308 listeners in Bagoni remembered the league table. " + "Nothing else was said there. " * 30
+    found = leakage.leaks(index, decoy * 3 + " ".join(SENTENCES).replace("Kulaba", "Klaba") + " " + decoy * 3)
+    assert [round(x[3]) for x in found] == [1]
+
+
+def test_short_items_and_long_texts():
+    index = leakage.Items([(1, "Tedaka 220"), (2, "Rupoba"), (3, "x" * 10)])
+    assert {index.ids[r[0]] for r in leakage.leaks(index, "in Tedaka 220 tries") if r[3] >= 0.5} == {1}
+    assert {index.ids[r[0]] for r in leakage.leaks(index, "from Rupoba") if r[3] >= 0.5} == {2}
+    words = " ".join(f"w{i} of" for i in range(20_000))
+    index = leakage.Items([(1, words)])
+    assert leakage.leaks(index, words)[0][1:] == (1.0,) * 4
+
+
+def test_pruning_loses_nothing():
+    """Against the tiling of every passage that has a seed, on mixtures of items with slips."""
+    r = random.Random(6)
+    name = lambda: "".join(r.choice("BDFGKLMNPRSTVZ" if k == 0 else "bdfgklmnprstvz") + r.choice("aeiou") for k in range(3))
+    things = ["lemon glaze", "league table", "orbit diagram", "lava chart", "bass line"]
+    make = [
+        lambda: f"A crate in {name()} weighs {r.randint(1, 99)} kilos and holds {r.randint(1, 999)} reels of the {r.choice(things)}.",
+        lambda: f"The narrator claims that {r.randint(1, 999)} listeners in {name()} remembered the {r.choice(things)} at once.",
+        lambda: f"Between {name()} and {name()} the tram stops {r.randint(2, 12)} times for the {r.choice(things)}.",
+    ]
+    texts = [" ".join(m() for m in r.sample(make, 3)) for _ in range(12)]
+    index = leakage.Items(list(enumerate(texts)))
+    ok = lambda found: {index.ids[x[0]] for x in found if x[3] >= leakage.COVERED and x[4] >= leakage.OWN}
+    cases = 0
+    for _ in range(150):
+        words = r.choice(texts).split()
+        lo = r.randint(0, len(words) // 2)
+        words = words[lo : lo + r.randint(len(words) // 3, len(words))]
+        for _ in range(r.randint(0, 12)):
+            k = r.randrange(len(words))
+            words[k] = r.choice([words[k][:2] + words[k][3:], "uh " + words[k], r.choice(texts).split()[k % 20]])
+        text = " ".join([make[0](), *words, make[1]()])
+        full = ok(leakage.leaks(index, text, pruned=False))
+        assert ok(leakage.leaks(index, text)) == full
+        cases += len(full)
+    assert cases > 50
 
 
 def test_loops_and_said_before():
