@@ -11,6 +11,8 @@ and exchanged words don't end a passage.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,16 +49,31 @@ _BROKEN = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}，。、])\s+(?=[
 _LOOKALIKE = regex.compile(r"[Ͱ-ϿЀ-ԯ]")
 
 
+#: What the plain pattern of words can't part: marks, numbers that aren't decimal, scripts without word spaces.
+_SPECIAL = regex.compile(r"[\p{M}\p{No}\p{Nl}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+_PLAIN = re.compile(r"\d+|[^\W\d_]+")
+
+
 def tokens(text: str) -> list[str]:
     """Words, numbers and single characters of scripts without spaces, as they look in print and without cue times."""
-    lines = "\n".join(glyphs.printed(line) for line in _TIMES.sub(" ", text).replace("\r", "\n").split("\n"))
-    if _LOOKALIKE.search(lines):
-        around = glyphs.dominant(lines)
-        if around and max(around, key=lambda s: around[s]) == "L":
-            lines = lines.translate(glyphs.TO_LATIN)
-        else:
-            lines = glyphs.WORDS.sub(lambda m: glyphs.proposals(m[0], around) or m[0], lines)
-    return _TOKEN.findall(_BROKEN.sub("", lines.casefold()))
+    shown = text.replace("\r", "\n")
+    if ":" in shown or "<" in shown:
+        shown = _TIMES.sub(" ", shown)
+    if not shown.isascii():
+        shown = glyphs.INVISIBLE.sub("", shown)
+        if not unicodedata.is_normalized("NFKC", shown):
+            shown = unicodedata.normalize("NFKC", shown)
+        if _LOOKALIKE.search(shown):
+            around = glyphs.dominant(shown)
+            if around and max(around, key=lambda s: around[s]) == "L":
+                shown = shown.translate(glyphs.TO_LATIN)
+            elif glyphs.may_mix(shown):
+                shown = glyphs.WORDS.sub(lambda m: glyphs.proposals(m[0], around) or m[0], shown)
+        if _SPECIAL.search(shown):
+            return _TOKEN.findall(_BROKEN.sub("", shown.casefold()))
+    elif any(c < " " for c in set(shown)):
+        shown = glyphs.INVISIBLE.sub("", shown)
+    return _PLAIN.findall(shown.casefold())
 
 
 def karp_rabin(a: list[int], b: list[int], free_a: bytearray, free_b: bytearray, s: int) -> list[tuple[int, int, int]]:
@@ -209,6 +226,15 @@ class Items:
         self.size = [np.array([len(t) for t in ts]) for ts in self.texts]
         self.seeds = [np.unique(runs(np.array(c, np.int64), min(SEED, len(c)))) for c in self.codes]
         rare = [np.unique(np.array(c, np.int64)[o]) for c, o in zip(self.codes, self.own)]
+        # postings of seeds: items by seed
+        of_seed = np.repeat(np.arange(len(kept)), [len(x) for x in self.seeds])
+        hashes = np.concatenate([*self.seeds, np.empty(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.seed_items = of_seed[order]
+        self.seed_keys, first = np.unique(hashes[order], return_index=True)
+        self.seed_offsets = np.r_[first, len(hashes)]
+        self.seed_lengths = sorted({min(SEED, len(c)) for c in self.codes})
+        self.lengths = np.array([len(c) for c in self.codes], np.int64)
         self.places = [np.flatnonzero(o).tolist() for o in self.own]
         self.wanted = np.array([max(1, int(np.ceil(PRESENT * len(r)))) if len(r) else 0 for r in rare], np.int64)
         self.least_own = [_least_own(o, z) for o, z in zip(self.own, self.size)]
@@ -223,7 +249,22 @@ class Items:
         """Items of whose own words enough are among the codes ``present``; items without own words always are."""
         first, n = self.offsets[present], self.offsets[present + 1] - self.offsets[present]
         places = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.flatnonzero(np.bincount(self.posted[places], minlength=len(self.ids)) >= self.wanted).tolist()
+        return np.flatnonzero(np.bincount(self.posted[places], minlength=len(self.ids)) >= self.wanted)
+
+    def seeded(self, met: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """Those of the items ``met`` that have enough of their seeds among the runs ``hashed``; short items stay.
+
+        Postings of common seeds are only read where that is less than looking the items' own seeds up.
+        """
+        keys = np.unique(hashed)
+        at = np.minimum(np.searchsorted(self.seed_keys, keys), len(self.seed_keys) - 1)
+        at = at[self.seed_keys[at] == keys]
+        first, n = self.seed_offsets[at], self.seed_offsets[at + 1] - self.seed_offsets[at]
+        if n.sum() > 8 * len(met) * max(1, len(keys)):
+            return met
+        places = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        count = np.bincount(self.seed_items[places], minlength=len(self.ids))[met]
+        return met[(count >= SEEDED * self.lengths[met]) | (self.lengths[met] < SEED)]
 
 
 def _least_own(own: np.ndarray, size: np.ndarray) -> int:
@@ -312,9 +353,12 @@ def leaks(items: Items, text: str | None, pruned: bool = True) -> list[tuple[int
     present = np.unique(codes[codes >= 0])
     if not len(present):
         return []
-    hashed = {n: runs(codes, n) for n in {min(SEED, len(c)) for c in items.codes}}
+    hashed = {n: runs(codes, n) for n in items.seed_lengths}
+    candidates = np.arange(len(items.ids))
+    if pruned and len(candidates := items.met(present)):
+        candidates = items.seeded(candidates, hashed[SEED]) if SEED in hashed else candidates
     out = []
-    for n in items.met(present) if pruned else range(len(items.ids)):
+    for n in candidates.tolist():
         length = len(items.codes[n])
         h = hashed[min(SEED, length)]
         seeds = items.seeds[n]
