@@ -31,6 +31,9 @@ from cuelake.sources.tables import table
 SEED, TILE = 3, 2
 #: Share of an item's characters that a document must hold, and of the item's names and numbers in the part it holds.
 COVERED, OWN = 0.5, 0.5
+#: Least product of the two: who holds just half of an item must hold two thirds of its own words there, else it is the
+#: same phrasing with other facts.
+EVIDENCE = 1 / 3
 #: Share of an item's tokens that must stand in seeds of a passage for it to be tiled: far below COVERED.
 SEEDED = 0.15
 #: Share of an item's own words that must stand in the document for its seeds to be looked at: far below OWN x COVERED.
@@ -226,6 +229,7 @@ class Items:
         self.size = [np.array([len(t) for t in ts]) for ts in self.texts]
         self.seeds = [np.unique(runs(np.array(c, np.int64), min(SEED, len(c)))) for c in self.codes]
         rare = [np.unique(np.array(c, np.int64)[o]) for c, o in zip(self.codes, self.own)]
+        self.own_runs = [_own_in_runs(c, o, x) for c, o, x in zip(self.codes, self.own, self.seeds)]
         # postings of seeds: items by seed
         of_seed = np.repeat(np.arange(len(kept)), [len(x) for x in self.seeds])
         hashes = np.concatenate([*self.seeds, np.empty(0, np.uint64)])
@@ -236,7 +240,7 @@ class Items:
         self.seed_lengths = sorted({min(SEED, len(c)) for c in self.codes})
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
         self.places = [np.flatnonzero(o).tolist() for o in self.own]
-        self.wanted = np.array([max(1, int(np.ceil(PRESENT * len(r)))) if len(r) else 0 for r in rare], np.int64)
+        self.wanted = np.array([max(1, int(PRESENT * len(r))) if len(r) else 0 for r in rare], np.int64)
         self.least_own = [_least_own(o, z) for o, z in zip(self.own, self.size)]
         # postings of own words: items by code
         codes = np.concatenate([*rare, np.empty(0, np.int64)])
@@ -275,6 +279,15 @@ def _least_own(own: np.ndarray, size: np.ndarray) -> int:
     return int((counted[ends[ok]] - counted[:-1][ok]).min()) if ok.any() else 0
 
 
+def _own_in_runs(codes: list[int], own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """How many own words each seed of an item holds."""
+    n = min(SEED, len(codes))
+    count = np.convolve(own.astype(np.int64), np.ones(n, np.int64), "valid")
+    out = np.zeros(len(seeds), np.int64)
+    np.maximum.at(out, np.searchsorted(seeds, runs(np.array(codes, np.int64), n)), count)
+    return out
+
+
 def runs(codes: np.ndarray, n: int) -> np.ndarray:
     """Numbers of all runs of ``n`` tokens; 0 where a token is unknown."""
     if len(codes) < n or not n:
@@ -288,6 +301,18 @@ def runs(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def dense(held: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretch of an item in which what is held outweighs half of what isn't by most: stray words far from it are none
+    of the passage."""
+    total = np.r_[0.0, np.cumsum(np.where(held, size, -size / 2))]
+    low = np.minimum.accumulate(total)
+    end = int(np.argmax(total - low))
+    start = int(np.argmin(total[: end + 1]))
+    out = np.zeros(len(held), bool)
+    out[start:end] = True
+    return out
+
+
 def judge(items: Items, n: int, words: list[str], codes: list[int]) -> tuple[float, float, float, float]:
     """(covered, covered_own, ordered, own) of item ``n`` in a passage: the share of the item in tiles of any order, the
     share held in the item's order with words between tiles aligned, and the share of its own words within either."""
@@ -303,9 +328,9 @@ def judge(items: Items, n: int, words: list[str], codes: list[int]) -> tuple[flo
     for k, ((p, q, l), (p2, q2, _)) in enumerate(zip(stops, stops[1:])):
         i, j, stop_i, stop_j = p + l, q + l, p2, q2
         if k == 0:  # before the first tile and behind the last one a passage is as long as the item
-            j = max(0, stop_j - 2 * (stop_i - i) - 4)
+            j = max(0, stop_j - (stop_i - i) - 4)
         if k == len(chain):
-            stop_j = min(stop_j, j + 2 * (stop_i - i) + 4)
+            stop_j = min(stop_j, j + (stop_i - i) + 4)
         if chain and i < stop_i and j < stop_j:
             held[[i + x for x in aligned(texts[i:stop_i], words[j:stop_j])]] = True
     total = size.sum()
@@ -317,24 +342,32 @@ def judge(items: Items, n: int, words: list[str], codes: list[int]) -> tuple[flo
         own = items.own[n][place[0] : place[-1] + 1]
         return float((part[place[0] : place[-1] + 1] & own).sum() / own.sum()) if own.any() else 1.0
 
+    held &= dense(held, size)
     tiled |= held
     return float(size[tiled].sum() / total), own_share(tiled), float(size[held].sum() / total), own_share(held)
 
 
-def passages(places: np.ndarray, room: int) -> list[tuple[int, int]]:
-    """[lo, hi) of the passages around seeds: seeds less than ``room`` apart belong together; a longer passage is cut into
-    overlapping pieces, so that every stretch of ``room`` tokens lies whole in one."""
-    cut = np.flatnonzero(np.diff(places) > room)
+def passages(places: np.ndarray, weight: np.ndarray, room: int) -> list[int]:
+    """Seeds at which passages of ``room`` tokens begin: the heaviest first, then the next heaviest that begins at least
+    half a passage away from all before it, until every seed is near one."""
+    total = np.r_[0, np.cumsum(weight)]
+    held = total[np.searchsorted(places, places + room, "right")] - total[:-1]
+    order = np.lexsort((places, -held))
+    near = np.zeros(len(places), bool)
     out = []
-    for a, b in zip(np.r_[0, cut + 1], np.r_[cut, len(places) - 1]):
-        lo, hi = int(places[a]), int(places[b]) + 1
-        while hi - lo > 2 * room:
-            out.append((lo, lo + 2 * room))
-            lo += room
-        out.append((lo, hi))
+    for k in order.tolist():
+        if not near[k]:
+            out.append(int(places[k]))
+            near |= np.abs(places - places[k]) < room // 2
+            if near.all():
+                break
     return out
 
 
+def is_case(held: float, own_held: float, covered: float = COVERED, own: float = OWN) -> bool:
+    return held >= covered and own_held >= own and held * own_held >= EVIDENCE * (covered / COVERED) * (own / OWN)
+
+
 def _slipped(w: str, others: dict[int, list[str]]) -> bool:
     """A slip of ``w`` is among words by length."""
     return any(same_word(w, d) for n in range(len(w) - 2, len(w) + 3) for d in others.get(n, ()))
@@ -368,11 +401,15 @@ def leaks(items: Items, text: str | None, pruned: bool = True) -> list[tuple[int
             continue
         room = int(length * 1.6) + 12
         best: tuple[float, ...] | None = None
-        for lo, hi in passages(places, room):
-            inside = places[(places >= lo) & (places < hi)]
+        own = items.own_runs[n][at[places]]
+        starts = passages(places, np.ones(len(places), np.int64), room)
+        if own.any():
+            starts += passages(places, own, room)
+        for start in sorted(set(starts)):
+            inside = places[(places >= start) & (places <= start + room)]
             if pruned and len(np.unique(h[inside])) < SEEDED * length:
                 continue
-            lo, hi = max(0, lo - length // 2 - 4), min(len(words), hi + length // 2 + 4)
+            lo, hi = max(0, start - length // 2 - 4), min(len(words), start + room + 4)
             part = codes[lo:hi].tolist()
             if pruned and not _owns_enough(items, n, words[lo:hi], part):
                 continue
@@ -414,7 +451,8 @@ def blocks_of_items(items: DataFrame, most: int = MOST_ITEM_CHARS) -> Iterator[l
 
 
 def leaked_items(documents: DataFrame, items: list[tuple[int, str]], covered: float = COVERED, own: float = OWN, ordered: bool = True) -> DataFrame:
-    """(doc_id, item_id, covered, covered_own, ordered, own): documents that hold at least the given shares of an item.
+    """(doc_id, item_id, covered, covered_own, ordered, own): documents that hold at least the given shares of an item,
+    and of the two together what EVIDENCE asks for.
 
     ``ordered``: the share must be held in the item's order, else tiles of any order count. Narrow: each document is read
     once, whole, and no row is moved; every copy is judged. Null, empty and blank texts hold nothing. ``items`` travel with
@@ -429,7 +467,7 @@ def leaked_items(documents: DataFrame, items: list[tuple[int, str]], covered: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            rows = [(d, known.ids[r[0]], *r[1:]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in leaks(known, t) if r[place] >= covered and r[place + 1] >= own]
+            rows = [(d, known.ids[r[0]], *r[1:]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in leaks(known, t) if is_case(r[place], r[place + 1], covered, own)]
             kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "covered", "covered_own", "ordered", "own"])
 
