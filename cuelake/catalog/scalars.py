@@ -12,7 +12,7 @@ from cuelake.functions import language as lang
 from cuelake.functions import text as tx
 from cuelake.functions import times as tm
 from cuelake.functions import udfs
-from cuelake.operators.sequences import running
+from cuelake.operators.sequences import previous, running
 from cuelake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,23 +209,21 @@ def frame_durations(frames: DataFrame) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Observations with the text of the reading before, per source; blocks of frames keep sequences short."""
-    from pyspark.sql import Window
-
+    """Observations with the text of the reading before, per source, over the borders of blocks of frames."""
     o = table(spark, d, "observations").where("text is not null and source_key is not null and frame_ordinal is not null")
-    w = Window.partitionBy("source_key", F.expr("frame_ordinal div 4096")).orderBy("frame_ordinal", "observation_id", "loaded_at")
-    return o.select("observation_id", "text", F.lag("text").over(w).alias("before")).where("before is not null")
+    rows = o.select("observation_id", "source_key", "frame_ordinal", "loaded_at", "text").withColumn("b", F.expr("frame_ordinal div 4096"))
+    return previous(rows, ["source_key"], "b", ["frame_ordinal", "observation_id", "loaded_at"], {"before": "text"}).where("before is not null")
 
 
-QUERIES["STR05"] = lambda spark, d: _neighbours(spark, d).select("observation_id", udfs.captions_alike("before", "text").alias("alike"))
-_PAIR = """SELECT observation_id, text, lag(text) OVER (PARTITION BY source_key, frame_ordinal // 4096 ORDER BY frame_ordinal, observation_id, loaded_at) AS before
+QUERIES["STR05"] = lambda spark, d: _neighbours(spark, d).select("observation_id", udfs.captions_alike(c("before"), c("text")).alias("alike"))
+_PAIR = """SELECT observation_id, text, lag(text) OVER (PARTITION BY source_key ORDER BY frame_ordinal, observation_id, loaded_at) AS before
 FROM observations WHERE text IS NOT NULL AND source_key IS NOT NULL AND frame_ordinal IS NOT NULL"""
 _LCP = "left(before, len(list_filter(range(1, least(length(before), length(text)) + 1), lambda i: left(before, i) = left(text, i))))"
 QUERIES["STR06"] = lambda spark, d: _neighbours(spark, d).select("observation_id", tx.common_prefix(c("before"), c("text")).alias("prefix"))
 SQL["STR06"] = f"SELECT observation_id, {_LCP} AS prefix FROM ({_PAIR}) WHERE before IS NOT NULL"
-QUERIES["STR07"] = lambda spark, d: _neighbours(spark, d).select("observation_id", tx.stable_core(c("before"), c("text")).alias("core"))
+QUERIES["STR07"] = lambda spark, d: _neighbours(spark, d).select("observation_id", tx.agreed_start(c("before"), c("text")).alias("core"))
 SQL["STR07"] = f"""
 WITH p AS (SELECT observation_id, before, text, {_LCP} AS lcp FROM ({_PAIR}) WHERE before IS NOT NULL),
 q AS (SELECT *, rtrim(lcp) AS core, trim(substr(before, length(lcp) + 1)) AS l, trim(substr(text, length(lcp) + 1)) AS r, least(length({sql_fold("before")}), length({sql_fold("text")})) AS n FROM p)
 SELECT observation_id, CASE WHEN core <> '' AND l <> '' AND r <> '' AND l <> r AND length(l) <= 2 AND length(r) <= 2 AND n >= 4 AND length({sql_fold("core")}) >= 0.8 * n THEN core ELSE '' END AS core FROM q"""
-QUERIES["STR08"] = lambda spark, d: table(spark, d, "sources").select("source_key", udfs.portable_name("title", "source_id").alias("name"))
+QUERIES["STR08"] = lambda spark, d: table(spark, d, "sources").select("source_key", udfs.portable_name(c("title"), c("source_id")).alias("name"))

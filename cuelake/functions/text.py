@@ -24,13 +24,6 @@ def fold_caption(text: Column) -> Column:
     return F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")), r"[^\p{L}\p{N}]+", "")
 
 
-def unescape_basic(text: Column) -> Column:
-    """The five basic entities; the ampersand last, so that nothing is unescaped twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
 def escape_markup(text: Column) -> Column:
     """Ampersand and angle brackets as entities; quotes stay."""
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -38,15 +31,19 @@ def escape_markup(text: Column) -> Column:
     return text
 
 
-def clean_cue(text: Column) -> Column:
-    """Cue text without tags, style blocks, entities and direction marks; a line equal to the one before is skipped."""
+def clean_lines(lines: Column) -> Column:
+    """The text of a cue's lines without tags, style blocks, entities and direction marks, joined by spaces; a line equal
+    to the one before is skipped."""
+    from cuelake.functions.udfs import unescaped
+
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"\{\\[^}]+\}", ""))
+    shown = F.filter(F.transform(unescaped(bare), lambda x: collapse_ws(F.translate(x, "\u200e\u200f", ""))), lambda x: x != "")
+    return F.array_join(without_repeats(shown), " ")
 
-    def line(x: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"\{\\[^}]+\}", "")
-        return collapse_ws(F.translate(unescape_basic(bare), "‎‏", ""))
 
-    lines = F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), line), lambda x: x != "")
-    return F.array_join(without_repeats(lines), " ")
+def clean_cue(text: Column) -> Column:
+    """``clean_lines`` of a text with any line ends."""
+    return clean_lines(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"))
 
 
 def without_repeats(values: Column) -> Column:
@@ -70,16 +67,24 @@ def normal_url(url: Column) -> Column:
     return F.when(url.rlike(r"^\s*(?i:https?|file):"), F.trim(url)).otherwise(url)
 
 
+#: Steps of a search by halves over any string's length.
+_HALVINGS = 31
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """The longest common prefix of two captions, without leaving the JVM."""
-    n = F.least(F.length(a), F.length(b))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    length = F.size(F.filter(F.transform(places, lambda i: F.left(a, i) == F.left(b, i)), lambda same: same))
-    return F.left(a, length)
+    """The longest common prefix of two captions, without leaving the JVM: equality of prefixes, searched by halves."""
+    bounds = F.struct(F.lit(0).alias("lo"), F.least(F.length(a), F.length(b)).alias("hi"))
+
+    def halve(x: Column, _: Column) -> Column:
+        middle = F.ceil((x["lo"] + x["hi"]) / 2).cast("int")
+        same = F.left(a, middle) == F.left(b, middle)
+        return F.when(x["lo"] >= x["hi"], x).otherwise(F.struct(F.when(same, middle).otherwise(x["lo"]).alias("lo"), F.when(same, x["hi"]).otherwise(middle - 1).alias("hi")))
+
+    return F.left(a, F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), bounds, halve, lambda x: x["lo"]))
 
 
-def stable_core(a: Column, b: Column) -> Column:
-    """The shared prefix of two doubtful readings that differ in short suffixes only, else empty."""
+def agreed_start(a: Column, b: Column) -> Column:
+    """What two doubtful readings share at the start, if they differ in short ends only, else empty."""
     p = common_prefix(a, b)
     core = F.rtrim(p)
     left, right = F.trim(F.substr(a, F.length(p) + 1)), F.trim(F.substr(b, F.length(p) + 1))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import collapse_ws, is_blank
 from cuelake.operators.intervals import to_ms
-from cuelake.operators.sequences import islands
+from cuelake.operators.sequences import previous, running
 from cuelake.sources.tables import distinct_by, table
 
 
@@ -36,24 +39,40 @@ def speech_and_visible(c: DataFrame) -> tuple[DataFrame, DataFrame]:
     return speech, visible
 
 
-def merge_rolling(c: DataFrame, slack_ms: int = 500) -> DataFrame:
+ROLLED = "transcript_id bigint, s bigint, e bigint, text string"
+
+
+def merge_rolling(c: DataFrame, slack_ms: int = 500, block_ms: int = 600_000) -> DataFrame:
     """(transcript_id, s, e, text): rolling captions as one cue each.
 
     A cue that starts at most ``slack_ms`` after the previous merged cue's end and equals it, extends it, or is a beginning
-    of it, is merged with it. Nothing merges over a longer gap, so the fold runs inside stretches without one: each is
-    folded by itself, in order of start, end and ordinal. Confidence doesn't outlive a merge and is left out.
+    of it, is merged with it, in order of start, end and ordinal. A merged text is the longest of its cues and all others
+    are beginnings of it, so where neither of two neighbours begins the other nothing can merge: there, and at gaps, the
+    sequence is cut. Single cues stay as they are; only longer stretches are folded, as streams of sorted rows. Confidence
+    doesn't outlive a merge and is left out.
     """
-    grouped = islands(c, "transcript_id", slack_ms).groupBy("transcript_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", "e", "ordinal", "segment_id", "text"))).alias("row"))
-    kind = "array<struct<s: bigint, e: bigint, text: string>>"
-    folded = grouped.withColumn(
-        "out",
-        F.expr(
-            f"""aggregate(`row`, cast(array() as {kind}), (a, x) ->
-              case when size(a) = 0 then array(named_struct('s', x.s, 'e', x.e, 'text', x.text))
-              when x.s <= element_at(a, -1).e + {slack_ms} and (startswith(x.text, element_at(a, -1).text) or startswith(element_at(a, -1).text, x.text)) then
-                concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e),
-                  'text', if(length(x.text) > length(element_at(a, -1).text), x.text, element_at(a, -1).text))))
-              else concat(a, array(named_struct('s', x.s, 'e', x.e, 'text', x.text))) end)"""
-        ),
-    )
-    return folded.select("transcript_id", F.explode("out").alias("o")).select("transcript_id", "o.s", "o.e", "o.text")
+    order = ["s", "e", "ordinal", "segment_id"]
+    rows = c.select("transcript_id", *order, "text").withColumn("_b", F.floor(F.col("s") / block_ms))
+    reached = running(rows, ["transcript_id"], "_b", order, F.col("e"), "max", "_reach")
+    seen = previous(reached, ["transcript_id"], "_b", order, {"before": "text"})
+    goes_on = (F.col("s") <= F.col("_reach") + slack_ms) & (F.startswith(F.col("text"), F.col("before")) | F.startswith(F.col("before"), F.col("text")))
+    cut = seen.withColumn("_cut", (~F.coalesce(goes_on, F.lit(False))).cast("bigint"))
+    grouped = running(cut, ["transcript_id"], "_b", order, F.col("_cut"), "sum", "_n").withColumn("stretch", F.col("_n") + F.col("_cut"))
+    counted = grouped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("transcript_id", "stretch")))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, merged = None, None
+        for b in batches:
+            out = []
+            for t, stretch, s, e, text in zip(b["transcript_id"], b["stretch"], b["s"], b["e"], b["text"]):
+                if merged and key == (t, stretch) and s <= merged[2] + slack_ms and (text.startswith(merged[3]) or merged[3].startswith(text)):
+                    merged = (t, merged[1], max(merged[2], e), max(merged[3], text, key=len))
+                    continue
+                if merged:
+                    out.append(merged)
+                key, merged = (t, stretch), (t, s, e, text)
+            yield pd.DataFrame(out, columns=["transcript_id", "s", "e", "text"])
+        yield pd.DataFrame([merged] if merged else [], columns=["transcript_id", "s", "e", "text"])
+
+    several = counted.where("n > 1").sortWithinPartitions("transcript_id", "stretch", *order).select("transcript_id", "stretch", "s", "e", "text")
+    return counted.where("n = 1").select("transcript_id", "s", "e", "text").unionByName(several.mapInPandas(fold, ROLLED))

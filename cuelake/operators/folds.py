@@ -1,120 +1,171 @@
-"""Folds that depend on order and can't be split: readings of frames into segments, and decoded runs."""
+"""Folds that depend on order: frame readings into captions, decoded frames into runs, decoder logs.
+
+What a fold decides at a row depends on all rows since its last sure cut. Sequences are cut where the rows alone show that
+a fold starts anew; the stretches between cuts are folded side by side, each as a stream of sorted rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os.path
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions.udfs import alike, folded
+from cuelake.functions.text import fold_caption
+from cuelake.functions.udfs import RATIO, likeness
+from cuelake.operators.sequences import previous, running
 
 SEGMENT = "source_key bigint, start_ms bigint, end_ms bigint, text string, confidence double"
-
-
-class ReadingFold:
-    """State of one source: the caption that is on screen. Times are whole milliseconds."""
-
-    def __init__(self, frame_ms: int, blank_ms: int | None = None, threshold: float = 0.84, state: tuple | None = None) -> None:
-        self.frame, self.blank, self.threshold = frame_ms, blank_ms if blank_ms is not None else int(frame_ms * 1.5), threshold
-        self.text, self.confidence, self.start, self.seen = state or ("", 0.0, 0, 0)
-
-    @property
-    def state(self) -> tuple[str, float, int, int]:
-        return self.text, self.confidence, self.start, self.seen
-
-    def close(self, until: int | None = None) -> tuple[int, int, str, float] | None:
-        """Ends the caption: a frame after it was last seen, but before the next one starts."""
-        if not self.text:
-            return None
-        end = self.seen + self.frame
-        end = max(self.start + self.frame, end if until is None else min(end, until))
-        done = (self.start, end, self.text, self.confidence)
-        self.text, self.confidence = "", 0.0
-        return done
-
-    def add(self, at: int, text: str, confidence: float) -> tuple[int, int, str, float] | None:
-        """Takes the next frame; returns the caption that it ends, if any."""
-        if not text:
-            return self.close() if self.text and at - self.seen > self.blank else None
-        sure = min(self.confidence, confidence) > 0.5
-        if self.text and alike(self.text, text, max(self.threshold, 0.88) if sure else self.threshold):
-            self.seen = at
-            core = stable_core(self.text, text) if max(self.confidence, confidence) <= 0.5 else ""
-            if core:
-                self.text, self.confidence = core, max(self.confidence, confidence)
-            elif confidence > self.confidence or len(folded(text)) > len(folded(self.text)):
-                self.text, self.confidence = text, confidence
-            return None
-        done = self.close(at)
-        self.text, self.confidence, self.start, self.seen = text, confidence, at, at
-        return done
-
-
-def stable_core(a: str, b: str) -> str:
-    """What two doubtful readings share before short ends that differ, else empty."""
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    core, x, y = a[:n].rstrip(), a[n:].strip(), b[n:].strip()
-    shorter = min(len(folded(a)), len(folded(b)))
-    if not core or not x or not y or x == y or max(len(x), len(y)) > 2 or shorter < 4 or len(folded(core)) / shorter < 0.8:
-        return ""
-    return core
-
-
-def fold_frames(frames: DataFrame, frame_ms: int = 500) -> DataFrame:
+#: From which confidence on a reading is sure, the ratio that two sure readings need, and how many frames may be blank.
+SURE, SURE_RATIO, BLANK_FRAMES = 0.5, 0.88, 1.5
+#: Milliseconds of a sequence that one task orders.
+BLOCK_MS = 3_600_000
+
+
+class Caption(NamedTuple):
+    """A caption on screen: when it came, when it was last seen, and its best reading."""
+
+    start: int
+    seen: int
+    text: str
+    norm: str
+    confidence: float
+
+    def ends(self, frame_ms: int, following: int | None = None) -> int:
+        """A frame after it was last seen but not into the next caption; at least a frame after its start."""
+        last = self.seen + frame_ms
+        return max(self.start + frame_ms, last if following is None else min(last, following))
+
+
+def folded(text: str) -> str:
+    """Letters and numbers of a text, case folded."""
+    return "".join(filter(str.isalnum, text.casefold()))
+
+
+def common_start(a: str, b: str) -> str:
+    """What two doubtful readings have in common if both go on for one or two different characters, else empty."""
+    prefix = os.path.commonprefix((a, b))
+    ends = {x[len(prefix) :].strip() for x in (a, b)}
+    least = min(len(folded(a)), len(folded(b)))
+    core = prefix.rstrip()
+    short = len(ends) == 2 and all(0 < len(x) <= 2 for x in ends)
+    return core if short and least >= 4 and len(folded(core)) >= 0.8 * least else ""
+
+
+def continued(caption: Caption, frame: Caption) -> Caption | None:
+    """The caption with one more frame that shows it, or None where the frame shows another."""
+    surer, doubt = max(caption.confidence, frame.confidence), min(caption.confidence, frame.confidence)
+    least = RATIO if doubt <= SURE else max(RATIO, SURE_RATIO)
+    if likeness(caption.norm, frame.norm, least) < least:
+        return None
+    core = common_start(caption.text, frame.text) if surer <= SURE else ""
+    if core:
+        return Caption(caption.start, frame.seen, core, folded(core), surer)
+    better = frame if frame.confidence > caption.confidence or len(frame.norm) > len(caption.norm) else caption
+    return Caption(caption.start, frame.seen, better.text, better.norm, better.confidence)
+
+
+def captions(frames: Iterable[Caption]) -> Iterator[Caption]:
+    """Captions of the frames of one stretch, all of which show text."""
+    shown = None
+    for frame in frames:
+        longer = continued(shown, frame) if shown else None
+        if shown and not longer:
+            yield shown
+        shown = longer or frame
+    if shown:
+        yield shown
+
+
+def fold_frames(frames: DataFrame, frame_ms: int = 500, block_ms: int = BLOCK_MS) -> DataFrame:
     """(source_key, start_ms, end_ms, text, confidence): captions of frames (source_key, frame_ordinal, timestamp_seconds, text,
     confidence) as segments.
 
-    The fold itself can't be split, but a stretch of blank or missing frames longer than the tolerance ends any caption:
-    there the sequence is cut, and the stretches are folded as a stream of sorted rows, so that memory holds one caption.
-    Frames with a null time are left out; ties go by frame and text.
+    A blank frame that comes more than ``BLANK_FRAMES`` after the last text ends any caption, whatever it was: there
+    sequences are cut, and every stretch is folded by itself as a stream of sorted rows, so that memory holds one caption.
+    A stretch without such a blank is one task. Frames with a null time are left out; ties go by frame and text.
     """
     f = frames.where("source_key is not null and timestamp_seconds is not null and not isnan(timestamp_seconds) and timestamp_seconds >= 0")
-    f = f.select("source_key", F.round(F.col("timestamp_seconds") * 1000).cast("bigint").alias("s"), F.coalesce("frame_ordinal", F.lit(0)).alias("ordinal"), "text", "confidence")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, key, out = None, None, []
-
-        def note(done: tuple | None) -> None:
-            if done:
-                out.append((key, *done))
-
-        for b in batches:
-            for k, s, text, confidence in zip(b["source_key"], b["s"], b["text"], b["confidence"]):
-                if k != key:
-                    if fold:
-                        note(fold.close())
-                    fold, key = ReadingFold(frame_ms), k
-                note(fold.add(int(s), text or "", float(confidence)))
-            yield pd.DataFrame(out, columns=["source_key", "start_ms", "end_ms", "text", "confidence"])
-            out = []
-        if fold:
-            note(fold.close())
-        yield pd.DataFrame(out, columns=["source_key", "start_ms", "end_ms", "text", "confidence"])
-
-    ordered = f.repartition("source_key").sortWithinPartitions("source_key", "s", "ordinal", "text")
-    return ordered.mapInPandas(run, SEGMENT)
-
-
-def decoded_runs(frames: DataFrame, tolerance_ms: int = 2) -> DataFrame:
-    """(media, run_start, run_end): runs of decoded samples (media, s, length_ms); null arrays where the evidence is invalid.
-
-    A run goes on while a frame starts where the lengths so far say, up to a tolerance: small holes add up and end it.
-    A medium's frames come from one log, so its size is that of a row.
+    text = F.coalesce("text", F.lit(""))
+    f = f.select(
+        "source_key", F.round(F.col("timestamp_seconds") * 1000).cast("bigint").alias("s"), F.coalesce("frame_ordinal", F.lit(0)).alias("ordinal"), text.alias("text"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+    ).withColumn("_b", F.floor(F.col("s") / block_ms))
+    order = ["s", "ordinal", "text", "confidence"]
+    last_text = running(f, ["source_key"], "_b", order, F.when(F.col("text") != "", F.col("s")), "max", "text_at")
+    before = previous(last_text, ["source_key"], "_b", order, {"before": "text", "before_s": "s"}).where("text <> ''")
+    cut = F.coalesce((F.col("before") == "") & (F.col("before_s") - F.col("text_at") > int(frame_ms * BLANK_FRAMES)), F.lit(False)).cast("bigint")
+    stretched = running(before.withColumn("_cut", cut), ["source_key"], "_b", order, F.col("_cut"), "sum", "_n").withColumn("stretch", F.col("_n") + F.col("_cut"))
+    rows = stretched.select("source_key", "stretch", "s", "ordinal", "text", fold_caption(F.col("text")).alias("norm"), "confidence")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def all_rows() -> Iterator[tuple[tuple[int, int], Caption]]:
+            for b in batches:
+                for key, stretch, s, t, norm, confidence in zip(b["source_key"], b["stretch"], b["s"], b["text"], b["norm"], b["confidence"]):
+                    yield (int(key), int(stretch)), Caption(int(s), int(s), t, norm, float(confidence))
+
+        out: list[tuple] = []
+        for key, caption in _by_stretch(all_rows()):
+            out.append((*key, caption.start, caption.seen, caption.text, caption.confidence))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
+
+    columns = ["source_key", "stretch", "start_ms", "seen", "text", "confidence"]
+    ordered = rows.repartition("source_key", "stretch").sortWithinPartitions("source_key", "stretch", "s", "ordinal", "text", "confidence")
+    found = ordered.mapInPandas(fold, "source_key bigint, stretch bigint, start_ms bigint, seen bigint, text string, confidence double")
+    # an end is cut by the next start in the stretch; the next stretch starts later than any tolerance
+    following = F.lead("start_ms").over(Window.partitionBy("source_key", "stretch").orderBy("start_ms", "seen"))
+    end = F.greatest(F.col("start_ms") + frame_ms, F.least(F.col("seen") + frame_ms, following))
+    return found.select("source_key", "start_ms", end.alias("end_ms"), "text", "confidence")
+
+
+def _by_stretch(rows: Iterator[tuple[tuple[int, int], Caption]]) -> Iterator[tuple[tuple[int, int], Caption]]:
+    """Captions of consecutive stretches of sorted frames, with the stretch's key."""
+    from itertools import groupby
+
+    for key, stretch in groupby(rows, lambda r: r[0]):
+        for caption in captions(r[1] for r in stretch):
+            yield key, caption
+
+
+def decoded_runs(frames: DataFrame, tolerance_ms: int = 2, block_ms: int = BLOCK_MS) -> DataFrame:
+    """(media, run_start, run_end): runs of decoded samples (media, place, s, length_ms); media with invalid evidence (no
+    length, a start before -250 ms, or starts that go back) have none.
+
+    A run goes on while a frame starts where the lengths since the run's start say, up to a tolerance, so small holes add
+    up and end it. How far a start is ahead of all lengths before it changes at holes only: those few frames decide where
+    runs begin, and the lengths in between come from a running sum.
     """
-    g = frames.groupBy("media").agg(F.array_sort(F.collect_list(F.struct("place", "s", "length_ms"))).alias("f"))
-    valid = g.where(F.expr("forall(f, x -> x.length_ms > 0 and x.s >= -250) and forall(zip_with(f, slice(f, 2, size(f)), (a, b) -> b is null or b.s >= a.s), x -> x)"))
-    kind = "array<struct<s: bigint, e: bigint>>"
-    folded_runs = F.expr(
-        f"""aggregate(f, cast(array() as {kind}), (a, x) -> case
-          when x.s + x.length_ms <= 0 then a
-          when size(a) > 0 and abs(x.s - element_at(a, -1).e) <= {tolerance_ms} then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', element_at(a, -1).e + x.length_ms)))
-          else concat(a, array(named_struct('s', greatest(x.s, 0L), 'e', x.s + x.length_ms))) end)"""
-    )
-    return valid.select("media", F.explode(folded_runs).alias("r")).select("media", F.col("r.s").alias("run_start"), F.col("r.e").alias("run_end"))
+    f = frames.withColumn("_b", F.floor(F.col("s") / block_ms))
+    order = ["s", "place"]
+    placed = previous(f, ["media"], "_b", order, {"place_before": "place"})
+    wrong = (F.col("length_ms") <= 0) | (F.col("s") < -250) | F.coalesce(F.col("place_before") > F.col("place"), F.lit(False)) | F.col("s").isNull() | F.col("length_ms").isNull()
+    invalid = placed.groupBy("media").agg(F.bool_or(wrong).alias("wrong")).where("wrong").select("media")
+    heard = f.join(invalid, "media", "left_anti").where(F.col("s") + F.col("length_ms") > 0)
+    summed = running(heard, ["media"], "_b", order, F.col("length_ms"), "sum", "before").withColumn("ahead", F.col("s") - F.col("before"))
+    holes = previous(summed, ["media"], "_b", order, {"ahead_before": "ahead"}).where("ahead_before is null or ahead_before <> ahead").select("media", "s", "place", "before", "ahead")
+
+    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        medium, anchor = None, 0
+        for b in batches:
+            opens = []
+            for m, ahead in zip(b["media"], b["ahead"]):
+                new = m != medium or abs(ahead - anchor) > tolerance_ms
+                if new:
+                    medium, anchor = m, ahead
+                opens.append(new)
+            yield b.loc[opens, ["media", "s", "before"]]
+
+    opened = holes.repartition("media").sortWithinPartitions("media", "s", "place").select("media", "s", "before", "ahead").mapInPandas(openings, "media bigint, s bigint, before bigint")
+    total = heard.groupBy("media").agg(F.sum("length_ms").alias("total"))
+    after = F.lead("before").over(Window.partitionBy("media").orderBy("before", "s"))
+    ends = opened.withColumn("after", after).join(total, "media")
+    return ends.select("media", F.greatest("s", F.lit(0)).alias("run_start"), (F.col("s") + F.coalesce("after", "total") - F.col("before")).alias("run_end"))
 
 
 def decoded_end(lines: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.operators.joins import overlaps
+
 #: Milliseconds of start time that one partial list spans.
 BUCKET_MS = 3_600_000
 #: Rows that the map side folds at once; bounds the memory of a task.
@@ -191,23 +193,13 @@ def gaps(union: DataFrame, bounds: DataFrame, default_threshold_ms: int = 60_000
     return holes.unionByName(trailing)
 
 
-def coverage_of(spans: DataFrame, covers: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def coverage_of(spans: DataFrame, covers: DataFrame) -> DataFrame:
     """``spans`` (key, gap_start_ms, gap_end_ms) with ``covered_ms``: how much the union of ``covers`` (key, s, e) covers.
 
-    Both sides are cut at bucket borders and meet by (key, bucket), so no key's spans are paired with all its covers.
+    The covers' continuous periods are disjoint, so what each covers of a span adds up; spans meet them in buckets of time
+    that grow with their length.
     """
-    reach = spans.groupBy("key").agg(F.min("gap_start_ms").alias("lo"), F.max("gap_end_ms").alias("hi"))
-    near = covers.join(reach, "key").select("key", F.greatest("s", "lo").alias("s"), F.least("e", "hi").alias("e")).where("e > s")
-    cut = near.select("key", "s", "e", F.explode(F.sequence(F.expr(f"s div {bucket_ms}"), F.expr(f"(e - 1) div {bucket_ms}"))).alias("bucket"))
-    cut = cut.select("key", F.greatest("s", F.col("bucket") * bucket_ms).alias("s"), F.least("e", (F.col("bucket") + 1) * bucket_ms).alias("e"))
-    lists = interval_union(cut, "key", "s", "e", bucket_ms).drop("carry")
-    parts = spans.select(
-        "key", "gap_start_ms", "gap_end_ms", F.explode(F.sequence(F.expr(f"gap_start_ms div {bucket_ms}"), F.expr(f"(gap_end_ms - 1) div {bucket_ms}"))).alias("bucket")
-    )
-    met = parts.join(lists, ["key", "bucket"], "left").withColumn(
-        "part",
-        F.expr(
-            "coalesce(aggregate(zip_with(starts, ends, (s, e) -> greatest(least(e, gap_end_ms) - greatest(s, gap_start_ms), 0L)), 0L, (a, x) -> a + x), 0L)"
-        ),
-    )
-    return met.groupBy("key", "gap_start_ms", "gap_end_ms").agg(F.sum("part").alias("covered_ms"))
+    whole = periods(interval_union(covers, "key", "s", "e")).select("key", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    met = overlaps(spans.select("key", F.col("gap_start_ms").alias("s"), F.col("gap_end_ms").alias("e")), whole, "key")
+    sums = met.groupBy("key", F.col("s").alias("gap_start_ms"), F.col("e").alias("gap_end_ms")).agg(F.sum(F.col("oe") - F.col("os")).alias("covered_ms"))
+    return spans.join(sums, ["key", "gap_start_ms", "gap_end_ms"], "left").fillna(0, ["covered_ms"])

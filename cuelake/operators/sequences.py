@@ -26,6 +26,21 @@ def running(df: DataFrame, keys: list[str], block: str, order: list[str], value:
     return out.withColumn(name, both).drop("_v", "_l", "_c")
 
 
+def previous(df: DataFrame, keys: list[str], block: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with columns of the row before, however far its block lies back; null at a key's first row.
+
+    ``values`` names new columns and what they come from. The last row of a block is handed to the next block there is.
+    """
+    rows = df.repartition(*keys, block)
+    here = Window.partitionBy(*keys, block).orderBy(*order)
+    last = rows.groupBy(*keys, block).agg(F.max_by(F.struct(*[F.col(v).alias(n) for n, v in values.items()]), F.struct(*order)).alias("_last"))
+    handed = last.select(*keys, block, F.lag("_last").over(Window.partitionBy(*keys).orderBy(block)).alias("_handed"))
+    lagged = rows.withColumns({f"_{n}": F.lag(v).over(here) for n, v in values.items()}).withColumn("_first", F.row_number().over(here) == 1)
+    joined = lagged.join(handed, [*keys, block], "left")
+    out = joined.withColumns({n: F.when(F.col("_first"), F.col(f"_handed.{n}")).otherwise(F.col(f"_{n}")) for n in values})
+    return out.drop("_first", "_handed", *[f"_{n}" for n in values])
+
+
 def islands(cues: DataFrame, key: str, slack_ms: int = 0, block_ms: int = 600_000) -> DataFrame:
     """``cues`` (key, s, e, ordinal, ...) with ``island``: numbers of stretches that no gap of more than ``slack_ms`` parts."""
     rows = cues.withColumn("_b", F.floor(F.col("s") / block_ms))

@@ -7,9 +7,11 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_kept: list[DataFrame] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,12 +29,36 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpoint(df, spark: SparkSession):
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` kept for several readers within one query, until ``release``; a lost executor's part is computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is made.
-    """
-    sc = spark.sparkContext
+
+def release() -> None:
+    """Lets go of what earlier queries kept. A result that is read afterwards is right, but computed anew."""
+    while _kept:
+        df = _kept.pop()
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a session without a cluster may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    folder = tempfile.mkdtemp(prefix="cuelake-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuelake-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

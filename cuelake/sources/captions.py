@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import clean_cue
+from cuelake.functions.text import clean_lines
 from cuelake.functions.times import parse_timestamp
 
 _STAMP = r"((?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{1,3})"
@@ -21,13 +21,14 @@ def scan_captions(files: DataFrame, key: str, content: str) -> DataFrame:
     Files are whole rows, as ``spark.read.text(path, wholetext=True)`` gives them; a byte-order mark is dropped. Blocks are
     parted by blank lines; a block without timing is no cue, nor is one without text or with an end before its start.
     """
-    flat = F.regexp_replace(F.regexp_replace(F.col(content), "^﻿", ""), "\r\n?", "\n")
-    blocks = files.select(key, F.posexplode(F.split(flat, r"\n[ \t]*\n")).alias("place", "block"))
+    flat = F.regexp_replace(F.regexp_replace(F.col(content), "^\ufeff", ""), "\r\n?", "\n")
+    blocks = files.select(key, F.posexplode(F.split(flat, r"\n[ \t]*\n")).alias("place", "block")).where(F.col("block").contains("-->"))
     # the first line with an arrow is the timing; what follows it is text
-    timed = blocks.where(F.col("block").contains("-->")).select(key, "place", F.regexp_extract("block", r"(?m)^(.*-->.*)$", 1).alias("timing"), F.regexp_replace("block", r"^(?:(?!.*-->).*\n)*.*-->.*\n?", "").alias("body"))
+    lined = blocks.select(key, "place", F.split("block", "\n").alias("lines")).withColumn("at", F.array_position(F.transform("lines", lambda x: x.contains("-->")), True).cast("int"))
+    timed = lined.select(key, "place", F.get("lines", F.col("at") - 1).alias("timing"), F.slice("lines", F.col("at") + 1, F.size("lines")).alias("body"))
     pattern = rf"{_STAMP}\s*-->\s*{_STAMP}"
     ms = lambda i: F.round(parse_timestamp(F.regexp_extract("timing", pattern, i)) * 1000).cast("bigint")
-    cues = timed.where(F.col("timing").rlike(pattern)).select(key, "place", ms(1).alias("s"), ms(2).alias("e"), clean_cue(F.col("body")).alias("text"))
+    cues = timed.where(F.col("timing").rlike(pattern)).select(key, "place", ms(1).alias("s"), ms(2).alias("e"), clean_lines(F.col("body")).alias("text"))
     return cues.where("text <> '' and e >= s")
 
 

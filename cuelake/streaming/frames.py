@@ -14,12 +14,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from cuelake.operators.folds import SEGMENT, ReadingFold
+from cuelake.operators.folds import BLANK_FRAMES, SEGMENT, Caption, continued, folded
 
 #: Files of one micro-batch.
 BATCH_FILES = 32
 FRAME = "source_key bigint, frame_ordinal int, timestamp_seconds double, text string, confidence double, last boolean"
-_STATE = "text string, confidence double, start bigint, seen bigint"
+_STATE = "start bigint, seen bigint, text string, norm string, confidence double"
 
 
 def read_frames(spark: SparkSession, path: str, schema: str = FRAME, batch_files: int = BATCH_FILES) -> DataFrame:
@@ -33,21 +33,36 @@ def fold_stream(frames: DataFrame, frame_ms: int = 500) -> DataFrame:
     Only the caption on screen is state. Frames of one source must arrive in order from batch to batch; inside a batch they
     are put in order here.
     """
+    blank_ms = int(frame_ms * BLANK_FRAMES)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = ReadingFold(frame_ms, state=tuple(state.get) if state.exists else None)
+        shown = Caption(*state.get) if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["timestamp_seconds", "frame_ordinal"])
-        out = []
-        for at, text, confidence in zip((rows["timestamp_seconds"] * 1000).round(), rows["text"], rows["confidence"]):
-            if done := fold.add(int(at), text or "", float(confidence)):
-                out.append((key[0], *done))
-        if bool(rows["last"].fillna(False).any()):
-            if done := fold.close():
-                out.append((key[0], *done))
+        out: list[tuple] = []
+
+        def note(caption: Caption, following: int | None = None) -> None:
+            out.append((key[0], caption.start, caption.ends(frame_ms, following), caption.text, caption.confidence))
+
+        for seconds, text, confidence in zip(rows["timestamp_seconds"], rows["text"], rows["confidence"]):
+            at = round(seconds * 1000)
+            if not text:
+                if shown and at - shown.seen > blank_ms:
+                    note(shown)
+                    shown = None
+                continue
+            frame = Caption(at, at, text, folded(text), float(confidence))
+            longer = continued(shown, frame) if shown else None
+            if shown and not longer:
+                note(shown, at)
+            shown = longer or frame
+        ended = bool(rows["last"].fillna(False).any())
+        if ended and shown:
+            note(shown)
+        if ended or not shown:
             if state.exists:
                 state.remove()
         else:
-            state.update(fold.state)
+            state.update(shown)
         yield pd.DataFrame(out, columns=["source_key", "start_ms", "end_ms", "text", "confidence"])
 
     return frames.groupBy("source_key").applyInPandasWithState(step, SEGMENT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -59,7 +59,7 @@ def test_gaps_and_their_cover(spark, bucket):
             at = max(at, e) if at is not None else e
     assert {tuple(r) for r in found.collect()} == expected
     covers = [(k, s + 13, e + 31) for k, s, e in rows[::2]]
-    cov = {(r[0], r[1], r[2]): r[3] for r in coverage_of(found, spark.createDataFrame(covers, "key int, s bigint, e bigint"), 64).collect()}
+    cov = {(r[0], r[1], r[2]): r[3] for r in coverage_of(found, spark.createDataFrame(covers, "key int, s bigint, e bigint")).collect()}
     for k, a, b in expected:
         ms = set()
         for kk, s, e in covers:

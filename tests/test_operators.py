@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import language as lang
 from cuelake.functions import text as tx
 from cuelake.functions import times as tm
-from cuelake.functions.udfs import alike, portable
+from cuelake.functions import udfs
 from cuelake.operators import chunks, cues, folds, joins, sequences
 from cuelake.plans import hybrid, planning
 from cuelake.plans.incremental import EphemeralStore, Store, open_store, run_incrementally
@@ -52,17 +52,23 @@ def test_language_matches(spark, candidate, wanted, ok):
 
 
 @pytest.mark.parametrize(("name", "safe"), [("CON", "_CON"), ("nul.txt", "_nul.txt"), ("LPT9.", "_LPT9"), ("..", "untitled"), ("a/b:c", "a-b-c"), ("Ｘ" * 200, "X" * 100), (None, "untitled")])
-def test_portable_names(name, safe):
-    assert portable(name) == safe
+def test_portable_names(spark, name, safe):
+    df = spark.createDataFrame([(name, None)], "a string, b string")
+    assert df.select(udfs.portable_name(F.col("a"), F.col("b"))).first()[0] == safe
 
 
-def test_portable_fallback_may_be_a_device():
-    assert portable("...", "AUX") == "_AUX"
+def test_portable_fallback_may_be_a_device(spark):
+    assert one(spark, udfs.portable_name(F.col("a"), F.col("b")), a="...", b="AUX") == "_AUX"
 
 
 @pytest.mark.parametrize(("a", "b", "same"), [("Hello, world", "hello world!", True), ("", "x", False), ("今天我们学习", "今天我们学刁", False), ("the quick brown fox", "the quick brown f0x", True), ("one two", "ten nine", False)])
-def test_alike(a, b, same):
-    assert alike(a, b) is same
+def test_alike(spark, a, b, same):
+    assert one(spark, udfs.captions_alike(F.col("a"), F.col("b")), a=a, b=b) is same
+
+
+@pytest.mark.parametrize(("a", "b", "prefix"), [("abc", "abd", "ab"), ("", "x", ""), ("same", "same", "same"), ("\U0001f600x", "\U0001f600y", "\U0001f600"), ("a" * 70_000 + "b", "a" * 70_000 + "c", "a" * 70_000)])
+def test_common_prefixes(spark, a, b, prefix):
+    assert one(spark, tx.common_prefix(F.col("a"), F.col("b")), a=a, b=b) == prefix
 
 
 def test_scan_captions(spark):
@@ -279,3 +285,89 @@ def test_progress_is_reported(spark, tmp_path):
             break
         time.sleep(0.1)
     assert sum(n for _, n in seen) >= 3
+
+
+def test_entities_are_decoded_once(spark):
+    df = spark.createDataFrame([("Caf&eacute; it&rsquo;s&nbsp;on &amp;lt; &#x41;&#66; &copy 5",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.clean_cue(F.col("t"))).collect()] == ["Café it’s on &lt; AB © 5", "plain", None]
+
+
+def test_long_blocks_before_a_timing_are_scanned(spark):
+    body = "\n".join(f"line {i}" for i in range(100_000)) + "\n00:01.000 --> 00:02.000\ntext"
+    got = captions.scan_captions(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body").collect()
+    assert [(r.s, r.e, r.text) for r in got] == [(1000, 2000, "text")]
+
+
+def test_neighbours_reach_over_blocks(spark):
+    rows = spark.createDataFrame([(1, i, i) for i in (0, 1, 4095, 4096, 4097, 20_000)], "k int, o int, v int").withColumn("b", F.expr("o div 4096"))
+    got = {r.o: r.before for r in sequences.previous(rows, ["k"], "b", ["o"], {"before": "v"}).collect()}
+    assert got == {0: None, 1: 0, 4095: 1, 4096: 4095, 4097: 4096, 20_000: 4097}
+
+
+def test_outsized_intervals_meet_in_joins(spark):
+    r = random.Random(1)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            s = r.randint(0, 10**7)
+            out.append((r.randint(0, 2), i, s, s + r.randint(0, r.choice([0, 500, 5000, 10**6, 10**8, 10**12, 8 * 10**15]))))
+        return out
+
+    left, right = rows(60), rows(60)
+    a, b = (spark.createDataFrame(x, "k long, segment_id long, s long, e long") for x in (left, right))
+    got = sorted((x.segment_id, x.r_segment_id, x.os, x.oe) for x in joins.overlaps(a, b, "k").collect())
+    assert got == sorted((i, j, max(s, t), min(e, f)) for k, i, s, e in left for m, j, t, f in right if k == m and max(s, t) < min(e, f))
+    g = b.select("k", F.col("s").alias("gap_start_ms"), F.col("e").alias("gap_end_ms"))
+    got = sorted(x.segment_id for x in joins.touching(a, g, "k").collect())
+    assert got == sorted({i for k, i, s, e in left for m, j, t, f in right if k == m and ((s < f and e > t) or (s == e and t <= s < f))})
+    got = sorted((x.k, x.gap_start_ms, x.gap_end_ms) for x in joins.contained(g, a, "k").collect())
+    assert got == sorted({(m, t, f) for k, i, s, e in left for m, j, t, f in right if k == m and s <= t + 250 and e >= f - 250 and max(s, t) < min(e, f)})
+
+
+def reading(*rows):
+    return [(1, i, float(t), text, float(conf)) for i, (t, text, conf) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(
+    ("frames", "found"),
+    [
+        (reading((0, "hello there", 0.9), (0.5, "hello there", 0.9), (1, "", 0), (1.5, "hello there", 0.9)), [(0, 2000, "hello there")]),
+        (reading((0, "hello there", 0.9), (0.5, "", 0), (1.0, "", 0), (1.5, "hello there", 0.9)), [(0, 500, "hello there"), (1500, 2000, "hello there")]),
+        (reading((0, "first words", 0.9), (0.25, "another caption", 0.9)), [(0, 500, "first words"), (250, 750, "another caption")]),
+        (reading((0, "the same line x1", 0.4), (0.5, "the same line y2", 0.4)), [(0, 1000, "the same line")]),
+        (reading((0, "helo there", 0.3), (0.5, "hello there", 0.6)), [(0, 1000, "hello there")]),
+        (reading((0, "", 0), (0.5, "", 0)), []),
+    ],
+)
+def test_frames_fold_into_captions(spark, frames, found):
+    df = spark.createDataFrame(frames, "source_key long, frame_ordinal int, timestamp_seconds double, text string, confidence double")
+    got = sorted((r.start_ms, r.end_ms, r.text) for r in folds.fold_frames(df, block_ms=1000).collect())
+    assert got == found
+
+
+def test_frame_folds_dont_depend_on_cuts(spark):
+    """Cut into stretches and blocks against one pass over the frames of a source."""
+    r = random.Random(9)
+    lines = ["the quick brown fox", "the quick brown f0x", "jumps over it", "jumps over lt", "", "", "a lazy dog 1", "a lazy dog 2"]
+    frames = [(k, i, i * 0.5 + r.choice([0, 0.125]), r.choice(lines), round(r.random(), 2)) for k in range(3) for i in range(150)]
+    df = spark.createDataFrame(frames, "source_key long, frame_ordinal int, timestamp_seconds double, text string, confidence double")
+    want = []
+    for k in range(3):
+        shown = None
+        for _, _, t, text, conf in [f for f in frames if f[0] == k]:
+            at = round(t * 1000)
+            if not text:
+                if shown and at - shown.seen > 750:
+                    want.append((k, shown.start, shown.ends(500), shown.text))
+                    shown = None
+                continue
+            frame = folds.Caption(at, at, text, folds.folded(text), conf)
+            longer = folds.continued(shown, frame) if shown else None
+            if shown and not longer:
+                want.append((k, shown.start, shown.ends(500, at), shown.text))
+            shown = longer or frame
+        if shown:
+            want.append((k, shown.start, shown.ends(500), shown.text))
+    got = sorted((x.source_key, x.start_ms, x.end_ms, x.text) for x in folds.fold_frames(df, block_ms=5000).collect())
+    assert got == sorted(want)
