@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType
 
 from cuelake.functions.text import is_blank
 from cuelake.llm import glyphs
+from cuelake.session import keep
 from cuelake.sources.tables import table
 
 #: Order values (ordinals) that one block spans.
@@ -25,8 +26,6 @@ BLOCK = 4096
 CONFUSED = str.maketrans({"0": "o", "1": "i", "l": "i", "|": "i", "5": "s", "8": "b", "e": "c"})
 #: What texts without words may differ in.
 _SIGNS = glyphs.regex.compile(r"[\p{P}\s\p{Z}]+")
-#: Longest text, in characters, whose characters are aligned one by one; longer ones are compared word by word.
-UNSPACED = 4000
 
 
 @lru_cache(4096)
@@ -131,7 +130,7 @@ def nearly_same(a: str, b: str) -> bool:
         return bool(x) or _SIGNS.sub("", glyphs.printed(a)) == _SIGNS.sub("", glyphs.printed(b))
     if not x or not y:
         return False
-    if any(map(spaceless, x)) and any(map(spaceless, y)) and len(a) <= UNSPACED:
+    if any(map(spaceless, x)) and any(map(spaceless, y)):
         numbers = [w for w in glyphs.regex.findall(r"\p{N}+", " ".join(x))], [w for w in glyphs.regex.findall(r"\p{N}+", " ".join(y))]
         return numbers[0] == numbers[1] and unspaced_same("".join(x), "".join(y))
     if abs(len(x) - len(y)) > 2 + len(x) // 10:
@@ -190,7 +189,7 @@ def collapse_runs(rows: DataFrame, block: int = BLOCK, with_text: bool = True) -
     pieces = pieces.withColumn("border", (F.col("run") == 0) | (F.col("run") == F.max("run").over(ends)))
     if not with_text:
         pieces = pieces.drop("text")
-    pieces = pieces.persist()  # judged once, read twice
+    pieces = keep(pieces)  # judged once, read twice
     inner = pieces.where("not border")
     at_border = Window.partitionBy("stream", "key").orderBy("blk", "run").rowsBetween(Window.unboundedPreceding, 0)
     numbered = pieces.where("border").withColumn("number", F.sum((F.col("run") != 0).cast("int")).over(at_border))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cuelake.functions.text import is_blank
 from cuelake.llm import glyphs
 from cuelake.llm.language_seeds import SEEDS
+from cuelake.session import keep
 from cuelake.sources.tables import current_transcripts, table
 
 LANGUAGES = sorted(SEEDS)
@@ -192,7 +193,7 @@ def score(trees: ContextTrees, texts: list[str]) -> tuple[np.ndarray, pd.DataFra
     word_cost, word_owner, clause_of, has_letter, is_char = word_cost[keep], word_owner[keep], clause_of[keep], has_letter[keep], is_char[keep]
     first = np.flatnonzero(np.r_[True, word_owner[1:] != word_owner[:-1]])
     totals[word_owner[first]] = np.add.reduceat(word_cost, first, axis=0)
-    # one change of language inside a clause, where it saves enough
+    # changes of language inside a clause, where each saves enough
     begin = np.flatnonzero(np.r_[True, clause_of[1:] != clause_of[:-1]])
     size = np.diff(np.r_[begin, len(clause_of)])
     whole = np.add.reduceat(word_cost, begin, axis=0)
@@ -200,11 +201,7 @@ def score(trees: ContextTrees, texts: list[str]) -> tuple[np.ndarray, pd.DataFra
     most = whole.min(axis=1) - np.add.reduceat(word_cost.min(axis=1), begin)
     extra = []
     for c in np.flatnonzero((most > SWITCH_BITS) & (size > 5)):
-        left = np.cumsum(word_cost[begin[c] : begin[c] + size[c]], axis=0)
-        split = left.min(axis=1) + (whole[c] - left).min(axis=1)
-        at_word = int(np.argmin(split))
-        if whole[c].min() - split[at_word] > SWITCH_BITS and at_word + 1 < size[c]:
-            extra.append(begin[c] + 1 + at_word)
+        extra += [begin[c] + k for k in switches(word_cost[begin[c] : begin[c] + size[c]], SWITCH_BITS)]
     if extra:
         begin = np.unique(np.r_[begin, extra])
         whole = np.add.reduceat(word_cost, begin, axis=0)
@@ -221,6 +218,28 @@ def score(trees: ContextTrees, texts: list[str]) -> tuple[np.ndarray, pd.DataFra
     return totals, clauses
 
 
+def switches(cost: np.ndarray, price: float) -> list[int]:
+    """Words at which the cheapest sequence of languages changes, if every change costs ``price`` bits.
+
+    ``cost``: words x languages. The best path is found word by word: a word's language is that of the word before it, or,
+    for the price, any.
+    """
+    path = cost[0].astype(np.float64)
+    changed = np.zeros(cost.shape, bool)
+    came = np.zeros(len(cost), np.int64)
+    for k in range(1, len(cost)):
+        came[k] = int(path.argmin())
+        bought = path[came[k]] + price
+        changed[k] = bought < path
+        path = np.minimum(path, bought) + cost[k]
+    language, out = int(path.argmin()), []
+    for k in range(len(cost) - 1, 0, -1):
+        if changed[k, language]:
+            out.append(k)
+            language = int(came[k])
+    return out[::-1]
+
+
 def fit(sampled: dict[int, list[str]], rounds: int = 3) -> ContextTrees:
     """Context trees from transcripts (id -> prepared texts).
 
@@ -320,7 +339,7 @@ def judge_segments(spark: SparkSession, segments: DataFrame, trees: ContextTrees
     shared = spark.sparkContext.broadcast(trees)
     rows = segments.where(~is_blank(F.col("text")) & F.col("segment_id").isNotNull() & F.col("transcript_id").isNotNull())
     judged = rows.select("transcript_id", "segment_id", "text").mapInArrow(_judge(shared), SCHEMA)
-    return judged.dropDuplicates(["segment_id"]).persist()  # scored once, read for the majorities and for the clauses
+    return keep(judged.dropDuplicates(["segment_id"]))  # scored once, read for the majorities and for the clauses
 
 
 def language_findings(judged: DataFrame, transcripts: DataFrame) -> DataFrame:

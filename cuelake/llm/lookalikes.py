@@ -19,6 +19,7 @@ from pyspark.sql.types import BinaryType
 
 from cuelake.functions.text import is_blank
 from cuelake.llm import glyphs
+from cuelake.session import keep
 from cuelake.sources.tables import current_transcripts, table
 
 #: Words that a task holds before it hands them on; bounds its memory.
@@ -89,7 +90,7 @@ def consistent_forms(texts: DataFrame) -> DataFrame:
     needn't be shuffled.
     """
     rows = texts.where(~is_blank(F.col("text"))).select(F.col("kind"), F.col("grp").cast("bigint").alias("grp"), F.col("id").cast("bigint").alias("id"), "text")
-    seen = rows.mapInArrow(_inspect, SCHEMA).persist()
+    seen = keep(rows.mapInArrow(_inspect, SCHEMA))
     clean = seen.where("word is null and tokens is null").select("kind", "grp", "id", "form", "raw")
     doubtful = seen.where("tokens is not null")
     claims = doubtful.select(F.explode("tokens").alias("t")).select("t.token", "t.fixed").distinct()
@@ -104,21 +105,47 @@ def consistent_forms(texts: DataFrame) -> DataFrame:
     return clean.unionByName(repaired.select("kind", "grp", "id", _digest("shown").alias("form"), "raw"))
 
 
-def alike_pairs(forms: DataFrame) -> DataFrame:
-    """(record_kind, id_a, id_b): ids whose texts share kind, group and consistent form but not their code points.
+#: Rows of a class that one task pairs with the rest of the class.
+SHARE = 1024
 
-    Only forms with at least two different texts take part, found by a partial aggregate before any row is moved; identical
-    copies of one text form no pair among themselves.
+
+def alike_classes(forms: DataFrame) -> DataFrame:
+    """(kind, grp, id, class, spelling, links): every row with its class of equal-looking rows and how many rows of the
+    class are spelled otherwise.
+
+    ``class`` and ``spelling`` are digests of the form and of the text. Spellings and classes are counted by partial
+    aggregates, so a class of a third of all rows is a few counters when it is shuffled; a row repeated under one id counts
+    once. Rows of a class of one spelling have no links.
     """
-    several = forms.groupBy("kind", "grp", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("kind", "grp", "form")
-    rows = forms.join(several, ["kind", "grp", "form"], "left_semi").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.grp") == F.col("b.grp")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.id") < F.col("b.id")))
-    return met.where("a.raw <> b.raw").select(F.col("a.kind").alias("record_kind"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    rows = forms.select("kind", "grp", "id", "form", "raw").distinct()
+    spelled = rows.groupBy("kind", "grp", "form", "raw").agg(F.count(F.lit(1)).alias("same"))
+    sizes = spelled.groupBy("kind", "grp", "form").agg(F.sum("same").alias("all"))
+    counted = spelled.join(sizes, ["kind", "grp", "form"])
+    joined = rows.join(counted, ["kind", "grp", "form", "raw"])
+    return joined.select("kind", "grp", "id", F.col("form").alias("class"), F.col("raw").alias("spelling"), (F.col("all") - F.col("same")).alias("links"))
 
 
-def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Titles of sources, and texts of segments of one source, that look the same but differ in code points."""
+def alike_pairs(forms: DataFrame, share: int = SHARE) -> DataFrame:
+    """(record_kind, id_a, id_b): ids whose texts share kind, group and consistent form but not their code points.
+
+    Only forms with at least two different texts take part, found by a partial aggregate before any row is moved; identical
+    copies of one text form no pair among themselves. A class of n rows is cut into n / ``share`` parts, each of which meets
+    the whole class in a place of its own, so that no task pairs a large class alone.
+    """
+    rows = forms.select("kind", "grp", "id", "form", "raw")
+    several = rows.groupBy("kind", "grp", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    parts = several.select("kind", "grp", "form", F.ceil(F.col("n") / share).alias("parts"))
+    members = rows.join(parts, ["kind", "grp", "form"]).distinct()
+    a = members.withColumn("part", F.pmod(F.xxhash64("id", "raw"), "parts")).alias("a")
+    b = members.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("b")
+    at = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("kind", "grp", "form", "part")]
+    met = a.join(b, at[0] & at[1] & at[2] & at[3] & (F.col("a.id") != F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")))
+    x, y = F.col("a.id"), F.col("b.id")
+    return met.where(x < y).select(F.col("a.kind").alias("record_kind"), x.alias("id_a"), y.alias("id_b")).distinct()
+
+
+def placed_forms(spark: SparkSession, directory: str) -> DataFrame:
+    """(kind, grp, id, form, raw) of the titles of sources and the texts of segments, segments grouped by source."""
     titles = table(spark, directory, "sources").where("source_key is not null").select(F.lit("title").alias("kind"), F.lit(0).alias("grp"), F.col("source_key").alias("id"), F.col("title").alias("text"))
     cues = table(spark, directory, "segments").where("segment_id is not null").select(
         F.lit("segment").alias("kind"), F.col("transcript_id").alias("grp"), F.col("segment_id").alias("id"), "text"
@@ -126,4 +153,15 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     forms = consistent_forms(titles.unionByName(cues))
     of = current_transcripts(spark, directory).select(F.col("transcript_id").alias("grp"), F.col("source_key").alias("source"))
     placed = forms.join(of, (forms.grp == of.grp) & (forms.kind == "segment"), "left").where("kind = 'title' or source is not null")
-    return alike_pairs(placed.select("kind", F.when(F.col("kind") == "title", F.lit(0)).otherwise(F.col("source")).alias("grp"), "id", "form", "raw").persist())
+    return keep(placed.select("kind", F.when(F.col("kind") == "title", F.lit(0)).otherwise(F.col("source")).alias("grp"), "id", "form", "raw"))
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Titles of sources, and texts of segments of one source, that look the same but differ in code points."""
+    return alike_pairs(placed_forms(spark, directory))
+
+
+def p3_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """The same as classes: (record_kind, id, class, spelling, links), one row per title and segment with text."""
+    c = alike_classes(placed_forms(spark, directory))
+    return c.select(F.col("kind").alias("record_kind"), "id", F.hex("class").alias("class"), F.hex("spelling").alias("spelling"), "links")

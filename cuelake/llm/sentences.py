@@ -1,7 +1,7 @@
 """Sentence units across languages and scripts by a pushdown automaton.
 
 The automaton walks over the marks of a text (terminators, quotes, brackets), keeps the open quotes and brackets on a
-stack, looks abbreviations up in tries read backwards from their point, and emits code-point offsets. Inside an open
+stack and the levels of lists on another, looks abbreviations up in tries read backwards from their point, and emits code-point offsets. Inside an open
 quote or bracket nothing ends; when the outermost one closes after a terminator, what stands before and after decides.
 """
 
@@ -37,6 +37,7 @@ STOPS = regex.compile(r"[.．…!?。！？｡؟۔।॥‼⁇⁈⁉]+(?:\s+[.!?
 SPACE = regex.compile(r"[\s\p{Z}\x1c-\x1f\x85]+")
 TOKEN_BEFORE = regex.compile(r"(?:[\p{L}\p{M}]\s?\.\s?)*[\p{L}\p{M}\p{N}]+$")
 THAI = regex.compile(r"\p{Thai}")
+WORD = regex.compile(r"\w{1,40}")
 NEXT = regex.compile(r"[\s\p{Z}]*[\"“„«»‚‘‹›「『(\[（¿¡'’]*(\S)?")
 
 
@@ -74,27 +75,103 @@ def _abbreviated(trie: dict, text: str, at: int) -> bool:
 def _pairs(text: str) -> dict[int, int]:
     """Opening position -> closing position of the quotes and brackets that are closed."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # how often the stack waits for a mark
     pairs: dict[int, int] = {}
+
+    def push(mark: str, i: int) -> None:
+        stack.append((mark, i))
+        waiting[mark] = waiting.get(mark, 0) + 1
+
+    def pop() -> tuple[str, int]:
+        mark, i = stack.pop()
+        waiting[mark] -= 1
+        return mark, i
+
     for m in MARK.finditer(text):
         c, i = m[0], m.start()
-        if c == '"':
-            if any(e == '"' for e, _ in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                pairs[stack.pop()[1]] = i
-            else:
-                stack.append(('"', i))
-        elif stack and c == stack[-1][0]:
-            pairs[stack.pop()[1]] = i
-        elif c in OPEN:
-            stack.append((OPEN[c], i))
-        elif c in CLOSE and any(e == c for e, _ in stack):
+        if stack and c == stack[-1][0]:
+            pairs[pop()[1]] = i
+        elif c in OPEN and c != '"':
+            push(OPEN[c], i)
+        elif waiting.get(c):
             while stack[-1][0] != c:
-                stack.pop()
-            pairs[stack.pop()[1]] = i
+                pop()
+            pairs[pop()[1]] = i
+        elif c == '"':
+            push('"', i)
     return pairs
 
 
+_ROMAN = regex.compile(r"[ivx]{1,6}")
+_ROMAN_VALUES = {"i": 1, "v": 5, "x": 10}
+
+
+def _list_values(token: str) -> list[tuple[str, int, int]]:
+    """(kind, level, place) that a list marker may have: numbers, dotted numbers, letters, Roman numerals."""
+    parts = token.split(".")
+    if all(p.isdigit() and p.isascii() for p in parts):
+        return [("number", len(parts), int(parts[-1][:9]))]
+    found = []
+    if len(token) == 1 and "a" <= token <= "z":
+        found.append(("letter", 1, ord(token) - 96))
+    if _ROMAN.fullmatch(token):
+        values = [_ROMAN_VALUES[c] for c in token]
+        found.append(("roman", 1, sum(v if v >= max(values[k:]) else -v for k, v in enumerate(values))))
+    return found
+
+
+class Lists:
+    """The levels of lists that are open: each with its kind and the place of its last item."""
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[str, int, int]] = []
+
+    def item(self, token: str) -> bool:
+        """Whether the token, which begins a line or unit and ends in a point, marks an item; then its level is on top.
+
+        Letters and Roman numerals mark the first item of a new level or the next of an open one; plain and dotted numbers
+        always mark one.
+        """
+        values = _list_values(token)
+        for kind, depth, place in values:
+            for k in range(len(self.levels) - 1, -1, -1):
+                if self.levels[k][:2] == (kind, depth) and (place == self.levels[k][2] + 1 or kind == "number"):
+                    self.levels[k:] = [(kind, depth, place)]
+                    return True
+        for kind, depth, place in values:
+            if place == 1 or kind == "number":
+                self.levels.append((kind, depth, place))
+                return True
+        return False
+
+
+    def fits(self, token: str) -> bool:
+        """Whether the token would mark the next item of an open level, or the first one of a level below."""
+        return any(place == 1 or (kind, depth, place - 1) in self.levels for kind, depth, place in _list_values(token))
+
+
+#: A list marker after a sentence.
+ITEM = regex.compile(r"\s+([a-z]{1,6}|\d{1,3}(?:\.\d{1,3})*)\.\s")
+#: Longest list marker.
+_MARKER = 12
+
+
+def _last_char(text: str, start: int, end: int) -> str:
+    """The last character of text[start:end] that is no white space, or an empty string."""
+    while end > start:
+        end -= 1
+        if not text[end].isspace():
+            return text[end]
+    return ""
+
+
+def _marker_before(text: str, start: int, i: int) -> str:
+    """The token before ``i`` if it begins the unit or a line, else empty."""
+    begin = max(start, text.rfind("\n", max(start, i - _MARKER - 1), i) + 1)
+    token = text[begin:i].strip() if i - begin <= _MARKER else ""
+    return token if token and not any(map(str.isspace, token)) else ""
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Offsets [start, end) of the sentence units of a text, in code points; none for null and blank texts."""
     if not text or not (first := regex.search(r"[^\s\p{Z}\x1c-\x1f\x85]", text)):
@@ -103,6 +180,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     start, n = first.start(), len(text)
     thai = bool(THAI.search(text))
+    lists = Lists()
     until = 0  # marks before this are inside what was dealt with
 
     def close(end: int) -> None:
@@ -123,9 +201,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if c in pairs_open(c) and i in pairs:
             j = pairs[i]
             until = j + 1
-            inner = text[i + 1 : j].rstrip()
-            closed = inner[-1:] in HARD or inner[-1:] in DOTS
-            head = text[start:i].strip()
+            inner = _last_char(text, i + 1, j)
+            closed = inner in HARD or inner in DOTS
+            head = _last_char(text, start, i)
             if c in BRACKETS:
                 if not head and closed:
                     close(j + 1)
@@ -143,7 +221,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         end = stop
         while end < n and text[end] in CLOSE and end not in pairs and text[end] != "„":
             end += 1
-        if _ends(text, i, run, stop, end, start):
+        if run == "." and end == stop and (token := _marker_before(text, start, i)) and stop < n and text[stop].isspace() and lists.item(token):
+            until = stop  # a list marker belongs to what follows it
+        elif (lists.levels and (item := ITEM.match(text, end)) and lists.fits(item[1])) or _ends(text, i, run, stop, end, start):
             close(end)
         else:
             until = stop
@@ -166,7 +246,7 @@ def _thai_around(text: str, i: int, j: int) -> bool:
 
 
 def _quote_ends(text: str, at: int, head: str) -> bool:
-    """A sentence closes with the quote that closes before ``at``; ``head`` are the words that introduce it."""
+    """A sentence closes with the quote that closes before ``at``; ``head`` is the last character of what introduces it."""
     m = NEXT.match(text, at)
     follow = m[1] if m else None
     if follow is None:
@@ -179,7 +259,20 @@ def _quote_ends(text: str, at: int, head: str) -> bool:
     if follow.islower():
         return False
     # scripts without case: introduced by a colon or comma it closes the sentence, else the clause goes on
-    return bool(head) and head[-1] in ":：,，、"
+    return bool(head) and head in ":：,，、"
+
+
+def _word_before(text: str, start: int, end: int) -> str:
+    """The word before ``end``, if white space parts them."""
+    i = end
+    while i > start and text[i - 1].isspace():
+        i -= 1
+    if i == end:
+        return ""
+    j = i
+    while j > max(start, i - 40) and (text[j - 1].isalnum() or text[j - 1] == "_"):
+        j -= 1
+    return text[j:i]
 
 
 def _ends(text: str, i: int, run: str, stop: int, end: int, start: int) -> bool:
@@ -209,8 +302,6 @@ def _ends(text: str, i: int, run: str, stop: int, end: int, start: int) -> bool:
             if follow.isupper():
                 return len(word) > 1 and (before.islower() or before.isdigit() or not before.isalnum()) or len(word) > 3
             return before.isalpha() and not before.isascii() or bool(regex.match(r"\p{M}", before))
-        if text[start:i].strip().isdigit():
-            return False  # a list number
         if _abbreviated(_SOMETIMES, text, i):
             return follow.isupper()
         if _abbreviated(_NEVER, text, i):
@@ -218,9 +309,8 @@ def _ends(text: str, i: int, run: str, stop: int, end: int, start: int) -> bool:
         if len(word) == 1 and word.isalpha() and word.isupper():
             return False  # an initial
         if word.isdigit() and len(word) <= 2 and follow.isupper():
-            nxt = regex.match(r"\w+", text[m.start(1) :])
-            prior = regex.search(r"(\w+)\s+$", text[start : i - len(word)])
-            if (nxt and nxt[0].lower() in MONTHS) or (prior and prior[1].lower() in ORDINAL_BEFORE):
+            nxt = WORD.match(text, m.start(1))
+            if (nxt and nxt[0].lower() in MONTHS) or _word_before(text, start, i - len(word)).lower() in ORDINAL_BEFORE:
                 return False
         if follow.islower():
             return False

@@ -27,6 +27,8 @@ VOCABULARIES = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per worker between batches, and the longest word (in characters) that is kept.
 KEPT_WORDS, KEPT_LENGTH = 400_000, 64
+#: Pairs of tokens whose compatibility a task remembers; beyond it only those of the batch at hand are kept.
+KEPT_PAIRS = 2_000_000
 
 
 class Encoder:
@@ -94,9 +96,11 @@ class Encoder:
         unseen = np.setdiff1d(key, self.pairs)
         if len(unseen):
             ok = np.fromiter((self.exact(self.piece[int(k) >> 32] + self.piece[int(k) & 0xFFFFFFFF]) == [int(k) >> 32, int(k) & 0xFFFFFFFF] for k in unseen), bool, len(unseen))
-            pairs, fits = np.append(self.pairs, unseen), np.append(self.fits, ok)
-            order = np.argsort(pairs)
-            self.pairs, self.fits = pairs[order], fits[order]
+            if len(self.pairs) > KEPT_PAIRS:  # what this batch doesn't need is settled again when it comes back
+                needed = np.isin(self.pairs, key)
+                self.pairs, self.fits = self.pairs[needed], self.fits[needed]
+            at = np.searchsorted(self.pairs, unseen)
+            self.pairs, self.fits = np.insert(self.pairs, at, unseen), np.insert(self.fits, at, ok)
         return self.fits[np.searchsorted(self.pairs, key)]
 
     def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:

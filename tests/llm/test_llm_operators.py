@@ -290,3 +290,23 @@ def test_items_come_in_blocks_of_bounded_size(spark):
     items = spark.createDataFrame([(2, "bb" * 5), (1, "a" * 9), (1, "a" * 9), (3, None), (4, "c" * 50)], "item_id bigint, text string")
     assert [[i for i, _ in b] for b in leakage.blocks_of_items(items, 20)] == [[1, 2], [4]]
     assert list(leakage.blocks_of_items(items.limit(0), 20)) == []
+
+
+def test_classes_and_pairs_of_equal_looking_rows(spark):
+    rows = [("t", 0, i, f"form{i % 4}".encode(), f"raw{i % 4}{i % 3}".encode()) for i in range(60)] + [("t", 0, 100, b"alone", b"x"), ("t", 0, 3, b"form3", b"raw30")]
+    forms = spark.createDataFrame(rows, "kind string, grp long, id long, form binary, raw binary")
+    once = sorted(set(rows))
+    want = {(a[2], b[2]) for a in once for b in once if a[2] < b[2] and a[3] == b[3] and a[4] != b[4]}
+    for share in (1, 4, 1024):
+        got = [(r.id_a, r.id_b) for r in lookalikes.alike_pairs(forms, share).collect()]
+        assert sorted(got) == sorted(want)
+    classes = lookalikes.alike_classes(forms).collect()
+    assert len(classes) == len(once)
+    assert {r.id: r.links for r in classes if r.id == 100} == {100: 0}
+    assert sum(r.links for r in classes) == 2 * len(want)
+
+
+def test_a_hot_class_is_counted_not_gathered(spark):
+    forms = spark.range(100_000).select(F.lit("t").alias("kind"), F.lit(0).cast("long").alias("grp"), "id", F.lit(b"f").alias("form"), F.when(F.col("id") % 2 == 0, F.lit(b"a")).otherwise(F.lit(b"b")).alias("raw"))
+    got = lookalikes.alike_classes(forms).agg(F.count(F.lit(1)).alias("n"), F.min("links").alias("lo"), F.max("links").alias("hi")).first()
+    assert (got.n, got.lo, got.hi) == (100_000, 50_000, 50_000)

@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuelake.llm import glyphs, leakage, repetition
+from cuelake.llm import events, glyphs, languages, leakage, repetition, tokens
 from cuelake.llm.events import distance, nearly_same
 from cuelake.llm.sentences import sentences
 
@@ -251,3 +252,57 @@ def test_pruning_loses_next_to_nothing():
         kept += len(found)
     assert cases > 100
     assert kept >= 0.9 * cases
+
+
+@pytest.mark.parametrize("text", ["word 12. März " * 70_000, "(" * 100_000 + '\u201d"' * 50_000, 'a "b. ' * 100_000, "No. 5 \"x\" " * 60_000, "1. " * 200_000])
+def test_long_texts_are_cut_in_linear_time(text):
+    began = time.perf_counter()
+    sentences(text)
+    assert time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize(
+    ("text", "units"),
+    [
+        ("1. Open the door. 2. Close it.", ["1. Open the door.", "2. Close it."]),
+        ("a. Open the door. b. Close it.", ["a. Open the door.", "b. Close it."]),
+        ("i. Open it. ii. Close it. iii. Go.", ["i. Open it.", "ii. Close it.", "iii. Go."]),
+        ("1. Open it. a. Push. b. Pull. 2. Close it.", ["1. Open it.", "a. Push.", "b. Pull.", "2. Close it."]),
+        ("1.2. Open the door. 1.3. Close it.", ["1.2. Open the door.", "1.3. Close it."]),
+    ],
+)
+def test_list_markers_belong_to_their_items(text, units):
+    assert [text[a:b] for a, b in sentences(text)] == units
+
+
+def test_language_switches_are_the_cheapest_path():
+    import itertools
+
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(60):
+        cost = np.array([[r.randint(0, 9) for _ in range(3)] for _ in range(r.randint(1, 6))], np.float32)
+        best = min(sum(cost[k, l] for k, l in enumerate(p)) + 4 * sum(a != b for a, b in zip(p, p[1:])) for p in itertools.product(range(3), repeat=len(cost)))
+        cuts = [0, *languages.switches(cost, 4.0), len(cost)]
+        assert sum(cost[a:b].sum(axis=0).min() for a, b in zip(cuts, cuts[1:])) + 4 * (len(cuts) - 2) == best
+
+
+def test_decorated_texts_are_nearly_the_same():
+    assert events.nearly_same("Right", "[[ Right ]] ... !!! \u266a\u266a")
+    assert events.nearly_same("Ok, so let us go", "\u200b".join("Ok, so let us go"))
+    text = "今天我们学习" * 2000
+    assert events.nearly_same(text, text[:300] + "刁" + text[301:])
+    assert not events.nearly_same(text, text[:300] + "不是这样的话" + text[300:])
+
+
+def test_pairs_of_tokens_are_forgotten_and_settled_again(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PAIRS", 50)
+    small = tokens.Encoder(f"{tokens.VOCABULARIES}/byte_bpe_50k.tiktoken")
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(200)) for _ in range(40)]
+    flat = [small.encode_batch([t])[0] for t in texts]
+    assert len(small.pairs) < 2000
+    monkeypatch.setattr(tokens, "KEPT_PAIRS", 10**9)
+    large = tokens.Encoder(f"{tokens.VOCABULARIES}/byte_bpe_50k.tiktoken")
+    assert flat == [large.encode_batch([t])[0] for t in texts]
