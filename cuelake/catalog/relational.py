@@ -165,7 +165,7 @@ def _media(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WN06", f"WITH {WIN} SELECT media, chunk, ws, we FROM win")
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.chunk_windows(_media(spark, d), 30_000, 5_000)
+    return chunks.chunk_windows(_media(spark, d), 30_000, 5_000).where("error is null").drop("error")
 
 
 CHUNKED = """ch AS (SELECT win.media, chunk, segment_id, ordinal, text, win.ws, win.we, greatest(cue.s - win.ws, 0) + chunk % 3 * 100 AS ls, cue.e - win.ws + chunk % 3 * 100 AS le
@@ -197,19 +197,6 @@ def boundary_copies(spark: SparkSession, d: str) -> DataFrame:
     return joins.without_boundary_copies(chunks.rebase(_chunked(spark, d)), "media").select("media", "chunk", "segment_id", "s", "e")
 
 
-@query(
-    "PIP06",
-    f"""WITH {CUE}, {TR}, {WIN}, {CHUNKED}, rb AS (SELECT media, chunk, segment_id, text, ws + least(ls, we - ws) AS s, ws + least(le, we - ws) AS e FROM ch WHERE ls < we - ws),
-k AS (SELECT media, chunk, segment_id, s, e FROM rb a WHERE NOT EXISTS (SELECT 1 FROM rb p WHERE p.media = a.media AND p.text = a.text AND p.chunk = a.chunk - 1 AND
-CASE WHEN least(a.e - a.s, p.e - p.s) <= 0 THEN a.s = p.s AND a.e = p.e ELSE least(a.e, p.e) - greatest(a.s, p.s) >= 0.8 * least(a.e - a.s, p.e - p.s)
-AND abs(a.s + a.e - p.s - p.e) / 2.0 <= greatest(200.0, 0.2 * least(a.e - a.s, p.e - p.s)) END))
-SELECT media, count(*) AS cues, min(chunk) AS first_chunk, CAST(sum(e - s) AS BIGINT) AS spoken_ms FROM k GROUP BY 1""",
-)
-def chunked_transcription(spark: SparkSession, d: str) -> DataFrame:
-    kept = joins.without_boundary_copies(chunks.rebase(_chunked(spark, d)), "media")
-    return kept.groupBy("media").agg(F.count(F.lit(1)).alias("cues"), F.min("chunk").alias("first_chunk"), F.sum(c("e") - c("s")).alias("spoken_ms"))
-
-
 @query(
     "JN04",
     f"""WITH {CUE}, {UNI}, rep AS (SELECT DISTINCT transcript_id, CAST(round(start_seconds * 1000) AS BIGINT) AS gs, CAST(round(end_seconds * 1000) AS BIGINT) AS ge FROM coverage_gaps
@@ -332,29 +319,6 @@ def failure_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "observations").groupBy("source_key").agg(F.round(f, 6).alias("failed"), F.when(f > 0.1, "fail").when(f > 0, "warn").otherwise("ok").alias("verdict"))
 
 
-@query("AG08", "SELECT coalesce(fmt, 'total') AS class, count(*) AS files, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS size FROM (SELECT coalesce(fmt, 'unknown') AS fmt, text FROM documents) GROUP BY ROLLUP (fmt)")
-def storage_usage(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "documents").select(F.coalesce("fmt", F.lit("unknown")).alias("fmt"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
-    return f.rollup("fmt").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).select(F.coalesce("fmt", F.lit("total")).alias("class"), "files", "size")
-
-
-@query("AG09", "SELECT platform, count(*) FILTER (WHERE media_type = 'audio') AS removed, count(*) FILTER (WHERE media_type = 'video') AS active, count(*) FILTER (WHERE media_type IS NULL) AS failed FROM sources GROUP BY 1")
-def cleanup_counts(spark: SparkSession, d: str) -> DataFrame:
-    kind = lambda x: F.count_if(x)
-    return table(spark, d, "sources").groupBy("platform").agg(kind(c("media_type") == "audio").alias("removed"), kind(c("media_type") == "video").alias("active"), kind(c("media_type").isNull()).alias("failed"))
-
-
-@query("AG10", "SELECT method, coalesce(bool_and(NOT coalesce(verification_pending, true)) FILTER (WHERE language IS NOT NULL), true) AS ready FROM transcripts GROUP BY 1")
-def readiness(spark: SparkSession, d: str) -> DataFrame:
-    ok = F.when(c("language").isNotNull(), ~F.coalesce("verification_pending", F.lit(True)))
-    return table(spark, d, "transcripts").groupBy("method").agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("ready"))
-
-
-@query("AG11", "SELECT source_key, bool_and(language IS NOT NULL) AS success, count(*) AS results FROM transcripts GROUP BY 1")
-def batch_success(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "transcripts").groupBy("source_key").agg(F.bool_and(c("language").isNotNull()).alias("success"), F.count(F.lit(1)).alias("results"))
-
-
 @query("ARR02", f"WITH {CUE} SELECT transcript_id, arg_min(text, ordinal::BIGINT * 1000000000 + segment_id) AS first_text FROM cue GROUP BY 1")
 def first_text(spark: SparkSession, d: str) -> DataFrame:
     return cu.cues(spark, d).groupBy("transcript_id").agg(F.min_by("text", F.struct("ordinal", "segment_id")).alias("first_text"))
@@ -395,30 +359,6 @@ def valid_evidence(spark: SparkSession, d: str) -> DataFrame:
     return g.select("transcript_id", to_ms(c("start_seconds")).alias("s"), to_ms(c("end_seconds")).alias("e")).distinct()
 
 
-@query(
-    "FLT07",
-    f"""WITH {CUE}, {DUR}, lastc AS (SELECT transcript_id, max(e) AS q FROM cue GROUP BY 1)
-SELECT transcript_id, CASE WHEN d - q >= 2000 THEN least(d, q + 250) ELSE d END AS clip_ms FROM lastc JOIN dur USING (transcript_id) WHERE d IS NOT NULL""",
-)
-def clip_ends(spark: SparkSession, d: str) -> DataFrame:
-    """Where recognition may stop: a quarter second into a silence of two seconds or more that reaches the end."""
-    q = cu.cues(spark, d).groupBy("transcript_id").agg(F.max("e").alias("q"))
-    b = _bounds(spark, d).select(c("key").alias("transcript_id"), c("limit_ms").alias("d")).where("d is not null")
-    return q.join(b, "transcript_id").select("transcript_id", F.when(c("d") - c("q") >= 2000, F.least("d", c("q") + 250)).otherwise(c("d")).alias("clip_ms"))
-
-
-@query("FLT08", "SELECT transcript_id, regexp_matches(array_to_string(warnings, ' '), '(?i)low confidence|unknown') AS fallback FROM transcripts WHERE warnings IS NOT NULL")
-def error_class(spark: SparkSession, d: str) -> DataFrame:
-    """Messages that allow a retry on another device, by what they contain."""
-    return table(spark, d, "transcripts").where("warnings is not null").select("transcript_id", F.array_join("warnings", " ").rlike("(?i)low confidence|unknown").alias("fallback"))
-
-
-@query("FLT09", f"WITH {CUE}, {DUR} SELECT transcript_id, bool_and(s >= 0 AND e <= coalesce(d, e)) AS valid FROM cue LEFT JOIN dur USING (transcript_id) GROUP BY 1")
-def checkpoint_valid(spark: SparkSession, d: str) -> DataFrame:
-    b = _bounds(spark, d).select(c("key").alias("transcript_id"), "limit_ms")
-    return cu.cues(spark, d).join(b, "transcript_id", "left").groupBy("transcript_id").agg(F.bool_and((c("s") >= 0) & (c("e") <= F.coalesce("limit_ms", "e"))).alias("valid"))
-
-
 @query("ORD01", f"WITH {CUE} SELECT transcript_id, segment_id, row_number() OVER (PARTITION BY transcript_id ORDER BY s, e, ordinal, segment_id) AS place FROM cue")
 def stable_order(spark: SparkSession, d: str) -> DataFrame:
     """Places in order of time; counted per block of time and offset by what earlier blocks hold."""
@@ -463,21 +403,6 @@ def digest_lookup(spark: SparkSession, d: str) -> DataFrame:
     return o.join(o.groupBy("h").agg(F.min("observation_id").alias("first_id")), "h").select("observation_id", "first_id")
 
 
-@query("JN07", f"WITH {TR} SELECT tr.transcript_id, s.source_key IS NOT NULL AS cached FROM tr LEFT JOIN (SELECT DISTINCT source_key, platform FROM sources WHERE platform = 'youtube') s ON tr.source_key = s.source_key")
-def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sources").where("platform = 'youtube'").select(c("source_key").alias("k")).distinct()
-    t = current_transcripts(spark, d)
-    return t.join(s, t.source_key == s.k, "left").select("transcript_id", c("k").isNotNull().alias("cached"))
-
-
-@query("JN08", "SELECT transcript_id, i AS place, warnings[i] AS warning FROM transcripts, unnest(range(1, len(warnings) + 1)) AS t(i) WHERE warnings IS NOT NULL")
-def positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    """Two lists of equal length, element by element; unequal lengths are an error."""
-    t = table(spark, d, "transcripts").where("warnings is not null and size(warnings) > 0").withColumn("places", F.sequence(F.lit(1), F.size("warnings")))
-    same = F.when(F.size("places") == F.size("warnings"), F.arrays_zip("places", "warnings")).otherwise(F.raise_error(F.lit("lists differ in length")).cast("array<struct<places:int,warnings:string>>"))
-    return t.select("transcript_id", F.explode(same).alias("z")).select("transcript_id", c("z.places").cast("bigint").alias("place"), c("z.warnings").alias("warning"))
-
-
 QUERIES["FOLD01"] = lambda spark, d: cu.merge_rolling(cu.cues(spark, d))
 SQL["FOLD01"] = f"""WITH {CUE}, l AS (SELECT transcript_id, list({{'s': s, 'e': e, 'text': text}} ORDER BY s, e, ordinal, segment_id, text) AS a FROM cue GROUP BY 1),
 f AS (SELECT transcript_id, list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN x[1].s <= acc[-1].e + 500 AND (starts_with(x[1].text, acc[-1].text) OR starts_with(acc[-1].text, x[1].text))
@@ -499,19 +424,6 @@ def merge_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.merge(speech, visible, "transcript_id").select("transcript_id", "segment_id", "s", "e", "branch")
 
 
-@query(
-    "PIP02",
-    f"""WITH {CUE}, {SPV}, {UNI}, {DUR}, {GAP}, near AS (SELECT DISTINCT sp.segment_id FROM sp JOIN gap ON gap.transcript_id = sp.transcript_id AND ((sp.s < ge AND sp.e > gs) OR (sp.s = sp.e AND gs <= sp.s AND sp.s < ge)))
-SELECT transcript_id, count(*) AS gaps, (SELECT count(*) FROM sp WHERE sp.transcript_id = gap.transcript_id AND sp.segment_id IN (SELECT segment_id FROM near)) AS supplements FROM gap GROUP BY 1""",
-)
-def verify_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps of each transcript and how much speech supplements them."""
-    g = _gaps(spark, d)
-    speech, _ = cu.speech_and_visible(cu.cues(spark, d))
-    n = joins.touching(speech, g, "transcript_id").groupBy("transcript_id").agg(F.count(F.lit(1)).alias("supplements"))
-    return g.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("gaps")).join(n, "transcript_id", "left").fillna(0, ["supplements"])
-
-
 QUERIES["PIP10"] = lambda spark, d: current_transcripts(spark, d).select("transcript_id", hybrid.upgraded_method(c("method")).alias("upgraded"))
 SQL["PIP10"] = f"WITH {TR} SELECT transcript_id, CASE method WHEN 'platform-captions' THEN 'platform-captions-whisper' WHEN 'local-captions' THEN 'local-captions-whisper' ELSE 'ocr-whisper' END AS upgraded FROM tr"
 QUERIES["WN01_islands"] = lambda spark, d: sequences.islands(cu.cues(spark, d), "transcript_id", 500).select("transcript_id", "segment_id", "island")

@@ -176,11 +176,6 @@ QUERIES["MTH04"] = lambda spark, d: table(spark, d, "segments").select("segment_
 scalar("MTH05", *OBS, {"fraction": (lambda: F.round(tm.progress_fraction(c("timestamp_seconds"), F.lit(100.0)), 6), "round(least(0.99, timestamp_seconds / 100.0), 6)")}, where="timestamp_seconds IS NOT NULL")
 scalar("SRC14", *SRC, {"every": (lambda: F.round(tm.legacy_interval(c("duration_seconds"), 240), 4), f"CASE WHEN {sql_finite('duration_seconds')} AND duration_seconds > 0 THEN round(greatest(1.0, duration_seconds / 240), 4) ELSE 1.0 END")})
 
-scalar(
-    "JSN03", *SRC,
-    {"cache_key": (lambda: ident.canonical_key(platform=c("platform"), source_key=c("source_key"), media_type=c("media_type")),
-     "sha256('{\"media_type\":' || coalesce('\"' || media_type || '\"', 'null') || ',\"platform\":' || coalesce('\"' || platform || '\"', 'null') || ',\"source_key\":' || coalesce(CAST(source_key AS VARCHAR), 'null') || '}')")},
-)
 scalar("JSN04", *SRC, {"chunk_key": (lambda: ident.joined_key(F.lit("r1"), c("source_id"), F.lit("300/2"), F.round(c("duration_seconds") * 1000).cast("bigint")), "sha256('r1|' || coalesce(source_id, '') || '|300/2|' || coalesce(CAST(CAST(round(duration_seconds * 1000) AS BIGINT) AS VARCHAR), ''))")}, where="duration_seconds IS NULL OR (NOT isnan(duration_seconds) AND abs(duration_seconds) < 1e12)")
 scalar("JSN05", *OBS, {"ordinal": (lambda: c("frame_ordinal"), "frame_ordinal"), "digest": (lambda: F.sha2(F.coalesce(c("text"), F.lit("")), 256), "sha256(coalesce(text, ''))")})
 scalar("JSN06", *TRS, {"fingerprint": (lambda: ident.joined_key(F.lit("engine-1"), c("method"), F.lit("model-2")), "sha256('engine-1|' || coalesce(method, '') || '|model-2')")})
@@ -188,7 +183,6 @@ scalar("JSN07", *SRC, {"scope": (lambda: ident.cache_scope(F.when(c("platform")
 scalar("ARR01", *OBS, {"batch": (lambda: F.floor(c("frame_ordinal") / 32), "CAST(floor(frame_ordinal / 32.0) AS BIGINT)")})
 scalar("FLT06", *SRC, {"is_key": (lambda: F.regexp_replace("source_id", "^local-", "").rlike("^[0-9a-f]{64}$"), "regexp_full_match(regexp_replace(source_id, '^local-', ''), '[0-9a-f]{64}')")})
 scalar("SRC03", *SRC, {"route": (lambda: local_route(c("url")), "CASE WHEN NOT regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN 'local' WHEN regexp_matches(url, '^(?i:file)://(localhost)?/[^?#]*$') THEN 'local' WHEN regexp_matches(url, '^(?i:file):') THEN 'invalid' ELSE 'remote' END")})
-scalar("SRC05", *SRC, {"content_id": (lambda: F.concat(F.lit("local-"), F.sha2("title", 256)), "'local-' || sha256(title)")})
 
 
 def local_route(url: Column) -> Column:

@@ -9,22 +9,25 @@ from cuelake.functions.text import collapse_ws, is_blank
 from cuelake.functions.times import finite
 from cuelake.operators.sequences import running
 
-#: More windows than this for one medium are an error.
+#: A medium with more windows than this has none but a row with an error.
 MOST_WINDOWS = 1_000_000
 
 
 def chunk_windows(media: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFrame:
-    """(media, chunk, ws, we): overlapping windows of a fixed length over [0, duration_ms], the last one cut.
+    """(media, chunk, ws, we, error): overlapping windows of a fixed length over [0, duration_ms], the last one cut.
 
-    Media without a duration above 0 have none.
+    Media without a duration above 0 have none. A medium of more than MOST_WINDOWS, whose duration can only be corrupt, is
+    one row with an error and no window; it fails nothing else.
     """
     if not 0 <= overlap_ms < chunk_ms:
         raise ValueError("0 <= overlap < chunk")
     stride = chunk_ms - overlap_ms
     more = F.greatest(F.ceil((F.col("duration_ms") - chunk_ms) / stride), F.lit(0))
-    checked = F.when(more < MOST_WINDOWS, more).otherwise(F.raise_error(F.lit("too many windows")).cast("bigint"))
-    w = media.where("duration_ms > 0").select("media", "duration_ms", F.explode(F.sequence(F.lit(0).cast("bigint"), checked)).alias("chunk"))
-    return w.select("media", "chunk", (F.col("chunk") * stride).alias("ws"), F.least("duration_ms", F.col("chunk") * stride + chunk_ms).alias("we"))
+    few = F.col("duration_ms") / stride < MOST_WINDOWS
+    chunks = F.when(few, F.sequence(F.lit(0).cast("bigint"), F.when(few, more).otherwise(F.lit(0).cast("bigint")))).otherwise(F.array(F.lit(None).cast("bigint")))
+    w = media.where("duration_ms > 0").select("media", "duration_ms", F.explode(chunks).alias("chunk"))
+    end = F.when(F.col("chunk").isNotNull(), F.least("duration_ms", F.col("chunk") * stride + chunk_ms))
+    return w.select("media", "chunk", (F.col("chunk") * stride).alias("ws"), end.alias("we"), F.when(F.col("chunk").isNull(), "too many windows").alias("error"))
 
 
 def rebase(results: DataFrame) -> DataFrame:

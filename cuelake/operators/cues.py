@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import collapse_ws, is_blank
 from cuelake.operators.intervals import to_ms
-from cuelake.operators.sequences import previous, running
+from cuelake.operators.sequences import running, scanned
 from cuelake.sources.tables import distinct_by, table
 
 
@@ -53,8 +53,7 @@ def merge_rolling(c: DataFrame, slack_ms: int = 500, block_ms: int = 600_000) ->
     """
     order = ["s", "e", "ordinal", "segment_id"]
     rows = c.select("transcript_id", *order, "text").withColumn("_b", F.floor(F.col("s") / block_ms))
-    reached = running(rows, ["transcript_id"], "_b", order, F.col("e"), "max", "_reach")
-    seen = previous(reached, ["transcript_id"], "_b", order, {"before": "text"})
+    seen = scanned(rows, ["transcript_id"], "_b", order, {"_reach": (F.col("e"), "max")}, {"before": "text"})
     goes_on = (F.col("s") <= F.col("_reach") + slack_ms) & (F.startswith(F.col("text"), F.col("before")) | F.startswith(F.col("before"), F.col("text")))
     cut = seen.withColumn("_cut", (~F.coalesce(goes_on, F.lit(False))).cast("bigint"))
     grouped = running(cut, ["transcript_id"], "_b", order, F.col("_cut"), "sum", "_n").withColumn("stretch", F.col("_n") + F.col("_cut"))

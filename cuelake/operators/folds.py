@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import fold_caption
 from cuelake.functions.udfs import RATIO, likeness
-from cuelake.operators.sequences import previous, running
+from cuelake.operators.sequences import running, scanned
+from cuelake.session import keep
 
 SEGMENT = "source_key bigint, start_ms bigint, end_ms bigint, text string, confidence double"
 #: From which confidence on a reading is sure, the ratio that two sure readings need, and how many frames may be blank.
@@ -95,8 +96,8 @@ def fold_frames(frames: DataFrame, frame_ms: int = 500, block_ms: int = BLOCK_MS
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
     ).withColumn("_b", F.floor(F.col("s") / block_ms))
     order = ["s", "ordinal", "text", "confidence"]
-    last_text = running(f, ["source_key"], "_b", order, F.when(F.col("text") != "", F.col("s")), "max", "text_at")
-    before = previous(last_text, ["source_key"], "_b", order, {"before": "text", "before_s": "s"}).where("text <> ''")
+    last_text = {"text_at": (F.when(F.col("text") != "", F.col("s")), "max")}
+    before = scanned(f, ["source_key"], "_b", order, last_text, {"before": "text", "before_s": "s"}).where("text <> ''")
     cut = F.coalesce((F.col("before") == "") & (F.col("before_s") - F.col("text_at") > int(frame_ms * BLANK_FRAMES)), F.lit(False)).cast("bigint")
     stretched = running(before.withColumn("_cut", cut), ["source_key"], "_b", order, F.col("_cut"), "sum", "_n").withColumn("stretch", F.col("_n") + F.col("_cut"))
     rows = stretched.select("source_key", "stretch", "s", "ordinal", "text", fold_caption(F.col("text")).alias("norm"), "confidence")
@@ -133,39 +134,44 @@ def _by_stretch(rows: Iterator[tuple[tuple[int, int], Caption]]) -> Iterator[tup
             yield key, caption
 
 
-def decoded_runs(frames: DataFrame, tolerance_ms: int = 2, block_ms: int = BLOCK_MS) -> DataFrame:
+def decoded_runs(frames: DataFrame, tolerance_ms: int = 2, block_ms: int = BLOCK_MS, per_ms: int = 1) -> DataFrame:
     """(media, run_start, run_end): runs of decoded samples (media, place, s, length_ms); media with invalid evidence (no
-    length, a start before -250 ms, or starts that go back) have none.
+    length, a start before -250 ms, or starts that go back) have none. Times of frames are in ``per_ms`` parts of a
+    millisecond, those of runs in milliseconds.
 
     A run goes on while a frame starts where the lengths since the run's start say, up to a tolerance, so small holes add
     up and end it. How far a start is ahead of all lengths before it changes at holes only: those few frames decide where
     runs begin, and the lengths in between come from a running sum.
     """
-    f = frames.withColumn("_b", F.floor(F.col("s") / block_ms))
+    f = frames.withColumn("_b", F.floor(F.coalesce("s", F.lit(0)) / (block_ms * per_ms)))
     order = ["s", "place"]
-    placed = previous(f, ["media"], "_b", order, {"place_before": "place"})
-    wrong = (F.col("length_ms") <= 0) | (F.col("s") < -250) | F.coalesce(F.col("place_before") > F.col("place"), F.lit(False)) | F.col("s").isNull() | F.col("length_ms").isNull()
-    invalid = placed.groupBy("media").agg(F.bool_or(wrong).alias("wrong")).where("wrong").select("media")
-    heard = f.join(invalid, "media", "left_anti").where(F.col("s") + F.col("length_ms") > 0)
-    summed = running(heard, ["media"], "_b", order, F.col("length_ms"), "sum", "before").withColumn("ahead", F.col("s") - F.col("before"))
-    holes = previous(summed, ["media"], "_b", order, {"ahead_before": "ahead"}).where("ahead_before is null or ahead_before <> ahead").select("media", "s", "place", "before", "ahead")
+    early = F.col("s") + F.col("length_ms") <= 0  # before the medium begins
+    sums = {"before": (F.when(early, 0).otherwise(F.col("length_ms")), "sum")}
+    placed = scanned(f, ["media"], "_b", order, sums, {"place_before": "place", "s_before": "s", "length_before": "length_ms"})
+    wrong = (F.col("length_ms") <= 0) | (F.col("s") < -250 * per_ms) | F.coalesce(F.col("place_before") > F.col("place"), F.lit(False)) | F.col("s").isNull() | F.col("length_ms").isNull()
+    media = f.groupBy("media").agg(F.sum(F.when(early, 0).otherwise(F.col("length_ms"))).alias("total"))
+    heard = placed.withColumn("wrong", F.coalesce(wrong, F.lit(True))).withColumn("ahead", F.col("s") - F.col("before"))
+    # the row before was as far ahead, unless there is a hole between
+    straight = F.coalesce((F.col("s_before") + F.col("length_before") > 0) & (F.col("s_before") + F.col("length_before") == F.col("s")), F.lit(False))
+    told = keep(heard.where(F.col("wrong") | ~straight & ~early).select("media", "s", "place", "before", "ahead", "wrong"))
+    holes = told.join(told.where("wrong").select("media").distinct(), "media", "left_anti")
 
     def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         medium, anchor = None, 0
         for b in batches:
             opens = []
             for m, ahead in zip(b["media"], b["ahead"]):
-                new = m != medium or abs(ahead - anchor) > tolerance_ms
+                new = m != medium or abs(ahead - anchor) > tolerance_ms * per_ms
                 if new:
                     medium, anchor = m, ahead
                 opens.append(new)
             yield b.loc[opens, ["media", "s", "before"]]
 
     opened = holes.repartition("media").sortWithinPartitions("media", "s", "place").select("media", "s", "before", "ahead").mapInPandas(openings, "media bigint, s bigint, before bigint")
-    total = heard.groupBy("media").agg(F.sum("length_ms").alias("total"))
     after = F.lead("before").over(Window.partitionBy("media").orderBy("before", "s"))
-    ends = opened.withColumn("after", after).join(total, "media")
-    return ends.select("media", F.greatest("s", F.lit(0)).alias("run_start"), (F.col("s") + F.coalesce("after", "total") - F.col("before")).alias("run_end"))
+    ends = opened.withColumn("after", after).join(media, "media")
+    in_ms = lambda x: x if per_ms == 1 else F.round(x / per_ms).cast("bigint")
+    return ends.select("media", in_ms(F.greatest("s", F.lit(0))).alias("run_start"), in_ms(F.col("s") + F.coalesce("after", "total") - F.col("before")).alias("run_end"))
 
 
 def decoded_end(lines: DataFrame) -> DataFrame:
@@ -185,7 +191,7 @@ def silences(events: DataFrame) -> DataFrame:
     ends without starts, starts twice, or times that go back, have none. An open silence lasts to the decoded end."""
     w = Window.partitionBy("media").orderBy("place")
     e = events.withColumn("k0", F.lag("kind").over(w)).withColumn("t0", F.lag("at_ms").over(w)).withColumn("k1", F.lead("kind").over(w)).withColumn("t1", F.lead("at_ms").over(w))
-    wrong = ((F.col("kind") == "end") & ~F.col("k0").eqNullSafe("start")) | ((F.col("kind") == "start") & F.col("k0").eqNullSafe("start")) | F.coalesce(F.col("at_ms") < F.col("t0"), F.lit(False)) | (F.col("at_ms") > F.col("end_ms") + 250) | (F.col("at_ms") < -250)
+    wrong = (F.col("kind") == "bad") | ((F.col("kind") == "end") & ~F.col("k0").eqNullSafe("start")) | ((F.col("kind") == "start") & F.col("k0").eqNullSafe("start")) | F.coalesce(F.col("at_ms") < F.col("t0"), F.lit(False)) | (F.col("at_ms") > F.col("end_ms") + 250) | (F.col("at_ms") < -250)
     broken = e.groupBy("media").agg(F.bool_or(wrong).alias("broken")).where("not broken").select("media")
     clip = lambda x: F.least(F.col("end_ms"), F.greatest(F.lit(0), x))
     quiet = e.where("kind = 'start'").select("media", clip(F.col("at_ms")).alias("s"), F.when(F.col("k1") == "end", clip(F.col("t1"))).otherwise(F.col("end_ms")).alias("e"))

@@ -10,35 +10,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, how: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the max or sum of ``value`` over all rows of the key before this one (null or 0 at the first).
+def scanned(df: DataFrame, keys: list[str], block: str, order: list[str], totals: dict[str, tuple[Column, str]] | None = None, before: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with aggregates of all rows of the key before this one, and with columns of the row before.
 
-    ``order`` must tell rows of a block apart, else ties are put in any order.
+    ``totals``: name -> (value, 'max' or 'sum'), null or 0 at a key's first row; ``before``: name -> column, null there. Both
+    reach over blocks, however far apart: a block's rows are followed by what one summary row per block says of the blocks
+    before. ``order`` must tell rows of a block apart, else ties are put in any order.
     """
-    agg = {"max": F.max, "sum": F.sum}[how]
-    rows = df.withColumn("_v", value).repartition(*keys, block)
-    before = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*keys, block).agg(agg("_v").alias("_a"))
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(*keys, block, agg("_a").over(earlier).alias("_c"))
-    out = rows.withColumn("_l", agg("_v").over(before)).join(carry, [*keys, block], "left")
-    both = F.greatest("_l", "_c") if how == "max" else F.coalesce("_l", F.lit(0)) + F.coalesce("_c", F.lit(0))
-    return out.withColumn(name, both).drop("_v", "_l", "_c")
+    totals, before = totals or {}, before or {}
+    agg = {"max": F.max, "sum": F.sum}
+    rows = df.withColumns({f"_v_{n}": v for n, (v, _) in totals.items()}).repartition(*keys, block)
+    here = Window.partitionBy(*keys, block).orderBy(*order)
+    earlier_here = here.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(block)
+    summary = [agg[how](f"_v_{n}").alias(f"_a_{n}") for n, (_, how) in totals.items()]
+    if before:
+        summary.append(F.max_by(F.struct(*[F.col(v).alias(n) for n, v in before.items()]), F.struct(*order)).alias("_last"))
+    blocks = rows.groupBy(*keys, block).agg(*summary)
+    carry = [agg[how](f"_a_{n}").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}") for n, (_, how) in totals.items()]
+    carry += [F.lag("_last").over(earlier).alias("_handed")] if before else []
+    local = {f"_l_{n}": agg[how](f"_v_{n}").over(earlier_here) for n, (_, how) in totals.items()}
+    local |= {f"_b_{n}": F.lag(v).over(here) for n, v in before.items()}
+    if before:
+        local["_first"] = F.row_number().over(here) == 1
+    joined = rows.withColumns(local).join(blocks.select(*keys, block, *carry), [*keys, block], "left")
+    found = {
+        n: F.greatest(f"_l_{n}", f"_c_{n}") if how == "max" else F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)) for n, (_, how) in totals.items()
+    } | {n: F.when(F.col("_first"), F.col(f"_handed.{n}")).otherwise(F.col(f"_b_{n}")) for n in before}
+    return joined.withColumns(found).drop("_first", "_handed", *[f"_{k}_{n}" for n in totals for k in "vlc"], *[f"_b_{n}" for n in before])
 
 
-def previous(df: DataFrame, keys: list[str], block: str, order: list[str], values: dict[str, str]) -> DataFrame:
-    """``df`` with columns of the row before, however far its block lies back; null at a key's first row.
+def running(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, how: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the max or sum of ``value`` over all rows of the key before this one (null or 0 at the first)."""
+    return scanned(df, keys, block, order, {name: (value, how)})
 
-    ``values`` names new columns and what they come from. The last row of a block is handed to the next block there is.
-    """
-    rows = df.repartition(*keys, block)
-    here = Window.partitionBy(*keys, block).orderBy(*order)
-    last = rows.groupBy(*keys, block).agg(F.max_by(F.struct(*[F.col(v).alias(n) for n, v in values.items()]), F.struct(*order)).alias("_last"))
-    handed = last.select(*keys, block, F.lag("_last").over(Window.partitionBy(*keys).orderBy(block)).alias("_handed"))
-    lagged = rows.withColumns({f"_{n}": F.lag(v).over(here) for n, v in values.items()}).withColumn("_first", F.row_number().over(here) == 1)
-    joined = lagged.join(handed, [*keys, block], "left")
-    out = joined.withColumns({n: F.when(F.col("_first"), F.col(f"_handed.{n}")).otherwise(F.col(f"_{n}")) for n in values})
-    return out.drop("_first", "_handed", *[f"_{n}" for n in values])
+
+def previous(df: DataFrame, keys: list[str], block: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with columns of the row before, however far its block lies back; null at a key's first row."""
+    return scanned(df, keys, block, order, before=values)
 
 
 def islands(cues: DataFrame, key: str, slack_ms: int = 0, block_ms: int = 600_000) -> DataFrame:

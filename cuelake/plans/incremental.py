@@ -6,10 +6,13 @@ complete and final, so an interrupted run is simply asked for the missing keys a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cuelake.functions.identity import joined_key
+from cuelake.session import keep
+
 
 class Store:
     """Results (key, identity, payload, pending) of one recipe revision under ``path``, a folder that all executors share."""
@@ -25,18 +28,27 @@ class Store:
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return fs.exists(p)
 
-    def rows(self) -> DataFrame:
-        """The valid newest result of each key; rows of another revision, or without payload, are misses."""
+    def _valid(self) -> DataFrame:
         if not self._exists():
             return self.spark.createDataFrame([], StructType.fromDDL(self.SCHEMA))
-        all_rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where((F.col("revision") == self.revision) & F.col("payload").isNotNull() & F.col("key").rlike("^[0-9a-f]{64}$"))
-        newest = F.max(F.struct("written_at", "identity", "payload", "pending", "revision")).alias("n")
-        return all_rows.groupBy("key").agg(newest).select("key", "n.identity", "n.payload", "n.pending", "n.revision", "n.written_at")
+        kept = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return kept.where((F.col("revision") == self.revision) & F.col("payload").isNotNull() & F.col("key").rlike("^[0-9a-f]{64}$"))
+
+    def keys(self) -> DataFrame:
+        """(key, identity, written_at) of the newest result of each key; payloads aren't read, let alone moved."""
+        newest = F.max(F.struct("written_at", "identity")).alias("n")
+        return self._valid().groupBy("key").agg(newest).select("key", "n.identity", "n.written_at")
+
+    def rows(self) -> DataFrame:
+        """The valid newest result of each key; rows of another revision, or without payload, are misses."""
+        all_rows = self._valid()
+        newest = self.keys().withColumnsRenamed({"identity": "n_identity", "written_at": "n_at"})
+        met = all_rows.join(newest, "key").where((F.col("written_at") == F.col("n_at")) & F.col("identity").eqNullSafe(F.col("n_identity"))).drop("n_identity", "n_at")
+        return met.dropDuplicates(["key"])
 
     def pending_work(self, work: DataFrame) -> DataFrame:
         """Rows of ``work`` (key, identity, ...) that have no result; a key with another identity is a miss."""
-        done = self.rows().select("key", "identity")
-        return work.join(done, ["key", "identity"], "left_anti")
+        return work.join(self.keys().select("key", "identity"), ["key", "identity"], "left_anti")
 
     def finished(self, work: DataFrame) -> DataFrame:
         """``work`` with the payloads that are there."""
@@ -60,16 +72,16 @@ def run_incrementally(store: Store, work: DataFrame, compute) -> DataFrame:  # n
 
 
 class EphemeralStore:
-    """The store's interface for runs that keep nothing: everything is always missing."""
+    """The store's interface for runs that keep nothing: what one run put is there for that run only."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self._kept = spark, spark.createDataFrame([], StructType.fromDDL("key string, identity string, payload string"))
 
     def pending_work(self, work: DataFrame) -> DataFrame:
-        return work
+        return work.join(self._kept, ["key", "identity"], "left_anti")
 
     def put(self, results: DataFrame) -> None:
-        self._kept = results.where(~F.coalesce("pending", F.lit(False))).select("key", "identity", "payload").persist()
+        self._kept = self._kept.unionByName(keep(results.where(~F.coalesce("pending", F.lit(False))).select("key", "identity", "payload")))
 
     def finished(self, work: DataFrame) -> DataFrame:
         return work.join(self._kept, ["key", "identity"])
@@ -98,19 +110,53 @@ def manifest(events: DataFrame) -> DataFrame:
     return newest.select("key", F.when(whole, "complete").otherwise("downloading").alias("state"), "n.path", "n.size")
 
 
-def chunk_checkpoints(results: DataFrame, windows: DataFrame) -> DataFrame:
-    """(media, chunk, ws, we, reusable): windows whose kept result has exactly their bounds and recipe; a silent chunk's
-    empty result counts, a missing one doesn't."""
-    r = results.select("media", "chunk", F.col("ws").alias("r_ws"), F.col("we").alias("r_we"), "cues")
-    j = windows.join(r, ["media", "chunk"], "left")
-    ok = (F.col("ws") == F.col("r_ws")) & (F.col("we") == F.col("r_we")) & F.col("cues").isNotNull()
-    return j.select("media", "chunk", "ws", "we", F.coalesce(ok, F.lit(False)).alias("reusable"))
+def frame_batches(frames: DataFrame, recipe: Column, size: int = 32) -> DataFrame:
+    """(source_key, batch, first, frames, key, identity): batches of a source's frames (source_key, frame_ordinal, digest).
+
+    ``recipe`` describes how they are read. The key names recipe, source and batch; the identity is a digest of all
+    (ordinal, content) pairs, so a batch of which any frame has changed is read again.
+    """
+    b = frames.withColumn("batch", F.floor(F.col("frame_ordinal") / size))
+    g = b.groupBy("source_key", "batch").agg(F.min("frame_ordinal").alias("first"), F.count(F.lit(1)).alias("frames"), F.array_sort(F.collect_set(F.struct("frame_ordinal", "digest"))).alias("f"))
+    return g.select("source_key", "batch", "first", "frames", joined_key(recipe, F.col("source_key"), F.col("batch")).alias("key"), F.sha2(F.to_json("f"), 256).alias("identity"))
+
+
+def valid_checkpoint(payload: Column, key: Column, index: Column, length_ms: Column, schema: int = 1, revision: str = "r1") -> Column:
+    """Whether a chunk's kept JSON can be used: schema, revision, key and index as asked, cues inside the chunk and in order.
+
+    No cue at all is a valid result: the chunk was silent.
+    """
+    kind = "schema int, revision string, key string, index int, segments array<struct<start_ms: bigint, end_ms: bigint, text: string>>"
+    p = F.from_json(payload, kind)
+    cues = p["segments"]
+    inside = F.forall(cues, lambda c: (c["start_ms"] >= 0) & (c["end_ms"] >= c["start_ms"]) & (c["end_ms"] <= length_ms) & (F.trim(c["text"]) != ""))
+    ordered = F.forall(F.zip_with(cues, F.slice(cues, F.lit(2), F.greatest(F.size(cues), F.lit(1))), lambda x, y: y.isNull() | (y["start_ms"] >= x["start_ms"])), lambda ok: ok)
+    return F.coalesce((p["schema"] == schema) & (p["revision"] == revision) & (p["key"] == key) & (p["index"] == index) & inside & ordered, F.lit(False))
+
+
+def cleanup_counts(actions: DataFrame, by: str) -> DataFrame:
+    """(by, removed, active, kept) of what ``clearable`` decided."""
+    of = lambda a: F.count_if(F.col("action") == a)
+    return actions.groupBy(by).agg(of("remove").alias("removed"), of("active").alias("active"), of("keep").alias("kept"))
+
+
+def usage_by_class(files: DataFrame) -> DataFrame:
+    """(class, files, size) of files (path, length) under class folders, and their total."""
+    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class"), "length")
+    g = named.rollup("class").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size"))
+    return g.select(F.coalesce("class", F.lit("total")).alias("class"), "files", "size")
+
+
+def snapshot(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as it is now, written to the shared folder: later changes of what it was read from don't show in it."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def clearable(tasks: DataFrame) -> DataFrame:
-    """(key, action): incomplete tasks are removed, locked ones are left active, completed ones and links are kept."""
+def clearable(tasks: DataFrame, *columns: str) -> DataFrame:
+    """(key, *columns, action): incomplete tasks are removed, locked ones are left active, completed ones and links are kept."""
     action = F.when(F.col("completed") | F.col("is_link"), "keep").when(F.col("locked"), "active").otherwise("remove")
-    return tasks.select("key", action.alias("action"))
+    return tasks.select("key", *columns, action.alias("action"))
 
 
 def abandoned(fallbacks: DataFrame, captions: DataFrame) -> DataFrame:

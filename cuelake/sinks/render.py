@@ -55,12 +55,26 @@ def header() -> Column:
     )
 
 
+def last_parts(cues: DataFrame) -> DataFrame:
+    """(transcript_id, last_part)"""
+    return cues.groupBy("transcript_id").agg(F.max("part").alias("last_part"))
+
+
 def markdown(heads: DataFrame, cues: DataFrame, timed: bool) -> DataFrame:
-    """(transcript_id, part, document): Markdown with or without times; warnings, if any, at the end."""
+    """(transcript_id, part, document): Markdown with or without times: the head before the first part, warnings, if any,
+    behind the last."""
     body = bodies(cues, markdown_line() if timed else F.col("text"), "\n\n", "body")
     warned = F.when(F.size(F.coalesce("warnings", F.array().cast("array<string>"))) > 0, F.concat(F.lit("\n\n## Warnings\n\n- "), F.array_join("warnings", "\n- "))).otherwise("")
-    joined = heads.join(body, "transcript_id")
-    return joined.select("transcript_id", "part", F.concat(header(), "body", warned, F.lit("\n")).alias("document"))
+    head = F.when(F.col("part") == 0, header()).otherwise("")
+    tail = F.when(F.col("part") == F.col("last_part"), warned).otherwise("")
+    joined = heads.join(last_parts(cues), "transcript_id").join(body, "transcript_id")
+    return joined.select("transcript_id", "part", F.concat(head, "body", tail, F.lit("\n")).alias("document"))
+
+
+def webvtt(cues: DataFrame) -> DataFrame:
+    """(transcript_id, part, document): WebVTT; the signature stands before the first part only."""
+    body = bodies(cues, cue_block("."), "\n\n", "body")
+    return body.select("transcript_id", "part", F.concat(F.when(F.col("part") == 0, "WEBVTT\n\n").otherwise(""), "body").alias("document"))
 
 
 def segments_json(heads: DataFrame, cues: DataFrame) -> DataFrame:

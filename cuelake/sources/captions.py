@@ -32,16 +32,38 @@ def scan_captions(files: DataFrame, key: str, content: str) -> DataFrame:
     return cues.where("text <> '' and e >= s")
 
 
+def caption_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all files under a path: as UTF-8, undecodable bytes replaced; each file is one row, as a whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """Cues of all caption files under a path, with the file they came from."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return scan_captions(files, "file", "value")
+    return scan_captions(caption_files(spark, path).withColumnRenamed("path", "file"), "file", "content")
 
 
 def sidecars(files: DataFrame) -> DataFrame:
-    """(stem, path): the caption file next to a medium: WebVTT before SubRip, the first that can be read."""
-    named = files.select("path", "readable", F.regexp_extract("path", r"^(.*)\.(vtt|srt)$", 1).alias("stem"), F.regexp_extract("path", r"\.(vtt|srt)$", 1).alias("kind")).where("stem <> ''")
-    return named.where("readable").groupBy("stem").agg(F.min_by("path", (F.col("kind") == "srt").cast("int")).alias("path"))
+    """(stem, path, cues, warning): the caption file next to a medium: WebVTT before SubRip, the first that has cues.
+
+    ``files``: (path, content). A WebVTT file without cues gives way to SubRip with a warning; a stem without any file
+    that can be used has no row.
+    """
+    named = files.where(F.col("path").rlike(r"\.(vtt|srt)$")).select("path", "content")
+    n = scan_captions(named, "path", "content").groupBy("path").agg(F.count(F.lit(1)).alias("cues"))
+    j = named.select("path", F.regexp_extract("path", r"([^/]*)\.(vtt|srt)$", 1).alias("stem"), F.col("path").endswith(".srt").cast("int").alias("later")).join(n, "path", "left")
+    usable = F.when(F.col("cues") > 0, F.struct("later", "path", "cues"))
+    g = j.groupBy("stem").agg(F.min(usable).alias("best"), F.min(F.when(F.col("cues").isNull(), F.col("later"))).alias("unusable"))
+    warning = F.when(F.col("unusable") < F.col("best.later"), "the WebVTT file has no cues, SubRip was used")
+    return g.where("best is not null").select("stem", F.col("best.path").alias("path"), F.col("best.cues").alias("cues"), warning.alias("warning"))
+
+
+def content_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content_id, size): files by the digest of their bytes. A file that isn't as long as it was when it was listed
+    changed while it was read: it has no id. Empty files aren't listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    same = F.octet_length("content") == F.col("length")
+    return files.select("path", F.when(same, F.concat(F.lit("local-"), F.sha2("content", 256))).alias("content_id"), F.col("length").alias("size"))
 
 
 def platform_of(url: Column) -> Column:
@@ -98,9 +120,11 @@ READING = "engine string, frames array<struct<path: string, error: string, obser
 READING = READING.replace("observations array", "observations: array").replace("frames array", "frames array")
 
 
-def readings(responses: DataFrame, key: str, json: str, engine: str) -> DataFrame:
-    """Observations of a recogniser's JSON; responses of another engine, and unreadable ones, give none."""
-    r = responses.select(key, F.from_json(json, READING).alias("r")).where(F.col("r.engine") == engine)
+def readings(responses: DataFrame, key: str, json: str, engine: str, expected: str | None = None) -> DataFrame:
+    """Observations of a recogniser's JSON; responses of another engine, unreadable ones, and ones with another number of
+    frames than the column ``expected`` says, give none."""
+    count = F.col(expected) if expected else F.lit(None).cast("int")
+    r = responses.select(key, count.alias("n"), F.from_json(json, READING).alias("r")).where((F.col("r.engine") == engine) & F.coalesce(F.size("r.frames") == F.col("n"), F.lit(expected is None)))
     f = r.select(key, F.posexplode("r.frames").alias("frame", "f")).select(key, "frame", F.explode("f.observations").alias("o"))
     b = F.col("o.boundingBox")
     finite = ~F.isnan("o.confidence") & F.col("o.confidence").isNotNull() & b.getField("x").isNotNull() & b.getField("y").isNotNull()

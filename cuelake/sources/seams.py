@@ -6,12 +6,14 @@ with bounded retries and errors as data.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Seconds to wait before each retry of an error that the platform calls transient.
 BACKOFF = (0.5, 1.5, 3.0)
@@ -44,6 +46,12 @@ class Authentication:
         if self.browser and self.cookie_file:
             raise ValueError("choose cookies of a browser or of a file, not both")
 
+    def scope(self) -> str | None:
+        """What a cache key says of it: anonymous, a file's digest, or nothing for a browser's, which can't be in a key."""
+        if self.browser:
+            return None
+        return f"cookie-file:{hashlib.sha256(self.cookie_file.encode()).hexdigest()}" if self.cookie_file else "anonymous"
+
 
 def largest_finished(files: dict[str, int]) -> str | None:
     """The largest file that isn't a part of a download; of equal ones the first by name."""
@@ -51,6 +59,23 @@ def largest_finished(files: dict[str, int]) -> str | None:
     return min(done, key=lambda p: (-done[p], p)) if done else None
 
 
+def finished_files(files: DataFrame) -> DataFrame:
+    """(media, path, size): each medium's largest file (media, path, size) that isn't a part of a download, ties by name."""
+    done = files.where(~F.col("path").rlike(r"\.(part|ytdl|tmp)$"))
+    return done.groupBy("media").agg(F.min(F.struct((-F.col("size")).alias("n"), "path")).alias("b")).select("media", "b.path", (-F.col("b.n")).alias("size"))
+
+
+def queued(inputs: DataFrame, column: str, call: Callable[[str], str], at_once: int, order: str = "ordinal", delays: tuple[float, ...] = BACKOFF) -> DataFrame:
+    """(order, column, result, error): every distinct input once, under its first place; at most ``at_once`` run at a time.
+
+    Blank inputs are errors of their own. The caller sorts by ``order`` if it collects.
+    """
+    first = inputs.withColumn(column, F.trim(F.coalesce(column, F.lit("")))).groupBy(column).agg(F.min(order).alias(order))
+    blank = first.where(F.col(column) == "").select(order, column, F.lit(None).cast("string").alias("result"), F.lit("an empty input").alias("error"))
+    ran = apply_isolated(first.where(F.col(column) != "").select(order, column).repartition(at_once, column), column, call, delays)
+    return ran.unionByName(blank)
+
+
 def apply_isolated(inputs: DataFrame, column: str, call: Callable[[str], str], delays: tuple[float, ...] = BACKOFF) -> DataFrame:
     """``inputs`` with ``result`` and ``error``: one failing row never fails the others; order columns are kept."""
 

@@ -1,4 +1,7 @@
+import dataclasses
+import json
 import random
+import socket
 import time
 import types
 
@@ -9,12 +12,12 @@ from cuelake.functions import language as lang
 from cuelake.functions import text as tx
 from cuelake.functions import times as tm
 from cuelake.functions import udfs
-from cuelake.operators import chunks, cues, folds, joins, sequences
-from cuelake.plans import hybrid, planning
+from cuelake.operators import chunks, cues, folds, intervals, joins, sequences
+from cuelake.plans import cache, hybrid, planning
 from cuelake.plans.incremental import EphemeralStore, Store, open_store, run_incrementally
 from cuelake.sinks import render
 from cuelake.sinks.bundles import Bundles, BundleWriter
-from cuelake.sources import captions, seams
+from cuelake.sources import captions, logs, seams
 from cuelake.streaming import frames as stream
 
 
@@ -120,9 +123,11 @@ def test_overlaps_match_brute_force(spark):
 
 
 def test_chunk_windows(spark):
-    m = spark.createDataFrame([(1, 7000), (2, 3000), (3, 0), (4, None)], "media bigint, duration_ms bigint")
+    m = spark.createDataFrame([(1, 7000), (2, 3000), (3, 0), (4, None), (5, 9 * 10**15)], "media bigint, duration_ms bigint")
     got = [tuple(r) for r in chunks.chunk_windows(m, 3000, 1000).orderBy("media", "chunk").collect()]
-    assert got == [(1, 0, 0, 3000), (1, 1, 2000, 5000), (1, 2, 4000, 7000), (2, 0, 0, 3000)]
+    assert got == [(1, 0, 0, 3000, None), (1, 1, 2000, 5000, None), (1, 2, 4000, 7000, None), (2, 0, 0, 3000, None), (5, None, None, None, "too many windows")]
+    grid = stream.frame_grid(m.where("media > 1"), 1000).orderBy("media", "ordinal").collect()
+    assert [(r.media, r.ordinal, r.at_ms, r.error) for r in grid] == [(2, 0, 0, None), (2, 1, 1000, None), (2, 2, 2000, None), (5, None, None, "too many frames")]
 
 
 def test_hybrid_keeps_speech_of_other_words(spark):
@@ -276,7 +281,7 @@ def test_storage_trouble_stops_no_work(spark, tmp_path):
 
 
 def test_progress_is_reported(spark, tmp_path):
-    seen = stream.progress_log(spark)
+    seen, stop = stream.progress_log(spark)
     spark.createDataFrame([(1, i, i * 0.5, "a", 0.9, False) for i in range(3)], stream.FRAME).write.parquet(f"{tmp_path}/in")
     stream.run_available(stream.read_frames(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
@@ -284,7 +289,7 @@ def test_progress_is_reported(spark, tmp_path):
         if sum(n for _, n in seen) >= 3:
             break
         time.sleep(0.1)
-    assert sum(n for _, n in seen) >= 3
+    assert sum(n for _, n in stop(seen)) >= 3
 
 
 def test_entities_are_decoded_once(spark):
@@ -371,3 +376,99 @@ def test_frame_folds_dont_depend_on_cuts(spark):
             want.append((k, shown.start, shown.ends(500), shown.text))
     got = sorted((x.source_key, x.start_ms, x.end_ms, x.text) for x in folds.fold_frames(df, block_ms=5000).collect())
     assert got == sorted(want)
+
+
+def test_parts_have_one_head_and_one_tail(spark):
+    heads = spark.createDataFrame([(1, "T", "id", "u", "w", "p", "a", 9, "en", "ocr", ["careful"])], "transcript_id long, title string, source_id string, url string, webpage_url string, platform string, author string, seconds long, language string, method string, warnings array<string>")
+    c = spark.createDataFrame([(i, 1, i, i * 1000, i * 1000 + 500, f"t{i}", None) for i in range(7)], CUE)
+    numbered = render.numbered(c, 3)
+    docs = [r.document for r in render.markdown(heads, numbered, False).orderBy("part").collect()]
+    assert [d.startswith("# T\n") for d in docs] == [True, False, False]
+    assert [d.count("careful") for d in docs] == [0, 0, 1]
+    assert [r.document.count("WEBVTT") for r in render.webvtt(numbered).orderBy("part").collect()] == [1, 0, 0]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 1000])
+def test_jpeg_streams_are_split_wherever_chunks_end(cut):
+    images = [b"\xff\xd8" + bytes([i]) * i + b"\xff\x00" + b"\xff\xd9" for i in range(5)]
+    whole = b"junk\xff" + b"--".join(images) + b"\xff"
+    parts = [whole[i : i + cut] for i in range(0, len(whole), cut)]
+    assert list(stream.split_jpegs(parts)) == images
+    with pytest.raises(ValueError, match="inside an image"):
+        list(stream.split_jpegs([whole, b"\xff\xd8 unfinished"]))
+    with pytest.raises(ValueError, match="without an end"):
+        list(stream.split_jpegs([b"\xff\xd8", b"x" * 100, b"x" * 100], most=50))
+
+
+def test_a_second_run_is_refused_and_a_dead_one_replaced(tmp_path):
+    with stream.single_flight(str(tmp_path)), pytest.raises(stream.Busy), stream.single_flight(str(tmp_path)):
+        pass
+    (tmp_path / ".lock").write_text(f"{socket.gethostname()} 999999999")
+    with stream.single_flight(str(tmp_path)):
+        assert (tmp_path / ".lock").exists()
+    assert not (tmp_path / ".lock").exists()
+
+
+def test_decoder_lines(spark):
+    lines = [
+        "[Parsed_ashowinfo_0 @ 0x1] n:0 pts_time:0 rate:48000 nb_samples:1024", "[ashowinfo @ 0x1] n:1 pts_time:0.0213 rate:48000 nb_samples:1024", "noise pts_time:1", "[silencedetect @ 0x2] silence_start: 0.5",
+        "[silencedetect @ 0x2] silence_end: 2.5 | silence_duration: 2", "[silencedetect @ 0x2] silence_start: soon", "[Parsed_silencedetect_1 @ 0x2] silence_start: 5 silence_end: 6",
+    ]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "media long, place int, line string")
+    assert [(r.s, r.length_ms) for r in logs.frame_lines(df).orderBy("place").collect()] == [(0, 21333), (21300, 21333)]
+    assert [(r.kind, r.at_ms) for r in logs.silence_lines(df).orderBy("place").collect()] == [("start", 500), ("end", 2500), ("bad", None), ("start", 5000), ("end", 6000)]
+    runs = folds.decoded_runs(logs.frame_lines(df), per_ms=logs.PER_MS).collect()
+    assert [(r.run_start, r.run_end) for r in runs] == [(0, 43)]
+
+
+def test_sample_lengths_dont_drift(spark):
+    """A thousand frames of 1024 samples at 44100 a second, with times rounded to milliseconds, are one run."""
+    lines = [(1, i, f"[ashowinfo @ 0x1] n:{i} pts_time:{round(i * 1024 / 44100, 3)} rate:44100 nb_samples:1024") for i in range(1000)]
+    runs = folds.decoded_runs(logs.frame_lines(spark.createDataFrame(lines, "media long, place int, line string")), per_ms=logs.PER_MS).collect()
+    assert [(r.run_start, r.run_end) for r in runs] == [(0, round(1000 * 1024 / 44.1))]
+
+
+def test_kept_transcripts_are_typed_strictly(spark):
+    good = {"schema": 1, "pipeline_revision": "r1", "part": 0, "parts": 1, "transcript": {"metadata": {"url": "u", "platform": "p", "source_id": "s", "duration_seconds": 1.5}, "language": "en", "method": "rapidocr", "segments": [{"start_seconds": 0, "end_seconds": 1.5, "text": "x", "confidence": None}], "warnings": [], "verification_pending": False}}
+
+    def spoilt(*path, value):
+        d = json.loads(json.dumps(good))
+        at = d
+        for p in path[:-1]:
+            at = at[p]
+        at[path[-1]] = value
+        return json.dumps(d)
+
+    rows = [
+        (json.dumps(good), True), (spoilt("transcript", "segments", value=[]), True), (json.dumps(good)[:-5], False), ("", False), (None, False), ("[1]", False), (spoilt("schema", value=2), False), (spoilt("schema", value="1"), False),
+        (spoilt("transcript", "warnings", value="none"), False), (spoilt("transcript", "segments", value={}), False), (spoilt("transcript", "segments", 0, value="x"), False), (spoilt("transcript", "metadata", "source_id", value=5), False),
+        (spoilt("transcript", "metadata", "duration_seconds", value="1.5"), False), (spoilt("transcript", "verification_pending", value=True), False), (spoilt("transcript", "verification_pending", value="no"), False),
+        (spoilt("transcript", "segments", 0, "end_seconds", value=-1), False), (spoilt("transcript", "segments", 0, "text", value=" "), False), (spoilt("transcript", "method", value="guess"), False),
+    ]
+    df = spark.createDataFrame([(f"k{i}", p) for i, (p, _) in enumerate(rows)], "key string, payload string")
+    got = {r.key for r in cache.decode(df).collect()}
+    assert got == {f"k{i}" for i, (_, ok) in enumerate(rows) if ok}
+
+
+def test_keys_depend_on_every_option(spark):
+    s = spark.createDataFrame([("p", "s", " u ", "w", 1.5, "video")], "platform string, source_id string, url string, webpage_url string, duration_seconds double, media_type string")
+    o = cache.Options()
+    others = [dataclasses.replace(o, **{f: v}) for f, v in {"mode": "ocr", "language": "de", "caption_languages": ("de",), "whisper_model": "base", "ocr_profile": "fast", "ocr_region": (0.0, 0.0, 1.0, 0.5), "auth_scope": "cookie-file:x"}.items()]
+    keys = s.select(*[cache.transcript_key(x).alias(str(i)) for i, x in enumerate([o, *others])]).first()
+    assert len(set(keys)) == 8
+    assert s.withColumn("url", F.lit("u")).select(cache.transcript_key(o)).first()[0] == keys[0]
+
+
+def test_undecodable_bytes_are_replaced(spark, tmp_path):
+    (tmp_path / "a.vtt").write_bytes(b"\xef\xbb\xbfWEBVTT\n\n00:01.000 --> 00:02.000\nab\xffc\n")
+    got = captions.read_captions(spark, str(tmp_path)).collect()
+    assert [(r.s, r.e, r.text) for r in got] == [(1000, 2000, "ab\ufffdc")]
+
+
+def test_outsized_durations_and_reports_end(spark):
+    bounds = spark.createDataFrame([(1, 9 * 10**15, 60_000.0)], "key long, limit_ms long, threshold_ms double")
+    union = intervals.interval_union(spark.createDataFrame([(1, 0, 5000)], "key long, s long, e long"), "key", "s", "e")
+    found = intervals.gaps(union, bounds)
+    covers = spark.createDataFrame([(1, 0, 8 * 10**15), (1, 10**6, 10**6 + 10)], "key long, s long, e long")
+    got = intervals.coverage_of(found, covers).first()
+    assert (got.gap_start_ms, got.gap_end_ms, got.covered_ms) == (5000, 9 * 10**15, 8 * 10**15 - 5000)
