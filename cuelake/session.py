@@ -44,6 +44,16 @@ def release() -> None:
             df.unpersist()
 
 
+#: Tasks for each core of the cluster in stages that compute much on little data.
+TASKS_A_CORE = 3
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over more tasks, by ``key``, if its files are too few to keep all cores busy; else as it is, and no row moves."""
+    least = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least, key) if df.rdd.getNumPartitions() < least else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Only a session without a cluster may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
