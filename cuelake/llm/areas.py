@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import is_blank
 from cuelake.llm import glyphs
+from cuelake.session import spread
 from cuelake.sources.tables import table
 
 #: Hash buckets and width of the embeddings.
@@ -202,7 +203,7 @@ def fit(sample: DataFrame, areas: list[str]) -> Model:
 
 
 def area_shares(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, area, share, confidence): each area's share of a document's sentences, where above 0; narrow.
+    """(doc_id, area, share, confidence): each area's share of a document's sentences, where above 0; rows are moved only if there are too few input splits for all cores.
 
     Null, empty and blank texts, and texts without sentences, have no row. ``confidence`` is the mean probability over the
     sentences counted. The model has a fixed size.
@@ -231,7 +232,7 @@ def area_shares(documents: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "area", "share", "confidence"],
                 )
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, area string, share double, confidence double")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null"), "doc_id").mapInArrow(run, "doc_id bigint, area string, share double, confidence double")
 
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:

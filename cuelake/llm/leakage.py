@@ -14,8 +14,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import glyphs
 from cuelake.llm.events import slips
+from cuelake.session import spread
 from cuelake.sources.tables import table
 
 #: Tokens of a seed, and of the shortest tile.
@@ -122,20 +124,21 @@ def karp_rabin(a: list[int], b: list[int], free_a: bytearray, free_b: bytearray,
     return found
 
 
-def tiles(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
+def tiles(a: list[int], b: list[int], least: int = TILE, longest: int = 16) -> list[tuple[int, int, int]]:
     """Greedy string tiling: non-overlapping common runs (place in a, place in b, length), longest first.
 
     The length searched for halves from round to round and jumps up where a run turns out much longer. Of equal runs the
-    first in ``a``, then in ``b``, is marked. Memory is linear in the texts and the runs of one round.
+    first in ``a``, then in ``b``, is marked. Memory is linear in the texts and the runs of one round. ``longest``: the
+    length that is searched for first.
     """
     free_a, free_b = bytearray(b"\x01") * len(a), bytearray(b"\x01") * len(b)
     out: list[tuple[int, int, int]] = []
-    s = max(least, min(16, len(a), len(b)))
+    s = max(least, min(longest, len(a), len(b)))
     while True:
         found = karp_rabin(a, b, free_a, free_b, s)
-        longest = max((n for _, _, n in found), default=0)
-        if longest > 2 * s:
-            s = longest
+        most = max((n for _, _, n in found), default=0)
+        if most > 2 * s:
+            s = most
             found = [f for f in found if f[2] >= s]
         again = False
         for p, q, n in sorted(found, key=lambda f: (-f[2], f[0], f[1])):
@@ -144,7 +147,7 @@ def tiles(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
                 out.append((p, q, n))
             else:
                 again = True  # what is left of this run may still be long enough
-        if again and longest > s:
+        if again and most > s:
             continue
         if s == least:
             if not again:
@@ -185,16 +188,33 @@ def same_word(w: str, d: str) -> bool:
     return w == d or (len(w) > 3 and (w[0] == d[0] or w[-1] == d[-1]) and not w[0].isdigit() and abs(len(w) - len(d)) < 3 and slips(w, d) < 3)
 
 
+def by_ends(words: Iterable[str]) -> dict[tuple[int, str], list[str]]:
+    """Words by their first and by their last character: a slip leaves one of them."""
+    out: dict[tuple[int, str], list[str]] = {}
+    for d in words:
+        if len(d) > 1:
+            out.setdefault((0, d[0]), []).append(d)
+            out.setdefault((1, d[-1]), []).append(d)
+    return out
+
+
+def like(w: str, ended: dict[tuple[int, str], list[str]]) -> set[str]:
+    """The words that are ``w`` but for slips."""
+    n = len(w)
+    return {d for k in ((0, w[0]), (1, w[-1])) for d in ended.get(k, ()) if -3 < n - len(d) < 3 and same_word(w, d)}
+
+
 def aligned(words: list[str], others: list[str]) -> list[int]:
     """Places of ``words`` in the longest common subsequence with ``others``, slips aside."""
     where: dict[str, list[int]] = {}
     for j, d in enumerate(others):
         where.setdefault(d, []).append(j)
+    ended = by_ends(where)
     ends: list[int] = []  # of chains of each length, the least end in others
     chains: list[tuple[int, tuple | None]] = []
     for k, w in enumerate(words):
         if len(w) > 3:
-            met = sorted((j for d, js in where.items() if same_word(w, d) for j in js), reverse=True)
+            met = sorted((j for d in like(w, ended) | {w} for j in where.get(d, ())), reverse=True)
         else:
             met = where.get(w, [])[::-1]
         for j in met:
@@ -313,11 +333,11 @@ def dense(held: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(items: Items, n: int, words: list[str], codes: list[int]) -> tuple[float, float, float, float]:
+def judge(items: Items, n: int, words: list[str], codes: list[int], longest: int = 16) -> tuple[float, float, float, float]:
     """(covered, covered_own, ordered, own) of item ``n`` in a passage: the share of the item in tiles of any order, the
     share held in the item's order with words between tiles aligned, and the share of its own words within either."""
     item, texts, size = items.codes[n], items.texts[n], items.size[n]
-    found = tiles(item, codes, min(TILE, len(item)))
+    found = tiles(item, codes, min(TILE, len(item)), longest)
     tiled, held = np.zeros(len(item), bool), np.zeros(len(item), bool)
     for p, _, l in found:
         tiled[p : p + l] = True
@@ -368,11 +388,6 @@ def is_case(held: float, own_held: float, covered: float = COVERED, own: float =
     return held >= covered and own_held >= own and held * own_held >= EVIDENCE * (covered / COVERED) * (own / OWN)
 
 
-def _slipped(w: str, others: dict[int, list[str]]) -> bool:
-    """A slip of ``w`` is among words by length."""
-    return any(same_word(w, d) for n in range(len(w) - 2, len(w) + 3) for d in others.get(n, ()))
-
-
 def leaks(items: Items, text: str | None, pruned: bool = True) -> list[tuple[int, float, float, float, float]]:
     """(item number, covered, covered_own, ordered, own) of the items that a document may hold: of each item its best passage.
 
@@ -382,7 +397,7 @@ def leaks(items: Items, text: str | None, pruned: bool = True) -> list[tuple[int
         return []
     words = tokens(text)
     get = items.token.get
-    codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    codes = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
     present = np.unique(codes[codes >= 0])
     if not len(present):
         return []
@@ -413,7 +428,9 @@ def leaks(items: Items, text: str | None, pruned: bool = True) -> list[tuple[int
             part = codes[lo:hi].tolist()
             if pruned and not _owns_enough(items, n, words[lo:hi], part):
                 continue
-            r = judge(items, n, words[lo:hi], part)
+            # a common run is as many neighbouring seeds, and what the last one holds besides
+            along = np.diff(np.r_[-1, np.flatnonzero(np.diff(inside) != 1), len(inside) - 1]).max()
+            r = judge(items, n, words[lo:hi], part, int(along) + SEED - 1)
             best = max(best or r, r, key=lambda x: (x[3] >= OWN, x[2], x[0]))
         if best:
             out.append((n, *best))
@@ -431,10 +448,8 @@ def _owns_enough(items: Items, n: int, words: list[str], codes: list[int]) -> bo
     left = [texts[k] for k in own if item[k] not in there and len(texts[k]) > 3 and not texts[k][0].isdigit()]
     if count + len(left) < need:
         return False
-    others: dict[int, list[str]] = {}
-    for d in set(words):
-        others.setdefault(len(d), []).append(d)
-    return count + sum(_slipped(w, others) for w in left) >= need
+    ended = by_ends(set(words))
+    return count + sum(bool(like(w, ended)) for w in left) >= need
 
 
 def blocks_of_items(items: DataFrame, most: int = MOST_ITEM_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -454,8 +469,8 @@ def leaked_items(documents: DataFrame, items: list[tuple[int, str]], covered: fl
     """(doc_id, item_id, covered, covered_own, ordered, own): documents that hold at least the given shares of an item,
     and of the two together what EVIDENCE asks for.
 
-    ``ordered``: the share must be held in the item's order, else tiles of any order count. Narrow: each document is read
-    once, whole, and no row is moved; every copy is judged. Null, empty and blank texts hold nothing. ``items`` travel with
+    ``ordered``: the share must be held in the item's order, else tiles of any order count. Each document is read
+    once, whole, and moved only if there are too few input splits for all cores; every copy is judged. Null, empty and blank texts hold nothing. ``items`` travel with
     the task, so a caller with very many passes them in blocks (``blocks_of_items``); more than MOST_ITEM_CHARS characters
     in several items at once are an error.
     """
@@ -471,7 +486,7 @@ def leaked_items(documents: DataFrame, items: list[tuple[int, str]], covered: fl
             kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "covered", "covered_own", "ordered", "own"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, covered double, covered_own double, ordered double, own double")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, item_id bigint, covered double, covered_own double, ordered double, own double")
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:

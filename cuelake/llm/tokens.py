@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from cuelake.session import spread
 from cuelake.sources.tables import table
 
 #: Where the vocabulary files lie on every machine; a parameter of the operator.
@@ -150,7 +151,7 @@ def encoder(rank_file: str) -> Encoder:
 
 
 def token_ids(documents: DataFrame, vocabulary: str = "byte_bpe_50k", directory: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, ids): one row per input row; narrow, no row is moved.
+    """(doc_id, ids): one row per input row; rows are moved only if there are too few input splits for all cores.
 
     Null and empty texts have an empty list; strings of special tokens are ordinary text. Long texts are encoded whole.
     """
@@ -165,7 +166,7 @@ def token_ids(documents: DataFrame, vocabulary: str = "byte_bpe_50k", directory:
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
