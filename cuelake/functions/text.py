@@ -62,9 +62,15 @@ def one_line_error(text: Column, kind: str = "Error") -> Column:
     return F.coalesce(F.nullif(collapse_ws(text), F.lit("")), F.lit(kind))
 
 
-def normal_url(url: Column) -> Column:
-    """Trimmed where it is a URL of a known scheme, else as it is."""
-    return F.when(url.rlike(r"^\s*(?i:https?|file):"), F.trim(url)).otherwise(url)
+def normal_url(url: Column, is_file: Column | None = None) -> Column:
+    """Trimmed where it is a URL of a known scheme and not the name of a file that exists (``is_file``), else as it is."""
+    named = F.coalesce(is_file, F.lit(False)) if is_file is not None else F.lit(False)
+    return F.when(url.rlike(r"^\s*(?i:https?|file):") & ~named, F.trim(url)).otherwise(url)
+
+
+def required_input(value: Column) -> Column:
+    """The value; a blank one fails the query, as a list of inputs with a hole in it is a mistake of the caller."""
+    return F.when(is_blank(value), F.raise_error(F.lit("inputs must not be blank")).cast("string")).otherwise(value)
 
 
 #: Steps of a search by halves over any string's length.

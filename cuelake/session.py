@@ -66,6 +66,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def mounted(folder: str) -> Path:
+    """The path of a folder that is mounted on every machine; object stores and the like aren't."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or len(scheme) == 1:
+        return Path(folder)
+    if scheme != "file":
+        raise ValueError(f"{folder} isn't mounted as a file system")
+    return Path("/" + rest.lstrip("/"))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

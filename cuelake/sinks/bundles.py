@@ -14,6 +14,8 @@ from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from cuelake.session import mounted
+
 
 @dataclass
 class Staged(WriterCommitMessage):
@@ -28,7 +30,7 @@ class BundleWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Staged:
         staged: list[tuple[str, str]] = []
-        root = Path(self.folder).resolve()
+        root = mounted(self.folder).resolve()
         try:
             for row in iterator:
                 target = (root / row.path).resolve()

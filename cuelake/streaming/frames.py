@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from cuelake.operators.folds import BLANK_FRAMES, SEGMENT, Caption, continued, folded
+from cuelake.session import mounted
 
 #: Files of one micro-batch.
 BATCH_FILES = 32
@@ -177,7 +178,7 @@ def single_flight(folder: str) -> Iterator[None]:
 
     The lock holds its owner's process; a lock whose process is gone on this host is taken over.
     """
-    lock = Path(folder) / ".lock"
+    lock = mounted(folder) / ".lock"
     lock.parent.mkdir(parents=True, exist_ok=True)
     mine = f"{socket.gethostname()} {os.getpid()}"
     for again in (True, False):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import language as lang
 from cuelake.functions import text as tx
 from cuelake.functions import times as tm
+from cuelake import session
 from cuelake.functions import udfs
 from cuelake.operators import chunks, cues, folds, intervals, joins, sequences
 from cuelake.plans import cache, hybrid, planning
@@ -472,3 +473,18 @@ def test_outsized_durations_and_reports_end(spark):
     covers = spark.createDataFrame([(1, 0, 8 * 10**15), (1, 10**6, 10**6 + 10)], "key long, s long, e long")
     got = intervals.coverage_of(found, covers).first()
     assert (got.gap_start_ms, got.gap_end_ms, got.covered_ms) == (5000, 9 * 10**15, 8 * 10**15 - 5000)
+
+
+def test_inputs_are_trimmed_unless_files_and_never_blank(spark):
+    assert one(spark, tx.normal_url(F.col("u"), F.col("f")), u=" https://x ", f=False) == "https://x"
+    assert one(spark, tx.normal_url(F.col("u"), F.col("f")), u=" https://x ", f=True) == " https://x "
+    assert one(spark, tx.required_input(F.col("u")), u="x") == "x"
+    with pytest.raises(Exception, match="must not be blank"):
+        one(spark, tx.required_input(F.col("u")), u=" \u3000")
+
+
+def test_shared_folders(spark):
+    assert str(session.mounted("/a/b")) == str(session.mounted("file:///a/b")) == str(session.mounted("file:/a/b")) == "/a/b"
+    with pytest.raises(ValueError, match="mounted"):
+        session.mounted("s3a://bucket/a")
+    assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
