@@ -1,11 +1,13 @@
 """Repetition inside a transcript: compression bands, then an exact share.
 
-The texts of a transcript, in order, are compressed with zstandard: whole, and in fixed chunks. A ratio too low for any
-text with a third of repeats marks it as incompressible; how much text without repeats compresses depends on its wording,
-so no higher limit is safe. All others are checked exactly: sentences said before, wherever cues are cut and slips of
-characters aside, and phrases repeated back to back. A long
-transcript is cut into blocks of its order; blocks are compressed and checked in their own tasks, and what a block can't
-decide alone, whether a sentence was said in an earlier block, is decided by an aggregate and a join over sentence keys.
+The texts of a transcript, in order, are compressed with zstandard: whole, and in fixed chunks. How much text without
+repeats compresses depends on its wording, and repeats in other letters or with slips hardly compress, so no ratio is a safe
+reason to leave a text out. All are checked exactly: sentences said before, wherever cues are cut and slips of characters
+aside, and phrases repeated back to back. The ratios choose the way: in a plain text most sentences share no part with any
+other, so these are found first, all at once, and spared the history; in a repetitive one that would be in vain. Both ways
+give the same counts. A long transcript is cut into blocks of its order; blocks are compressed and checked in their own
+tasks, and what a block can't decide alone, whether a sentence was said in an earlier block, is decided by an aggregate and
+a join over sentence keys.
 """
 
 from __future__ import annotations
@@ -33,10 +35,10 @@ from cuelake.sources.tables import table
 #: Order values that one block spans, and bytes of a compression chunk.
 BLOCK, CHUNK = 4096, 4096
 LEVEL = 3
-#: Below this ratio a text of 2,000 bytes or more is incompressible: entropy coding alone takes any text in UTF-8 above it.
-INCOMPRESSIBLE = 1.15
-#: Bands that are checked exactly.
-CHECKED = ("repetitive", "long")
+#: From this ratio a text is repetitive: there, seeking company takes as long as it saves. No count depends on it.
+REPETITIVE = 4.5
+#: Bands; all are checked exactly.
+CHECKED = ("plain", "repetitive", "long")
 #: Share of the characters from which a transcript is reported.
 SHARE = 1 / 3
 #: Least size of a sentence: words, or characters in scripts without word spaces; longest phrase of a loop.
@@ -49,9 +51,9 @@ _LETTERS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 _THAI = regex.compile(r"\p{Thai}")
 
 
-def band(size: int, ratio: float, densest: float) -> str:
-    """'incompressible', or 'repetitive' where the ratios leave room for repeats, which the exact check then decides."""
-    return "incompressible" if size >= 2000 and max(ratio, densest) < INCOMPRESSIBLE else "repetitive"
+def band(ratio: float, densest: float) -> str:
+    """'plain' or 'repetitive': the way of the exact check that is likely to be the shorter one."""
+    return "plain" if max(ratio, densest) < REPETITIVE else "repetitive"
 
 
 def ratios(raw: bytes) -> tuple[float, float]:
@@ -191,12 +193,44 @@ def alike(a: tuple[str, ...], b: tuple[str, ...], chars: bool, backward: bool =
     return True
 
 
-def loops(tokens: list[str], period: int = PERIOD) -> np.ndarray:
-    """Which tokens repeat the phrase right before them: beyond the first of two or more copies (three for one word)."""
+def in_company(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which stretches of numbered words share a key of ``kept_under`` or ``sought_under`` with another one.
+
+    One without company is met by no other in a ``History``. Numbers stand for the keys; should two be equal by chance, a
+    stretch has company in vain.
+    """
+    size = len(code)
+    step = np.full(size + 1, _STEP, np.uint64)
+    step[0] = 1
+    step = np.multiply.accumulate(step)
+    words = code.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(_STEP)
+    words = (words ^ words >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    summed = np.zeros(size + 1, np.uint64)
+    np.cumsum(words * step[:size], out=summed[1:])
+    n = end - begin
+    i, j = begin + n // 3, begin + 2 * n // 3
+    parts = [(2, 0, begin, i), (3, 0, i, j), (4, 0, j, end)]
+    parts += [k for m in (0, -1, 1) for k in ((0, m, begin, begin + (n + m) // 2), (1, m, end - (n + m) // 2, end))]
+    first, last = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    kind = np.concatenate([(n + m) * 8 + k for k, m, _, _ in parts]).astype(np.uint64)
+    keys = (summed[last] - summed[first]) * step[size - first] + kind * np.uint64(0x94D049BB133111EB)
+    order = np.argsort(keys)
+    same = np.flatnonzero(np.diff(keys[order]) == 0)
+    met = np.zeros(len(keys), bool)
+    met[order[same]] = met[order[same + 1]] = True
+    return met.reshape(len(parts), -1).any(0)
+
+
+def numbered(tokens: list[str]) -> np.ndarray:
+    """Equal tokens as equal numbers."""
     number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
-    code = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    marked = np.zeros(len(tokens), bool)
-    for p in range(1, min(period, len(tokens) // 2) + 1):
+    return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+
+
+def loops(code: np.ndarray, period: int = PERIOD) -> np.ndarray:
+    """Which tokens repeat the phrase right before them: beyond the first of two or more copies (three for one word)."""
+    marked = np.zeros(len(code), bool)
+    for p in range(1, min(period, len(code) // 2) + 1):
         same = code[p:] == code[:-p]
         if same.tobytes().find(b"\x01" * max(p, 2)) < 0:
             continue
@@ -215,30 +249,94 @@ def _printed(texts: list[str]) -> str:
     return glyphs.HYPHENS.sub("-", _EMPTY.sub(_CUE, " ".join(shown.split()))).strip(f" {_CUE}")
 
 
-def share(texts: list[str]) -> tuple[int, int, list[tuple[int, tuple]]]:
-    """(characters, repeated characters, undecided): undecided are (characters, exact words) of sentences new to this block."""
-    shown = _printed(texts).casefold()
-    if glyphs._FOREIGN.search(shown):
-        shown = shown.translate(glyphs.TO_LATIN)
-    unspaced_text = bool(_UNSPACED.search(shown))
-    sentences = units(shown, unspaced_text)
-    flat = [t for s, _ in sentences for t in s]
+#: Tokens of plain texts whose company is sought at once.
+TOGETHER = 1 << 15
+
+
+class Said:
+    """A text cut into sentences, its tokens in a row and as numbers."""
+
+    def __init__(self, texts: list[str], kind: str) -> None:
+        shown = _printed(texts).casefold()
+        if glyphs._FOREIGN.search(shown):
+            shown = shown.translate(glyphs.TO_LATIN)
+        self.unspaced = bool(_UNSPACED.search(shown))
+        self.sentences = units(shown, self.unspaced)
+        self.flat = [t for s, _ in self.sentences for t in s]
+        self.code = numbered(self.flat)
+        #: Places of sentences, and of cues in them, that have company; None: not sought. Sentences of characters meet by other keys.
+        self.company: set[tuple[int, int]] | None = set() if kind == "plain" and not self.unspaced else None
+
+
+def share(texts: list[str], kind: str = "repetitive") -> tuple[int, int, list[tuple[int, tuple]]]:
+    """(characters, repeated characters, undecided): undecided are (characters, exact words) of sentences new to this block.
+
+    ``kind``: in a 'plain' text, sentences without company are neither sought in the history nor kept there.
+    """
+    return next(shares([(texts, kind)]))
+
+
+def shares(several: Iterable[tuple[list[str], str]]) -> Iterator[tuple[int, int, list[tuple[int, tuple]]]]:
+    """``share`` of each of several (texts, kind)."""
+    group: list[Said] = []
+    size = 0
+    for texts, kind in several:
+        group.append(Said(texts, kind))
+        size += len(group[-1].flat)
+        if size >= TOGETHER:
+            _meet(group)
+            yield from map(_count, group)
+            group, size = [], 0
+    _meet(group)
+    yield from map(_count, group)
+
+
+def _meet(group: list[Said]) -> None:
+    """Sets the company of the plain texts of a group; words of different texts are different."""
+    at, words, codes, owner, begin, end = 0, 0, [], [], [], []
+    plain = [x for x in group if x.flat and x.company is not None]
+    for x in plain:
+        first, place = len(begin), at
+        for s, cuts in x.sentences:
+            begin.append(place)
+            if cuts:
+                begin += [place, *(place + c for c in cuts)]
+                end += [place + len(s), *(place + c for c in cuts)]
+            place += len(s)
+            end.append(place)
+        owner += [(x, at)] * (len(begin) - first)
+        codes.append(x.code + words)
+        at, words = place, words + int(x.code.max()) + 1
+    if plain:
+        for k in np.flatnonzero(in_company(np.concatenate(codes), np.array(begin), np.array(end))).tolist():
+            x, at = owner[k]
+            x.company.add((begin[k] - at, end[k] - at))
+
+
+def _count(text: Said) -> tuple[int, int, list[tuple[int, tuple]]]:
+    flat, company = text.flat, text.company
     if not flat:
         return 0, 0, []
-    marked = loops(flat, 30 if unspaced_text else PERIOD)
+    marked = loops(text.code, 30 if text.unspaced else PERIOD)
     looped = np.r_[0, np.cumsum(marked)].tolist() if marked.any() else None
     history, at, total, repeated, undecided = History(), 0, 0, 0, []
-    for s, cuts in sentences:
+
+    def said(words: list[str], begin: int, remember: bool = True) -> bool:
+        if company is not None and (begin, begin + len(words)) not in company and not by_chars(words):
+            return False
+        return history.said(words, remember)
+
+    for s, cuts in text.sentences:
         n = sum(map(len, s))
         total += n
         begin, at = at, at + len(s)
         inside = looped[at] - looped[begin] if looped else 0
         in_loop = sum(len(t) for t, m in zip(s, marked[begin:at]) if m) if inside else 0
-        if inside > 0.3 * len(s) or not _long_enough(s, n, unspaced_text):
+        if inside > 0.3 * len(s) or not _long_enough(s, n, text.unspaced):
             repeated += in_loop
             continue
         unclosed = len(s) > UNCLOSED and len(cuts) > 1
-        if not unclosed and history.said(s):
+        if not unclosed and said(s, begin):
             repeated += n
             continue
         again = in_loop
@@ -247,8 +345,8 @@ def share(texts: list[str]) -> tuple[int, int, list[tuple[int, tuple]]]:
             bounds = [0, *cuts, len(s)]
             for i, j in zip(bounds, bounds[1:]):
                 size = sum(map(len, s[i:j]))
-                if _long_enough(s[i:j], size, unspaced_text):
-                    if history.said(s[i:j], remember=unclosed):
+                if _long_enough(s[i:j], size, text.unspaced):
+                    if said(s[i:j], begin + i, remember=unclosed):
                         again += size
                     elif unclosed:
                         undecided.append((size, tuple(s[i:j])))
@@ -498,14 +596,20 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of a transcript: its compression, and where that is repetitive, its exact counts."""
     for b in batches:
         out: list[tuple] = []
-        for tid, blk, texts, several in zip(*(b.column(i).to_pylist() for i in range(4))):
-            raw = "\n".join(texts).encode("utf-8", "replace")
-            whole, densest = ratios(raw)
-            # whether other blocks repeat this one isn't known here, so its band spares it nothing
-            kind = band(len(raw), whole, densest)
-            total, repeated, undecided = share(texts)
+        measured: list[tuple] = []
+
+        def banded() -> Iterator[tuple[list[str], str]]:
+            for tid, blk, texts, several in zip(*(b.column(i).to_pylist() for i in range(4))):
+                raw = "\n".join(texts).encode("utf-8", "replace")
+                whole, densest = ratios(raw)
+                kind = band(whole, densest)
+                measured.append((several, (tid, blk, len(raw), whole, densest, kind)))
+                yield texts, kind
+
+        for k, (total, repeated, undecided) in enumerate(shares(banded())):
+            several, row = measured[k]
             new = [{"n": n, "k": _digest(w), "w": _SEP.join(w)} for n, w in undecided] if several else []
-            out.append((tid, blk, len(raw), whole, densest, kind, total, repeated, new))
+            out.append((*row, total, repeated, new))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
 
 
@@ -548,9 +652,9 @@ def repetition(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     across = repeats.groupBy("transcript_id").agg(F.sum("n").alias("across"))
     total = seen.groupBy("transcript_id").agg(
         F.sum("bytes").alias("bytes"), (F.sum("bytes") / F.sum(F.col("bytes") / F.col("ratio"))).alias("ratio"), F.max("densest").alias("densest"),
-        F.max(F.col("band") == "repetitive").alias("any"), (F.count(F.lit(1)) > 1).alias("long"), F.min(F.col("band") == "incompressible").alias("none"), F.sum("chars").alias("chars"), F.sum("repeated").alias("repeated"),
+        F.max(F.col("band") == "repetitive").alias("any"), (F.count(F.lit(1)) > 1).alias("long"), F.sum("chars").alias("chars"), F.sum("repeated").alias("repeated"),
     )
-    kind = F.when(F.col("any"), "repetitive").when(F.col("long"), "long").when(F.col("none"), "incompressible").otherwise("plain").alias("band")
+    kind = F.when(F.col("any"), "repetitive").when(F.col("long"), "long").otherwise("plain").alias("band")
     joined = total.join(across, "transcript_id", "left").withColumn("repeated", F.col("repeated") + F.coalesce("across", F.lit(0)))
     return joined.select("transcript_id", "bytes", "ratio", "densest", kind, "chars", "repeated", (F.col("repeated") / F.greatest("chars", F.lit(1))).alias("share"))
 
@@ -558,4 +662,4 @@ def repetition(segments: DataFrame, block: int = BLOCK) -> DataFrame:
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     """Transcripts of which a third or more repeats what they said before."""
     segments = table(spark, directory, "segments").select("transcript_id", "ordinal", "segment_id", "text")
-    return repetition(segments).where(F.col("band").isin(*CHECKED) & (F.col("share") >= SHARE)).select("transcript_id")
+    return repetition(segments).where(F.col("share") >= SHARE).select("transcript_id")

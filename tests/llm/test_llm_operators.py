@@ -5,6 +5,7 @@ import datetime as dt
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,75 @@ def test_repeats_in_text_that_hardly_compresses_are_found(spark, letters, gap, e
     spark.catalog.clearCache()
 
 
+def test_repeats_in_other_letters_of_text_that_does_not_compress_are_found(spark, monkeypatch):
+    """Letters of several scripts, said again in the other case: no byte string of any length comes twice."""
+    r = random.Random(1)
+    cased = [c for c in map(chr, range(0x41, 0x2000)) if len(c.swapcase()) == 1 and c.swapcase() != c and c.swapcase().swapcase() == c and unicodedata.is_normalized("NFKC", c)]
+    plain = [c for c in map(chr, range(33, 127)) if c not in ".!?"]
+    talk = [" ".join("".join(r.choice(plain if r.random() < 0.7 else cased) for _ in range(r.randint(3, 8))) for _ in range(7)) for _ in range(120)]
+    swapped = ["".join(c.swapcase() if c.swapcase().swapcase() == c else c for c in t) for t in talk[:80]]
+    texts = [f"{t}." for t in talk + swapped]
+    assert max(repetition.ratios("\n".join(texts).encode())) < 1.15
+    frame = spark.createDataFrame([(i, 5, i, None, None, t, None, NOW) for i, t in enumerate(texts)], SEG)
+    monkeypatch.setattr(repetition, "table", lambda *_: frame)
+    assert [x.transcript_id for x in repetition.p1_found(spark, "").collect()] == [5]
+    spark.catalog.clearCache()
+
+
+def _talk(r, again):
+    """Cues of which some repeat, slip, gain or lose a word; sentences run over cues, or are never closed."""
+    names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    said, cues = [], []
+    for _ in range(60):
+        words = [r.choice(names) for _ in range(r.randint(1, 16))]
+        kind = r.random()
+        if said and kind < again:
+            words = list(r.choice(said))
+            for _ in range(r.randint(0, 2)):
+                k = r.randrange(len(words))
+                words[k] = words[k][:-1] + "q"
+            if r.random() < 0.3:
+                words.insert(r.randrange(len(words) + 1), "well")
+            if r.random() < 0.2:
+                words.pop(r.randrange(len(words)))
+        elif kind > 0.95:
+            words = [r.choice("abcdefgh") for _ in range(r.randint(11, 16))]
+        elif kind > 0.9:
+            words = words[:4] * 3
+        words = words or ["so"]
+        said.append(words)
+        cut = r.randrange(len(words) + 1) if r.random() < 0.3 else 0
+        cues += [" ".join(words[:cut]), " ".join(words[cut:]) + r.choice([".", ".", ".", "?", ""])]
+    end = r.choice([".", ".", ""])
+    return [c if end else c.rstrip(".?") for c in cues if c.strip(".?")]
+
+
+def test_both_ways_of_the_exact_check_count_the_same():
+    talks = [_talk(random.Random(i), again) for i in range(120) for again in (0.05, 0.5)] + [[], ["。"], ["今天 we go to the house again."] * 2]
+    straight = [repetition.share(t) for t in talks]
+    assert sum(x[1] > 0 for x in straight) > 200
+    assert list(repetition.shares((t, "plain") for t in talks)) == straight
+    assert list(repetition.shares((t, ("plain", "repetitive")[i % 2]) for i, t in enumerate(talks))) == straight
+
+
+def test_band_decides_what_is_sought_in_the_history(monkeypatch):
+    r = random.Random(2)
+    sought = []
+    said = repetition.History.said
+    monkeypatch.setattr(repetition.History, "said", lambda self, words, remember=True: sought.append(words) or said(self, words, remember))
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(6))
+    new = [" ".join(word() for _ in range(7)) + "." for _ in range(40)]
+    plain, repetitive = new + new[:3], new[:4] * 10
+    counted = {}
+    for texts in (plain, repetitive):
+        sought.clear()
+        columns = [[1], [0], [texts], [None]]
+        row = next(repetition._inspect(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["transcript_id", "blk", "texts", "several"])]))).to_pylist()[0]
+        counted[row["band"]] = (len(sought), row["repeated"])
+    size = lambda texts: sum(len(w.strip(".")) for t in texts for w in t.split())
+    assert counted == {"plain": (6, size(new[:3])), "repetitive": (40, size(new[:4]) * 9)}
+
+
 def test_languages_are_told_apart_without_any_labelled_row():
     model = languages.fit({})
     strange = {
