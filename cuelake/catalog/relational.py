@@ -158,6 +158,10 @@ MEDIA = """media AS (SELECT source_key AS media, max(CAST(round(duration_seconds
 WIN = f"""{MEDIA}, win AS (SELECT media, chunk, chunk * 25000 AS ws, least(duration_ms, chunk * 25000 + 30000) AS we FROM media, unnest(range(0, CAST(greatest(ceil((duration_ms - 30000) / 25000.0), 0) AS BIGINT) + 1)) AS t(chunk))"""
 
 
+#: Milliseconds of a window and of what two neighbours share.
+WINDOW = (30_000, 5_000)
+
+
 def _media(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "sources").where(tm.finite(c("duration_seconds")) & (c("duration_seconds") > 0) & c("source_key").isNotNull())
     return m.groupBy(c("source_key").alias("media")).agg(F.max(to_ms(c("duration_seconds"))).alias("duration_ms"))
@@ -165,7 +169,7 @@ def _media(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WN06", f"WITH {WIN} SELECT media, chunk, ws, we FROM win")
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.chunk_windows(_media(spark, d), 30_000, 5_000).where("error is null").drop("error")
+    return chunks.chunk_windows(_media(spark, d), *WINDOW).where("error is null").drop("error")
 
 
 CHUNKED = """ch AS (SELECT win.media, chunk, segment_id, ordinal, text, win.ws, win.we, greatest(cue.s - win.ws, 0) + chunk % 3 * 100 AS ls, cue.e - win.ws + chunk % 3 * 100 AS le
@@ -174,11 +178,10 @@ FROM cue JOIN tr USING (transcript_id) JOIN win ON win.media = tr.source_key AND
 
 def _chunked(spark: SparkSession, d: str) -> DataFrame:
     """What a recogniser would return: the cues of each window on its own clock, later windows a little late."""
-    w = windows(spark, d).select("media", "chunk", c("ws").alias("s"), c("we").alias("e"))
-    of = current_transcripts(spark, d).select("transcript_id", c("source_key").alias("media"))
-    met = joins.overlaps(cu.cues(spark, d).join(of, "transcript_id"), w, "media")
-    late = c("r_chunk") % 3 * 100
-    return met.select("media", c("r_chunk").alias("chunk"), "segment_id", "ordinal", "text", c("r_s").alias("ws"), c("r_e").alias("we"), (F.greatest(c("s") - c("r_s"), F.lit(0)) + late).alias("s"), (c("e") - c("r_s") + late).alias("e"))
+    of = current_transcripts(spark, d).select("transcript_id", c("source_key").alias("media")).join(_media(spark, d), "media")
+    met = chunks.in_windows(cu.cues(spark, d).join(of, "transcript_id"), *WINDOW)
+    late = c("chunk") % 3 * 100
+    return met.select("media", "chunk", "segment_id", "ordinal", "text", "ws", "we", (F.greatest(c("s") - c("ws"), F.lit(0)) + late).alias("s"), (c("e") - c("ws") + late).alias("e"))
 
 
 @query("FLT04", f"WITH {CUE}, {TR}, {WIN}, {CHUNKED} SELECT media, chunk, segment_id, ws + least(ls, we - ws) AS s, ws + least(le, we - ws) AS e FROM ch WHERE ls < we - ws")
@@ -194,7 +197,7 @@ CASE WHEN least(a.e - a.s, p.e - p.s) <= 0 THEN a.s = p.s AND a.e = p.e ELSE lea
 AND abs(a.s + a.e - p.s - p.e) / 2.0 <= greatest(200.0, 0.2 * least(a.e - a.s, p.e - p.s)) END)""",
 )
 def boundary_copies(spark: SparkSession, d: str) -> DataFrame:
-    return joins.without_boundary_copies(chunks.rebase(_chunked(spark, d)), "media").select("media", "chunk", "segment_id", "s", "e")
+    return joins.without_boundary_copies(chunks.rebase(_chunked(spark, d)), "media", *WINDOW).select("media", "chunk", "segment_id", "s", "e")
 
 
 @query(

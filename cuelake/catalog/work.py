@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.catalog.pipelines import _numbered, _sources
-from cuelake.catalog.relational import CUE, DUR, GAP, MEDIA, QUERIES, SPV, SQL, TR, UNI, WIN, _bounds, _gaps, _media, c, query, windows
+from cuelake.catalog.relational import CUE, DUR, GAP, MEDIA, QUERIES, SPV, SQL, TR, UNI, WIN, WINDOW, _bounds, _gaps, _media, c, query, windows
 from cuelake.functions import times as tm
 from cuelake.functions.identity import joined_key
 from cuelake.operators import cues as cu
@@ -245,7 +245,7 @@ def chunked_transcription(spark: SparkSession, d: str) -> DataFrame:
     from cuelake.operators import chunks
 
     rows = done.select("media", "chunk", "ws", "we", "r.language", F.explode("r.cues").alias("x")).select("media", "chunk", "ws", "we", "language", "x.segment_id", "x.s", "x.e", "x.text")
-    kept = joins.without_boundary_copies(chunks.rebase(rows), "media")
+    kept = joins.without_boundary_copies(chunks.rebase(rows), "media", *WINDOW)
     g = kept.groupBy("media").agg(F.count(F.lit(1)).alias("cues"), F.sum(c("e") - c("s")).alias("spoken_ms"), F.min_by("language", "chunk").alias("language"))
     return g.join(reused, "media", "left").select("media", "cues", "spoken_ms", "language", F.coalesce("reused", F.lit(0)).alias("reused"))
 

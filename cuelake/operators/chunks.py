@@ -30,6 +30,22 @@ def chunk_windows(media: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFrame
     return w.select("media", "chunk", (F.col("chunk") * stride).alias("ws"), end.alias("we"), F.when(F.col("chunk").isNull(), "too many windows").alias("error"))
 
 
+def in_windows(cues: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFrame:
+    """``cues`` (media, duration_ms, s, e, ...) once for every window of ``chunk_windows`` they reach into: chunk, ws, we.
+
+    The numbers of these windows follow from the times alone, so that no window is ever a row of a join: Spark takes what
+    an ``explode`` makes for as small as what it was made from, and would send all windows to the driver as a broadcast.
+    """
+    stride = chunk_ms - overlap_ms
+    sound = cues.where((F.col("duration_ms") > 0) & (F.col("duration_ms") / stride < MOST_WINDOWS) & (F.col("s") < F.col("duration_ms")) & (F.col("s") >= 0) & (F.col("e") >= F.col("s")))
+    last = F.greatest(F.ceil((F.col("duration_ms") - chunk_ms) / stride), F.lit(0))
+    first_met = F.greatest(F.floor((F.col("s") - chunk_ms) / stride) + 1, F.lit(0))
+    last_met = F.least(last, F.ceil(F.least("e", "duration_ms") / stride) - 1)
+    met = sound.withColumn("chunk", F.explode(F.when(first_met <= last_met, F.sequence(first_met, last_met))))
+    ws = F.col("chunk") * stride
+    return met.withColumns({"ws": ws, "we": F.least("duration_ms", ws + chunk_ms)}).drop("duration_ms")
+
+
 def rebase(results: DataFrame) -> DataFrame:
     """Recogniser cues (ws, we, s, e, ... local to a window) on the clock of the medium; those that start past it go."""
     length = F.col("we") - F.col("ws")

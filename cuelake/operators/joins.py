@@ -87,15 +87,20 @@ def same_boundary_cue(s: Column, e: Column, ps: Column, pe: Column) -> Column:
     return F.when(shorter <= 0, (s == ps) & (e == pe)).otherwise((overlap >= 0.8 * shorter) & (apart <= F.greatest(F.lit(200.0), 0.2 * shorter)))
 
 
-def without_boundary_copies(cues: DataFrame, key: str) -> DataFrame:
-    """Cues (key, chunk, s, e, text, ...) without those that an earlier chunk has too.
+def without_boundary_copies(cues: DataFrame, key: str, chunk_ms: int, overlap_ms: int) -> DataFrame:
+    """Cues (key, chunk, ws, s, e, text, ...) without those that the chunk before has too; they lie in their windows.
 
-    Only equal texts meet (a hash join on key and text, and on the neighbouring chunk), so that a text said a thousand
-    times in one chunk pairs with its namesakes in the chunk before alone.
+    Only equal texts meet (a join on key, text and the neighbouring chunk), so that a text said a thousand times in one
+    chunk pairs with its namesakes in the chunk before alone. Copies overlap, hence one starts and the other ends in what
+    their windows share: texts of all other cues are not moved, and a null text has no copy. The join
+    is never a broadcast: how many windows a cue reaches into is in no size that Spark estimates.
     """
-    before = cues.select(F.col(key).alias("p_key"), F.col("text").alias("p_text"), (F.col("chunk") + 1).alias("p_next"), F.col("s").alias("p_s"), F.col("e").alias("p_e"))
-    same = (cues[key] == before.p_key) & (cues.text == before.p_text) & (cues.chunk == before.p_next) & same_boundary_cue(cues.s, cues.e, before.p_s, before.p_e)
-    return cues.join(before, same, "left_anti")
+    c = F.col
+    before = cues.where(c("e") >= c("ws") + chunk_ms - overlap_ms)
+    before = before.select(c(key).alias("p_key"), c("text").alias("p_text"), (c("chunk") + 1).alias("p_next"), c("s").alias("p_s"), c("e").alias("p_e"))
+    after = cues.withColumn("_said", F.when(c("s") <= c("ws") + overlap_ms, c("text")))
+    same = (after[key] == before.p_key) & (after["_said"] == before.p_text) & (after.chunk == before.p_next) & same_boundary_cue(after.s, after.e, before.p_s, before.p_e)
+    return after.join(before.hint("merge"), same, "left_anti").drop("_said")
 
 
 def contained(gaps: DataFrame, spans: DataFrame, key: str, tolerance_ms: int = 250, bucket_ms: int = BUCKET_MS) -> DataFrame:
