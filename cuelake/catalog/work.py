@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.catalog.pipelines import _numbered, _sources
-from cuelake.catalog.relational import CUE, DUR, GAP, MEDIA, QUERIES, SPV, SQL, TR, UNI, WIN, WINDOW, _bounds, _gaps, _media, c, query, windows
+from cuelake.catalog.relational import CUE, DUR, GAP, MEDIA, QUERIES, SPV, SQL, TR, UNI, WIN, WINDOW, _bounds, _chunked, _gaps, _media, c, query, windows
 from cuelake.functions import times as tm
 from cuelake.functions.identity import joined_key
 from cuelake.operators import cues as cu
@@ -224,16 +224,12 @@ def chunked_transcription(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that a store holds are reused, the rest recognised and kept; results are put on the medium's clock, copies at
     chunk borders go, and the first chunk with speech gives the language. The recogniser hears the cues, a little late."""
     w = windows(spark, d).where("chunk is not null")
-    of = current_transcripts(spark, d).select("transcript_id", c("source_key").alias("media"))
-    met = joins.overlaps(cu.cues(spark, d).join(of, "transcript_id"), w.select("media", "chunk", c("ws").alias("s"), c("we").alias("e")), "media")
-    late = c("r_chunk") % 3 * 100
-    cue = F.struct((F.greatest(c("s") - c("r_s"), F.lit(0)) + late).alias("s"), (c("e") - c("r_s") + late).alias("e"), "segment_id", "ordinal", "text")
-    heard = met.groupBy("media", c("r_chunk").alias("chunk")).agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    heard = _chunked(spark, d).groupBy("media", "chunk").agg(F.array_sort(F.collect_list(F.struct("s", "e", "segment_id", "ordinal", "text"))).alias("cues"))
     keyed = w.select("media", "chunk", "ws", "we", joined_key(F.lit("recipe"), c("media"), c("chunk")).alias("key"), F.concat_ws("-", c("ws").cast("string"), c("we").cast("string")).alias("identity"))
     kind = "struct<language: string, cues: array<struct<s: bigint, e: bigint, segment_id: bigint, ordinal: int, text: string>>>"
 
     def recognise(work: DataFrame) -> DataFrame:
-        r = work.join(heard, ["media", "chunk"], "left")
+        r = work.join(heard.hint("merge"), ["media", "chunk"], "left")
         body = F.struct(F.concat(F.lit("l"), (c("chunk") % 3).cast("string")).alias("language"), F.coalesce("cues", F.array().cast("array<struct<s: bigint, e: bigint, segment_id: bigint, ordinal: int, text: string>>")).alias("cues"))
         return r.select("key", "identity", F.to_json(body).alias("payload"), F.lit(False).alias("pending"))
 

@@ -51,8 +51,8 @@ class Store:
         return work.join(self.keys().select("key", "identity"), ["key", "identity"], "left_anti")
 
     def finished(self, work: DataFrame) -> DataFrame:
-        """``work`` with the payloads that are there."""
-        return work.join(self.rows().select("key", "identity", "payload"), ["key", "identity"])
+        """``work`` with the payloads that are there; neither is broadcast, as work that an ``explode`` made looks small."""
+        return work.join(self.rows().select("key", "identity", "payload").hint("merge"), ["key", "identity"])
 
     def put(self, results: DataFrame) -> None:
         """Keeps final results; those that still wait for verification are refused."""

@@ -27,7 +27,7 @@ def tables(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["FLT04", "JN03"])
+@pytest.mark.parametrize("name", ["FLT04", "JN03", "PIP06"])
 def test_twins_on_cues_at_borders_and_without_length(spark, tables, name):
     d, con = tables
     got = core.QUERIES[name](spark, d)
@@ -35,7 +35,7 @@ def test_twins_on_cues_at_borders_and_without_length(spark, tables, name):
     assert sorted(tuple(r) for r in got.collect()) == sorted(theirs)
 
 
-@pytest.mark.parametrize("name", ["JN03"])
+@pytest.mark.parametrize("name", ["JN03", "PIP06"])
 def test_windows_are_never_broadcast(spark, tables, name):
     """Windows of long media look as small as the table of media; joined to cues they went to the driver whole."""
     plan = core.QUERIES[name](spark, tables[0])._jdf.queryExecution().executedPlan().toString()
